@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +23,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a result that several branches of one plan read.
+
+    Spilled to disk when memory is short and recomputed from its lineage when an
+    executor is lost; equal plans share one copy.
+    """
+    return df if df.isStreaming else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -58,6 +68,20 @@ def number_rows(
     )
 
 
+def _prefix_totals(totals: DataFrame, keys: list[str], buckets: list[str], names: list[str]) -> DataFrame:
+    """Totals of all earlier buckets, one bucket column at a time so that no window sees them all."""
+    if len(buckets) == 1:
+        w = W.partitionBy(*keys).orderBy(*buckets).rowsBetween(W.unboundedPreceding, -1)
+        return totals.withColumns({f"_p_{n}": F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)) for n in names})
+    outer = totals.groupBy(*keys, buckets[0]).agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in names])
+    outer = _prefix_totals(outer, keys, buckets[:1], names).select(
+        *keys, buckets[0], *[F.col(f"_p_{n}").alias(f"_o_{n}") for n in names])
+    inner = _prefix_totals(totals, [*keys, buckets[0]], buckets[1:], names)
+    out = inner.join(outer, [*keys, buckets[0]])
+    return out.withColumns({f"_p_{n}": F.col(f"_p_{n}") + F.col(f"_o_{n}") for n in names}).drop(
+        *[f"_o_{n}" for n in names])
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,15 +92,10 @@ def running_totals(
     """Add inclusive running sums of several columns under ``order``."""
     work = df.withColumns({f"_b_{k}": v for k, v in bucket.items()})
     buckets = [f"_b_{k}" for k in bucket]
-    before = W.partitionBy(*keys).orderBy(*buckets).rowsBetween(W.unboundedPreceding, -1)
     totals = work.groupBy(*keys, *buckets).agg(
         *[F.sum(_col(c)).alias(f"_t_{n}") for n, c in sums.items()]
     )
-    totals = totals.select(
-        *keys,
-        *buckets,
-        *[F.sum(f"_t_{n}").over(before).alias(f"_p_{n}") for n in sums],
-    )
+    totals = _prefix_totals(totals, list(keys), buckets, list(sums)).drop(*[f"_t_{n}" for n in sums])
     inside = (
         W.partitionBy(*keys, *buckets)
         .orderBy(*[_col(c) for c in order])
@@ -161,12 +180,6 @@ def grouped_quantiles(
     )
 
 
-def collapse(df: DataFrame, keys: Sequence[str], *aggs: Column, salt_on: Sequence[str] | None = None,
-             salts: int = SALTS) -> DataFrame:
-    """Distinct rows of ``keys`` with aggregates; Spark's map-side combine does the first pass."""
-    return df.groupBy(*keys).agg(*aggs)
-
-
 def halo_blocks(df: DataFrame, frame: str, block: int, before: int, after: int) -> DataFrame:
     """Place each row in its block of frames and in the blocks that need it as a neighbour.
 

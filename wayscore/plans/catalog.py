@@ -8,6 +8,7 @@ from wayscore.plans.registry import OPERATORS, ORACLES, QUERIES
 
 MODULES = (
     "trajectory_queries",
+    "detection_queries",
 )
 
 GROUPS: dict[str, str] = {}
