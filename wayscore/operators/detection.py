@@ -349,11 +349,19 @@ def detections_to_json(dets: DataFrame) -> DataFrame:
                        r(F.col("conf"), 5).alias("score"), F.to_json(rec).alias("json"))
 
 
+def six_digits(c):
+    """Shortest text of a value at six significant digits, halves to even."""
+    a = F.abs(c)
+    r = F.when(a >= 100, F.bround(c, 3)).when(a >= 10, F.bround(c, 4)).when(a >= 1, F.bround(c, 5)).when(a >= 0.1, F.bround(c, 6)).when(
+        a >= 0.01, F.bround(c, 7)).when(a >= 0.001, F.bround(c, 8)).otherwise(F.bround(c, 9))
+    return F.regexp_replace(F.format_string("%.6g", r), r"\.?0+(e|$)", "$1")
+
+
 def detections_to_lines(dets: DataFrame, width: float, height: float, with_conf: bool = True) -> DataFrame:
     """Label-text lines: class, normalised centre box and, if wanted, the confidence."""
     b = bx.xyxy_to_xywhn(bx.box(), width, height)
     parts = [F.col("cls").cast("double"), *b, *([F.col("conf")] if with_conf else [])]
-    short = [F.regexp_replace(F.format_string("%.6g", p), r"\.?0+(e|$)", "$1") for p in parts]
+    short = [six_digits(p) for p in parts]
     return dets.select("image_id", "det_id", F.concat_ws(" ", *short).alias("line"))
 
 

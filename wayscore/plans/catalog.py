@@ -9,6 +9,7 @@ from wayscore.plans.registry import OPERATORS, ORACLES, QUERIES
 MODULES = (
     "trajectory_queries",
     "detection_queries",
+    "track_queries",
 )
 
 GROUPS: dict[str, str] = {}

@@ -312,9 +312,9 @@ def _(spark, d):
 
 
 @query("detection_label_lines", "A14", "image_id:l det_id:l line:s", "dets", """
-SELECT image_id, det_id, printf('%.6g %.6g %.6g %.6g %.6g %.6g', cls::DOUBLE, (x1+x2)/2/640, (y1+y2)/2/480, (x2-x1)/640, (y2-y1)/480, conf) AS line FROM dets""")
+SELECT image_id, det_id, printf('%.6g %.6g %.6g %.6g %.6g %.6g', cls::DOUBLE, (x1+x2)/2/700, (y1+y2)/2/450, (x2-x1)/700, (y2-y1)/450, conf) AS line FROM dets""")
 def _(spark, d):
-    return dt.detections_to_lines(v.dets(spark, d), 640, 480)
+    return dt.detections_to_lines(v.dets(spark, d), 700, 450)
 
 
 @query("dataset_statistics", "D46", "split:s cls:l instances:l images:l unlabelled:l", "", """

@@ -100,7 +100,7 @@ def gt(spark, sf_dir) -> DataFrame:
 
 _sql("tracks", f"""
 SELECT user_id // 4 AS video_id, n // {TRACK_CLIP} AS clip, user_id AS track_id, n % {TRACK_CLIP} AS frame,
-       event_type AS class_name, value AS cx, CAST(k AS DOUBLE) AS cy, CAST((k * 7 + n * 13) % 100 AS DOUBLE) / 100 AS conf, ts, k,
+       event_type AS class_name, value AS cx, CAST(k AS DOUBLE) AS cy, CAST((k * 7 + n * 13) % 97 AS DOUBLE) / 97 AS conf, ts, k,
        n % {TRACK_CLIP} + 12 * sum(CASE WHEN k >= 95 THEN 1 ELSE 0 END)
           OVER (PARTITION BY user_id, n // {TRACK_CLIP} ORDER BY n) AS gframe
 FROM ev
@@ -114,7 +114,7 @@ def tracks(spark, sf_dir) -> DataFrame:
         div("user_id", 4).alias("video_id"), "clip", F.col("user_id").alias("track_id"),
         (F.col("n") % TRACK_CLIP).alias("frame"), F.col("event_type").alias("class_name"),
         F.col("value").alias("cx"), F.col("k").cast("double").alias("cy"),
-        (((F.col("k") * 7 + F.col("n") * 13) % 100).cast("double") / 100).alias("conf"), "ts", "k",
+        (((F.col("k") * 7 + F.col("n") * 13) % 97).cast("double") / 97).alias("conf"), "ts", "k",
         (F.col("n") % TRACK_CLIP + 12 * F.sum(F.when(F.col("k") >= 95, 1).otherwise(0)).over(w)).alias("gframe"),
     )
 
