@@ -61,10 +61,10 @@ def number_rows(
         W.partitionBy(*keys, *buckets).orderBy(*[_col(c) for c in order])
     )
     return (
-        work.withColumn("_pos", inside)
+        work.withColumn("_nr", inside)
         .join(prior, [*keys, *buckets])
-        .withColumn(name, (F.col("_prior") + F.col("_pos") - 1 + start).cast("long"))
-        .drop("_pos", "_prior", *buckets)
+        .withColumn(name, (F.col("_prior") + F.col("_nr") - 1 + start).cast("long"))
+        .drop("_nr", "_prior", *buckets)
     )
 
 
@@ -113,7 +113,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_on:
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join a hot side with a side of one row per key, spreading each key over ``salts`` tasks."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*[_col(c) for c in salt_on]), F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -10,6 +10,7 @@ MODULES = (
     "trajectory_queries",
     "detection_queries",
     "track_queries",
+    "distribution_queries",
 )
 
 GROUPS: dict[str, str] = {}
