@@ -11,6 +11,7 @@ MODULES = (
     "detection_queries",
     "track_queries",
     "distribution_queries",
+    "caption_queries",
 )
 
 GROUPS: dict[str, str] = {}

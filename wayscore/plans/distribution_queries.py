@@ -138,9 +138,9 @@ def _(spark, d):
 v._sql("kf_", """
 WITH m AS (SELECT *, CASE WHEN frame > 0 THEN abs(luma - lag(luma) OVER w)/8 ELSE 0 END AS m FROM luma WINDOW w AS (PARTITION BY video_id, clip ORDER BY frame)),
 s AS (SELECT *, sum(m) OVER (PARTITION BY video_id, clip ORDER BY frame) AS s, count(*) OVER (PARTITION BY video_id, clip) AS n FROM m),
-t AS (SELECT video_id, clip, n, max(s) AS tot, least(n, least(greatest(round_even(3+least(greatest((max(s)/greatest(n-1,1)-1)/9.0,0),1)*17,0),3),20)) AS k FROM s GROUP BY ALL),
+t AS (SELECT *, least(n, least(greatest(round_even(3+least(greatest((tot/greatest(n-1,1)-1)/9.0,0),1)*17,0),3),20)) AS k FROM (SELECT video_id, clip, max(n) AS n, max(s) AS tot FROM s GROUP BY video_id, clip)),
 j AS (SELECT *, unnest(generate_series(1, greatest(k::BIGINT-2, 1))) AS j FROM t WHERE n > 2 AND tot > 1e-6 AND k > 2),
-p AS (SELECT j.video_id, j.clip, j.n, j.j, j.j*(j.tot/(j.k-1)) AS tt, greatest(count(*) FILTER (WHERE s.s < j.j*(j.tot/(j.k-1))), 1) AS p FROM j JOIN s USING (video_id, clip) GROUP BY ALL),
+p AS (SELECT video_id, clip, n, j, tt, greatest(count(*) FILTER (WHERE s < tt), 1) AS p FROM (SELECT j.video_id, j.clip, j.n, j.j, j.j*(j.tot/(j.k-1)) AS tt, s.s FROM j JOIN s USING (video_id, clip)) GROUP BY video_id, clip, n, j, tt),
 q AS (SELECT p.video_id, p.clip, p.j, CASE WHEN p.p < p.n AND abs(a.s-tt) > abs(b.s-tt) THEN p.p-1 ELSE p.p END AS idx FROM p LEFT JOIN s a ON a.video_id=p.video_id AND a.clip=p.clip AND a.frame=p.p JOIN s b ON b.video_id=p.video_id AND b.clip=p.clip AND b.frame=p.p-1)
 SELECT video_id, clip, j AS pos, idx FROM q
 UNION ALL SELECT video_id, clip, 0, 0 FROM t UNION ALL SELECT video_id, clip, 99, n-1 FROM t WHERE n > 1
