@@ -53,7 +53,10 @@ def strip(c: Column) -> Column:
 
 
 def has_any(c: Column, words) -> Column:
-    return c.rlike("|".join(re.escape(w) for w in words))
+    hit = c.contains(words[0])
+    for w in words[1:]:
+        hit = hit | c.contains(w)
+    return hit
 
 
 def normalize_score(c: Column) -> Column:

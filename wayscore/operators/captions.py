@@ -12,8 +12,7 @@ from wayscore.functions import text as tx
 
 def fallback_claims(captions: DataFrame, key: str, caption: str) -> DataFrame:
     """One claim per sentence, with a category and verifier chosen by key words."""
-    d = captions.select(key, F.posexplode(tx.sentences(F.col(caption))).alias("_pos", "_s"))
-    d = d.withColumn("claim", tx.strip(F.col("_s"))).where(F.length("claim") > 0)
+    d = captions.select(key, F.posexplode(tx.sentences(F.col(caption))).alias("_pos", "claim")).where(F.length("claim") > 0)
     low = F.lower("claim")
     cat = None
     for name, words in tx.CATEGORY_WORDS:

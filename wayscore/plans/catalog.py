@@ -12,6 +12,8 @@ MODULES = (
     "track_queries",
     "distribution_queries",
     "caption_queries",
+    "motion_queries",
+    "raster_queries",
 )
 
 GROUPS: dict[str, str] = {}

@@ -200,8 +200,8 @@ def scores(spark, sf_dir) -> DataFrame:
 
 _sql("depth", """
 SELECT p.p_partkey AS image_id, l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_quantity, l.l_extendedprice,
-       p.p_retailprice * (0.5 + l.l_discount * 5) / 100 AS gt,
-       p.p_retailprice * (0.5 + l.l_discount * 5) / 100 * (0.7 + l.l_quantity / 80) AS pred,
+       p.p_retailprice * (0.5 + l.l_discount * 5) / 97 AS gt,
+       p.p_retailprice * (0.5 + l.l_discount * 5) / 97 * (0.7 + l.l_quantity / 79) AS pred,
        CASE WHEN l.l_suppkey % 11 = 0 THEN 0 ELSE 1 END AS valid
 FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey
 """)
@@ -211,10 +211,10 @@ def depth(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
-    base = F.col("p_retailprice") * (0.5 + F.col("l_discount") * 5) / 100
+    base = F.col("p_retailprice") * (0.5 + F.col("l_discount") * 5) / 97
     return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_partkey").alias("image_id"), "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
-        "l_extendedprice", base.alias("gt"), (base * (0.7 + F.col("l_quantity") / 80)).alias("pred"),
+        "l_extendedprice", base.alias("gt"), (base * (0.7 + F.col("l_quantity") / 79)).alias("pred"),
         F.when(F.col("l_suppkey") % 11 == 0, 0).otherwise(1).alias("valid"),
     )
 
