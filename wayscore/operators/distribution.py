@@ -46,13 +46,13 @@ def covariance(df: DataFrame, key: str, vector: str, dim: int, ddof: int = 1, ri
     """
     m = moment_sums(df, key, vector, dim)
     head = m.where("i = -1")
-    n = head.where("j = -1").select(key, F.col("value").alias("n"))
-    s = head.where("j >= 0").select(key, F.col("j").alias("d"), F.col("value").alias("s")).join(n, key)
-    si = s.select(key, F.col("d").alias("i"), F.col("s").alias("si"), "n")
-    sj = s.select(key, F.col("d").alias("j"), F.col("s").alias("sj"))
+    n = head.where("j = -1").select(key, F.col("value").alias("_n"))
+    s = head.where("j >= 0").select(key, F.col("j").alias("_d"), F.col("value").alias("_s")).join(n, key)
+    si = s.select(key, F.col("_d").alias("i"), F.col("_s").alias("_si"), "_n")
+    sj = s.select(key, F.col("_d").alias("j"), F.col("_s").alias("_sj"))
     out = m.where("i >= 0").join(si, [key, "i"]).join(sj, [key, "j"])
-    cov = (F.col("value") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - ddof)
-    return out.select(key, "i", "j", F.col("n").cast("long").alias("n"), (F.col("si") / F.col("n")).alias("mean_i"), (F.col("sj") / F.col("n")).alias("mean_j"),
+    cov = (F.col("value") - F.col("_si") * F.col("_sj") / F.col("_n")) / (F.col("_n") - ddof)
+    return out.select(key, "i", "j", F.col("_n").cast("long").alias("n"), (F.col("_si") / F.col("_n")).alias("mean_i"), (F.col("_sj") / F.col("_n")).alias("mean_j"),
                       (cov + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)).alias("cov"))
 
 

@@ -97,36 +97,33 @@ def step_yaw(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def resample(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
-    """Linear resampling of each clip to ``target`` frames; non-finite points are skipped.
+    """Linear resampling of each clip to ``target`` frames; non-finite values are skipped per axis.
 
-    Each pair of neighbouring finite points emits the grid frames between them,
-    so no as-of join is needed. ``target`` names a column with the wanted length.
+    Every frame emits the grid positions between itself and the next one and carries
+    the nearest finite values on both sides, so no as-of join is needed. ``target``
+    names a column with the wanted length.
     """
     wo, wa = _ordered(keys), _whole(keys)
+    back, ahead = wo.rowsBetween(W.unboundedPreceding, 0), wo.rowsBetween(1, W.unboundedFollowing)
     out = df.withColumns({
-        "_i": (F.row_number().over(wo) - 1).cast("long"),
-        "_t": F.count(F.lit(1)).over(wa),
-        "x": finite("x"), "y": finite("y"),
-    })
-    out = out.withColumn("_fin", F.col("x").isNotNull() & F.col("y").isNotNull())
-    wf = W.partitionBy(*keys, "_fin").orderBy("frame")
-    out = out.withColumns({
-        "_j": F.lead("_i").over(wf), "_nx": F.lead("x").over(wf), "_ny": F.lead("y").over(wf),
-        "_first": F.row_number().over(wf) == 1,
-        "_none": ~F.max("_fin").over(wa),
-    })
-    out = out.where(F.col("_fin") | (F.col("_none") & F.col("_first")))
+        "_i": (F.row_number().over(wo) - 1).cast("long"), "_t": F.count(F.lit(1)).over(wa), "x": finite("x"), "y": finite("y")})
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v"))) for c in ("x", "y")}
+    out = out.withColumns({f"_p{c}": F.last(k, ignorenulls=True).over(back) for c, k in known.items()}
+                          | {f"_n{c}": F.first(k, ignorenulls=True).over(ahead) for c, k in known.items()})
     n, span = F.col(target).cast("long"), F.greatest(F.col("_t") - 1, F.lit(1))
     up = lambda i: F.floor((i * (n - 1) + span - 1) / span).cast("long")
-    lo = F.when(F.col("_first"), F.lit(0)).otherwise(up(F.col("_i")))
-    hi = F.when(F.col("_j").isNull(), n - 1).otherwise(up(F.col("_j")) - 1)
+    lo = up(F.col("_i"))
+    hi = F.when(F.col("_i") == F.col("_t") - 1, n - 1).otherwise(up(F.col("_i") + 1) - 1)
     out = out.withColumns({"_lo": lo, "_hi": hi}).where(F.col("_lo") <= F.col("_hi"))
     out = out.withColumn("_g", F.explode(F.sequence("_lo", "_hi")))
     at = F.col("_g") * (F.col("_t") - 1) / F.greatest(n - 1, F.lit(1))
-    w = F.when(F.col("_j").isNull(), 0.0).otherwise(
-        F.greatest(F.lit(0.0), (at - F.col("_i")) / (F.col("_j") - F.col("_i"))))
-    lerp = lambda a, b: F.coalesce(F.col(a) + F.coalesce(F.col(b) - F.col(a), F.lit(0.0)) * w, F.lit(0.0))
-    return out.select(*keys, F.col("_g").alias("frame"), lerp("x", "_nx").alias("x"), lerp("y", "_ny").alias("y"))
+
+    def lerp(c):
+        p, q = F.col(f"_p{c}"), F.col(f"_n{c}")
+        w = (at - p["i"]) / (q["i"] - p["i"])
+        return F.coalesce(p["v"] + (q["v"] - p["v"]) * w, p["v"], q["v"], F.lit(0.0))
+
+    return out.select(*keys, F.col("_g").alias("frame"), lerp("x").alias("x"), lerp("y").alias("y"))
 
 
 def fit_alignment(pair: DataFrame, keys: Sequence[str], with_scale: bool = False, centred: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ MODULES = (
     "caption_queries",
     "motion_queries",
     "raster_queries",
+    "association_queries",
 )
 
 GROUPS: dict[str, str] = {}

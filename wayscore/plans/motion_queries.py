@@ -106,7 +106,7 @@ def _(spark, d):
 @query("agent_mask_depth", "D49", "image_id:l mean_depth top_median", "depth", """
 WITH m AS (SELECT image_id, l_linenumber AS y, pred AS depth FROM depth WHERE valid=1),
 a AS (SELECT image_id, quantile_cont(depth,0.02) AS lo, quantile_cont(depth,0.98) AS hi, min(y) AS y0, max(y) AS y1 FROM m GROUP BY image_id),
-x AS (SELECT m.image_id, avg(depth) AS mean_depth FROM m JOIN a USING (image_id) WHERE depth >= lo AND depth <= hi GROUP BY m.image_id),
+x AS (SELECT m.image_id, avg(depth) AS mean_depth FROM m JOIN a USING (image_id) WHERE depth >= lo-1e-9 AND depth <= hi+1e-9 GROUP BY m.image_id),
 y AS (SELECT m.image_id, quantile_cont(depth,0.5) AS top_median FROM m JOIN a USING (image_id) WHERE y < y0+(y1-y0+1)*0.5 GROUP BY m.image_id)
 SELECT * FROM x JOIN y USING (image_id)""")
 def _(spark, d):
