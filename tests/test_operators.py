@@ -45,8 +45,8 @@ def test_running_totals_match_a_plain_window(hot):
 
 def test_grouped_quantiles_match_numpy(hot):
     probs = {"a": 0.02, "b": 0.5, "c": 0.98}
-    got = {r["k"]: r for r in od.grouped_quantiles(hot, ["k"], "v", probs).collect()}
-    low = {r["k"]: r for r in od.grouped_quantiles(hot, ["k"], "v", probs, "lower").collect()}
+    got = {r["k"]: r for r in od.grouped_quantiles(hot, ["k"], "v", probs, small=500).collect()}
+    low = {r["k"]: r for r in od.grouped_quantiles(hot, ["k"], "v", probs, "lower", small=500).collect()}
     pdf = hot.toPandas()
     for k, g in pdf.groupby("k"):
         for n, p in probs.items():

@@ -72,9 +72,15 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     Solved by shortest augmenting paths on the square matrix extended by the
     unmatched choices.
     """
-    n, m = cost.shape
-    if n == 0 or m == 0:
+    open_ = cost <= limit
+    rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(rows):
         return []
+    if open_.sum(1).max() == 1 and open_.sum(0).max() == 1:
+        return [(int(i), int(j)) for i, j in np.argwhere(open_)]
+    if len(rows) < cost.shape[0] or len(cols) < cost.shape[1]:
+        return [(int(rows[i]), int(cols[j])) for i, j in assign(cost[np.ix_(rows, cols)], limit)]
+    n, m = cost.shape
     size = n + m
     c = np.zeros((size, size))
     c[:n, :m] = cost

@@ -128,7 +128,7 @@ def track_frame(state: dict, boxes: np.ndarray, scores: np.ndarray, ids: Sequenc
 
     def take(t, d):
         m, c = kf.update(np.array([t["mean"]], float), np.array([t["cov"]], float), _to_state(boxes[[d]]))
-        t.update(mean=m[0].tolist(), cov=c[0].tolist(), end=now, confirmed=True, lost=False, score=float(scores[d]), det=int(ids[d]))
+        t.update(mean=m[0], cov=c[0], end=now, confirmed=True, lost=False, score=float(scores[d]), det=int(ids[d]))
         seen.add(t["id"])
 
     def match(ts, ds, limit, fuse):
@@ -149,7 +149,7 @@ def track_frame(state: dict, boxes: np.ndarray, scores: np.ndarray, ids: Sequenc
         mean[[i for i, t in enumerate(pool) if t["lost"]], 7] = 0.0
         mean, cov = kf.predict(mean, np.array([t["cov"] for t in pool], float))
         for t, m, c in zip(pool, mean, cov):
-            t["mean"], t["cov"] = m.tolist(), c.tolist()
+            t["mean"], t["cov"] = m, c
     missed, left = match(pool, strong, cfg["match"], True)
     again = [pool[i] for i in sorted(missed) if not pool[i]["lost"]]
     still, _ = match(again, weak, cfg["second"], False)
@@ -160,7 +160,7 @@ def track_frame(state: dict, boxes: np.ndarray, scores: np.ndarray, ids: Sequenc
     for d in left:
         if scores[d] >= cfg["new"]:
             m, c = kf.start(_to_state(boxes[[d]]))
-            tracks.append({"id": state["next"], "mean": m[0].tolist(), "cov": c[0].tolist(), "start": now, "end": now, "confirmed": now == 1,
+            tracks.append({"id": state["next"], "mean": m[0], "cov": c[0], "start": now, "end": now, "confirmed": now == 1,
                            "lost": False, "score": float(scores[d]), "det": int(ids[d])})
             seen.add(state["next"])
             state["next"] += 1

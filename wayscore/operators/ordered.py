@@ -144,18 +144,37 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int =
     )
 
 
+SMALL_GROUP = 100_000
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
     kind: str = "linear",
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Exact quantiles per key without holding a key's values in one task.
+    """Exact quantiles per key; no task holds more than ``small`` values of a key.
 
-    ``kind="linear"`` interpolates between order statistics; ``kind="lower"``
-    takes the lower one.
+    Keys of up to ``small`` rows are aggregated directly. Larger ones are cut into
+    value buckets. ``kind="linear"`` interpolates between order statistics,
+    ``kind="lower"`` takes the lower one.
     """
+    keys = list(keys)
+    d = df.select(*keys, _col(value).alias("_v")).where(F.col("_v").isNotNull())
+    hot = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(*keys)
+    few = d.join(hot, keys, "left_anti")
+    if kind == "lower":
+        rows = few.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"))
+        direct = rows.select(*keys, *[
+            F.get("_a", F.floor((F.size("_a") - 1) * F.lit(float(p))).cast("int")).alias(n) for n, p in probs.items()])
+    else:
+        direct = few.groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(p))).alias(n) for n, p in probs.items()])
+    return direct.unionByName(_bucketed_quantiles(d.join(hot, keys, "left_semi"), keys, "_v", probs, kind))
+
+
+def _bucketed_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], kind: str) -> DataFrame:
     pos = value_positions(df, keys, value)
     sizes = pos.groupBy(*keys).agg(F.sum("n").alias("_total"))
     both = salted_join(pos, sizes, keys, ["value"])
@@ -164,20 +183,16 @@ def grouped_quantiles(
         target = (F.col("_total") - 1) * F.lit(float(p))
         lo, hi = F.floor(target), F.ceil(target)
         at = lambda q: F.max(F.when((F.col("lo_pos") <= q) & (F.col("hi_pos") >= q), F.col("value")))
-        aggs += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"),
-                 F.max(target - lo).alias(f"_w_{name}")]
+        aggs += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(target - lo).alias(f"_w_{name}")]
     picked = both.groupBy(*keys).agg(*aggs)
-    return picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{n}")
-                if kind == "lower"
-                else F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
-            ).alias(n)
-            for n in probs
-        ],
-    )
+    take = lambda n: F.col(f"_lo_{n}") if kind == "lower" else F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
+    return picked.select(*keys, *[take(n).alias(n) for n in probs])
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than cores dealt out to all cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def halo_blocks(df: DataFrame, frame: str, block: int, before: int, after: int) -> DataFrame:

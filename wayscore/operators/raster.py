@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayscore.functions.numeric import dist
 
@@ -321,17 +324,10 @@ def flicker(df: DataFrame, keys: Sequence[str], luma: str = "luma", near: float
                                 (pct(0.999) - pct(0.001)).alias("sequence_range"))
 
 
-def _power(x: Column) -> Column:
-    """Power of the real discrete Fourier bins of an array."""
-    n = F.size(x)
-
-    def bin_(k):
-        def part(fn):
-            return F.aggregate(F.transform(x, lambda v, t: v * fn(2 * math.pi * k * t / n)), F.lit(0.0), lambda a, v: a + v)
-        re, im = part(F.cos), part(F.sin)
-        return re * re + im * im
-
-    return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), bin_)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _power(x: pd.Series) -> pd.Series:
+    """Power of the real Fourier bins of each array."""
+    return x.map(lambda a: np.abs(np.fft.rfft(a)) ** 2)
 
 
 def _sum(a: Column) -> Column:
@@ -357,7 +353,7 @@ def spectral_flicker(df: DataFrame, keys: Sequence[str], luma: str = "luma", fps
     """
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", F.col(luma).alias("l")))).alias("_r"))
     d = rows.select(*keys, F.transform("_r", lambda e: e["l"]).alias("_x")).withColumn("_n", F.size("_x"))
-    d = d.withColumn("_p", _power(F.col("_x")))
+    d = d.withColumn("_p", _power("_x"))
     d = d.withColumn("_f", _peak("_p") * fps / F.col("_n"))
     width = F.greatest(F.lit(0.5), 0.2 * F.col("_f"))
     few = F.size("_p") < 3
@@ -373,7 +369,7 @@ def spectral_flicker(df: DataFrame, keys: Sequence[str], luma: str = "luma", fps
     d = d.withColumns({"_win": win, "_hop": hop})
     starts = F.sequence(F.lit(0), F.col("_n") - F.col("_win"), F.col("_hop"))
     w = d.where("_n >= 4").select(*keys, "_f", F.explode(starts).alias("_s"), "_x", "_win")
-    w = w.withColumn("_wx", F.slice("_x", F.col("_s") + 1, F.col("_win"))).withColumn("_wp", _power(F.col("_wx")))
+    w = w.withColumn("_wx", F.slice("_x", F.col("_s") + 1, F.col("_win"))).withColumn("_wp", _power("_wx"))
     share = _band_share(F.col("_wp"), F.col("_win"), fps, F.col("_f") - band_hz, F.col("_f") + band_hz)
     hit = w.groupBy(*keys).agg(F.avg((share < thr).cast("double")).alias("_hit"))
     out = d.join(hit, list(keys), "left")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayscore.functions.numeric import sq_l2
+from wayscore.operators.ordered import salted_join, shared
 
 
 def mean_vector(df: DataFrame, vector: str) -> DataFrame:
@@ -24,26 +28,55 @@ def nearest(df: DataFrame, query: DataFrame, vector: str, limit: int, tie: str)
     return d.orderBy("distance", tie).limit(limit)
 
 
-def within_distance(df: DataFrame, id_: str, vector: str, max_sq: float, axes: Sequence[int] = (0, 1, 2)) -> DataFrame:
+BLOCK = 256
+_HITS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("distance", T.DoubleType())]))
+
+
+def _tile_hits(max_sq: float):
+    @F.pandas_udf(_HITS)
+    def hits(a_ids: pd.Series, a_vecs: pd.Series, b_ids: pd.Series, b_vecs: pd.Series) -> pd.Series:
+        out = []
+        for ia, va, ib, vb in zip(a_ids, a_vecs, b_ids, b_vecs):
+            x, y = np.stack(va).astype(float), np.stack(vb).astype(float)
+            rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+            i, j = np.nonzero(rough <= max_sq + 1e-6)
+            d = ((x[i] - y[j]) ** 2).sum(1)
+            out.append([{"a": int(ia[p]), "b": int(ib[q]), "distance": float(e)} for p, q, e in zip(i, j, d) if e <= max_sq])
+        return pd.Series(out)
+
+    return hits
+
+
+def within_distance(df: DataFrame, id_: str, vector: str, max_sq: float, axes: Sequence[int] = (0,)) -> DataFrame:
     """Pairs of distinct vectors within a squared distance.
 
     Equal vectors are collapsed first. A coordinate and the norm differ by no more
     than the distance, so rows are binned on them by the radius and only met by
-    neighbouring bins; the exact distance decides.
+    neighbouring bins. A bin is cut into blocks of limited size by its own count, and
+    pairs of blocks are compared as matrices: a crowded bin is many tasks, and only
+    the hits leave them.
     """
     r = max(max_sq, 1e-12) ** 0.5
     v = F.col(vector).cast("array<double>")
-    groups = df.groupBy(v.alias("v")).agg(F.min(id_).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    groups = shared(df.groupBy(v.alias("v")).agg(F.min(id_).alias("rep"), F.count(F.lit(1)).alias("copies")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     cells = {f"_c{i}": F.floor(F.get("v", F.lit(a)) / r) for i, a in enumerate(axes)} | {"_cn": F.floor(norm / r)}
     left = groups.withColumns(cells)
     right = left
     for c in cells:
         right = right.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    a = left.withColumnsRenamed({"v": "va", "rep": "a", "copies": "a_copies"})
-    b = right.withColumnsRenamed({"v": "vb", "rep": "b", "copies": "b_copies"})
-    p = a.join(b, list(cells)).drop(*cells).withColumn("distance", sq_l2("va", "vb"))
-    return p.where(F.col("distance") <= max_sq).select("a", "b", "a_copies", "b_copies", "distance")
+
+    def blocks(d, side):
+        n = d.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_k"))
+        d = salted_join(d, n, list(cells), ["rep"]).withColumn("_blk", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("_k")))
+        g = d.groupBy(*cells, "_blk").agg(F.collect_list("rep").alias(f"{side}_ids"), F.collect_list("v").alias(f"{side}_v"))
+        return g.withColumnRenamed("_blk", f"_{side}")
+
+    tiles = blocks(left, "a").join(blocks(right, "b"), list(cells))
+    hits = tiles.select(F.explode(_tile_hits(max_sq)("a_ids", "a_v", "b_ids", "b_v")).alias("h")).select("h.*")
+    n = groups.select("rep", "copies")
+    hits = hits.join(n.withColumnsRenamed({"rep": "a", "copies": "a_copies"}), "a").join(n.withColumnsRenamed({"rep": "b", "copies": "b_copies"}), "b")
+    return hits.select("a", "b", "a_copies", "b_copies", "distance")
 
 
 def similarity_index(df: DataFrame, id_: str, vector: str, max_dist: float = 0.2, top_k: int | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayscore.functions.numeric import EPS, dist, finite, wrap_angle
+from wayscore.operators.ordered import shared
 
 
 def _ordered(keys):
@@ -414,14 +415,15 @@ def scene_metrics(pred: DataFrame, truth: DataFrame, keys: Sequence[str], truth_
     """Localise, resample to the longer clip, align and measure, one row per model and clip."""
     g = to_ego_frame(truth, truth_keys).drop("theta")
     p = forward_lateral(pred)
-    n_p = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
-    n_g = g.groupBy(*truth_keys).agg(F.count(F.lit(1)).alias("_ng"))
+    n_p = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
+    n_g = truth.groupBy(*truth_keys).agg(F.count(F.lit(1)).alias("_ng"))
     jobs = n_p.join(n_g, list(truth_keys)).withColumn("_target", F.greatest("_np", "_ng")).select(*keys, "_target")
     p = resample(p.join(jobs, list(keys)), keys, "_target")
     gj = g.join(jobs, list(truth_keys))
     g = resample(gj, keys, "_target")
     pair = p.withColumnsRenamed({"x": "px", "y": "py"}).join(
         g.withColumnsRenamed({"x": "gx", "y": "gy"}), [*keys, "frame"])
+    pair = shared(pair)
     aligned = align(pair.withColumns({"x": F.col("px"), "y": F.col("py")}), pair, keys, mode)
     return displacement_summary(aligned, keys, floor_m)
 

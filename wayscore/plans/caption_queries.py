@@ -9,7 +9,7 @@ from wayscore.functions import text as tx
 from wayscore.operators import captions as cp
 from wayscore.operators import ranking as rk
 from wayscore.operators import report as rp
-from wayscore.operators.ordered import grouped_quantiles
+from wayscore.operators.ordered import grouped_quantiles, shared
 from wayscore.plans import views as v
 from wayscore.plans.registry import query
 
@@ -67,7 +67,7 @@ def cleaned(spark, d):
         "category": F.when(p % 11 == 0, "scenery").otherwise(F.col("category")),
         "preferred_verifier": F.when(p % 5 == 0, "yolo").when(p % 5 == 1, "both").when(p % 5 == 2, "human").otherwise("qwen_vl"),
         "importance": F.when(p % 6 == 0, "7").when(p % 6 == 1, "abc").when(p % 6 == 2, "-3").when(p % 6 == 3, "4.5").otherwise((p % 5).cast("string"))})
-    return cp.clean_claims(raw)
+    return shared(cp.clean_claims(raw))
 
 
 @query("cleaned_claims", "B20", "doc_id:l pos:l category:s preferred_verifier:s importance:l", "cleaned", "SELECT * FROM cleaned")

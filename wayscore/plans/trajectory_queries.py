@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayscore.operators import trajectory as tr
 from wayscore.operators import ranking as rk
+from wayscore.operators.ordered import shared
 from wayscore.plans import views as v
 from wayscore.plans.registry import query
 
@@ -106,7 +107,7 @@ def _(spark, d):
 
 
 def _pair(spark, d):
-    a = v.traj_all(spark, d)
+    a = shared(v.traj_all(spark, d))
     return tr.pair_frames(a.where("model <> 'gt'"), a.where("model = 'gt'").drop("model"), G)
 
 
@@ -325,7 +326,8 @@ SCENE_COLS = ("gt_distance_m pred_distance_m distance_abs_error_m distance_signe
 
 
 def _scenes(spark, d):
-    return tr.scene_metrics(v.pred(spark, d), v.gt(spark, d), K, G)
+    a = shared(v.traj_all(spark, d))
+    return tr.scene_metrics(a.where("model <> 'gt'"), a.where("model = 'gt'").drop("model"), K, G)
 
 
 @query("scene_metrics", "D13 B28 F9 E4 B1 B2", f"{KEYS} gt_frames:l alignment_scale {SCENE_COLS}", "scene_m", "SELECT * FROM scene_m")

@@ -51,7 +51,7 @@ class KeyedFold(StatefulProcessor):
             out += more
         if len(pdf):
             last = float(pdf[self.order].iloc[-1])
-        self.value.update((last, late, json.dumps(state)))
+        self.value.update((last, late, json.dumps(state, default=lambda a: a.tolist())))
         if out:
             frame = pd.DataFrame(out)
             for name, k in zip(self.keys, key):
