@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayscore.functions import kalman as kf
+from wayscore.operators.ordered import by_key
 
 _STATE = T.ArrayType(T.StructType([T.StructField("frame", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("x", "y", "a", "h", "gate")]]))
 
@@ -56,7 +57,7 @@ def filter_tracks(df: DataFrame, keys: Sequence[str], aspect: bool = True) -> Da
             pos[hit] += 1
         return pd.Series(outs)
 
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y", "a", "h"))).alias("r"))
+    rows = by_key(df, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y", "a", "h"))).alias("r"))
     e = rows.select(*keys, F.explode(run("r")).alias("s"))
     return e.select(*keys, "s.frame", "s.x", "s.y", "s.a", "s.h", "s.gate")
 
@@ -70,8 +71,8 @@ def assign_frames(tracks: DataFrame, dets: DataFrame, keys: Sequence[str], limit
     A frame holds a bounded number of boxes (the detector's own maximum).
     """
     box = lambda i: F.struct(F.col(i).alias("id"), "x1", "y1", "x2", "y2")
-    t = tracks.groupBy(*keys).agg(F.array_sort(F.collect_list(box("track_id"))).alias("t"))
-    d = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("det_id").alias("id"), "x1", "y1", "x2", "y2", "conf"))).alias("d"))
+    t = by_key(tracks, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(box("track_id"))).alias("t"))
+    d = by_key(dets, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("det_id").alias("id"), "x1", "y1", "x2", "y2", "conf"))).alias("d"))
 
     @F.pandas_udf(_PAIRS)
     def solve(ts: pd.Series, ds: pd.Series) -> pd.Series:
@@ -196,5 +197,5 @@ def track_clips(dets: DataFrame, keys: Sequence[str]) -> DataFrame:
         return out
 
     cols = [*keys, "frame", "det_id", "conf", "x1", "y1", "x2", "y2"]
-    return dets.select(*cols).groupBy(*keys).applyInPandas(
+    return by_key(dets.select(*cols), *keys).groupBy(*keys).applyInPandas(
         run, f"{kinds}, frame long, track long, det_id long, score double, x1 double, y1 double, x2 double, y2 double")

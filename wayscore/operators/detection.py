@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wayscore.functions import boxes as bx
 from wayscore.operators.boxjoin import GEOM, distinct_boxes, overlap_pairs, top_rows
-from wayscore.operators.ordered import running_totals, shared
+from wayscore.operators.ordered import running_totals, salted_join, shared
 
 IOU_LEVELS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 PR_GRID = 101
@@ -110,7 +110,7 @@ def average_precision(matched: DataFrame, labels: DataFrame, keys: Sequence[str]
     hits = counts.select(*k, "n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("lvl"), F.col(f"t{i}").alias("hit"), F.col(f"c{i}").alias("j"))
         for i in range(len(IOU_LEVELS))])).alias("h")).where("h.hit = 1")
-    hits = hits.select(*k, "n", F.col("h.lvl").alias("lvl"), F.col("h.j").alias("j")).join(F.broadcast(n_l), k)
+    hits = salted_join(hits.select(*k, "n", F.col("h.lvl").alias("lvl"), F.col("h.j").alias("j")), n_l, k, ["n"])
     recall = F.col("j") / F.col("n_labels")
     guess = F.ceil(recall * (PR_GRID - 1)).cast("int")
     cell = F.when((guess - 1) * step >= recall, guess - 1).when(guess * step >= recall, guess).otherwise(guess + 1)
@@ -295,7 +295,8 @@ def category_to_class(c):
 
 def annotations_to_labels(annotations: DataFrame, images: DataFrame, remap: bool = True) -> DataFrame:
     """Annotation boxes to normalised centre boxes, without crowd, empty and repeated boxes."""
-    d = annotations.where(F.col("iscrowd") == 0).join(images, "image_id")
+    d = annotations.where(F.col("iscrowd") == 0).select("image_id", "category_id", "bx", "by", "bw", "bh").distinct()
+    d = salted_join(d, images, ["image_id"], ["category_id", "bx", "by"])
     cls = category_to_class(F.col("category_id")) if remap else F.col("category_id") - 1
     w, h = F.col("bw") / F.col("width"), F.col("bh") / F.col("height")
     out = d.select(
@@ -329,7 +330,7 @@ def audit_labels(images: DataFrame, labels: DataFrame, n_classes: int) -> DataFr
 
 def dataset_statistics(images: DataFrame, labels: DataFrame, split: str = "split") -> DataFrame:
     """Instances and images per split and class, with totals, and unlabelled images per split."""
-    per = labels.join(images, "image_id").groupBy(split, "image_id", "cls").agg(F.count(F.lit(1)).alias("n"))
+    per = labels.groupBy("image_id", "cls").agg(F.count(F.lit(1)).alias("n")).join(images, "image_id")
     per_class = per.groupBy(split, "cls").agg(F.sum("n").alias("instances"), F.count(F.lit(1)).alias("images"))
     any_label = per.groupBy(split, "image_id").agg(F.sum("n").alias("n"))
     total = (

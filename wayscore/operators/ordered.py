@@ -32,6 +32,15 @@ def shared(df: DataFrame) -> DataFrame:
     return df if df.isStreaming else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed on ``keys`` over the session's shuffle partitions.
+
+    Later windows and groups on these or finer keys need no further shuffle, and the
+    explicit count keeps costly per-row work spread when the data is small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -95,6 +104,7 @@ def running_totals(
     totals = work.groupBy(*keys, *buckets).agg(
         *[F.sum(_col(c)).alias(f"_t_{n}") for n, c in sums.items()]
     )
+    totals = totals if len(buckets) == 1 else shared(totals)
     totals = _prefix_totals(totals, list(keys), buckets, list(sums)).drop(*[f"_t_{n}" for n in sums])
     inside = (
         W.partitionBy(*keys, *buckets)

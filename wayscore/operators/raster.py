@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayscore.functions.numeric import dist
+from wayscore.operators.ordered import by_key
 
 EPS = 1e-6
 
@@ -351,7 +352,7 @@ def spectral_flicker(df: DataFrame, keys: Sequence[str], luma: str = "luma", fps
 
     The spectrum is taken over the frames of one clip, whose number is fixed.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", F.col(luma).alias("l")))).alias("_r"))
+    rows = by_key(df, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", F.col(luma).alias("l")))).alias("_r"))
     d = rows.select(*keys, F.transform("_r", lambda e: e["l"]).alias("_x")).withColumn("_n", F.size("_x"))
     d = d.withColumn("_p", _power("_x"))
     d = d.withColumn("_f", _peak("_p") * fps / F.col("_n"))

@@ -87,8 +87,8 @@ def similarity_index(df: DataFrame, id_: str, vector: str, max_dist: float = 0.2
         p = p.withColumn("_before", F.coalesce(F.sum("b_copies").over(w), F.lit(0))).where(F.col("_before") < top_k)
         p = p.withColumn("b_copies", F.least(F.col("b_copies"), top_k - F.col("_before")))
     reps = p.groupBy("a").agg(F.sum("b_copies").alias("n_similar"), F.array_sort(F.collect_list("b")).alias("similar_ids"))
-    v = F.col(vector).cast("array<double>")
-    rep_of = df.select(id_, F.min(id_).over(W.partitionBy(v)).alias("a"))
+    rows = df.select(id_, F.col(vector).cast("array<double>").alias("v"))
+    rep_of = salted_join(rows, rows.groupBy("v").agg(F.min(id_).alias("a")), ["v"], [id_]).drop("v")
     return rep_of.join(reps, "a").select(id_, "n_similar", "similar_ids")
 
 

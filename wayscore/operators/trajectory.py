@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayscore.functions.numeric import EPS, dist, finite, wrap_angle
-from wayscore.operators.ordered import shared
+from wayscore.operators.ordered import by_key, shared
 
 
 def _ordered(keys):
@@ -256,7 +256,7 @@ def displacement_errors(pair: DataFrame, keys: Sequence[str], threshold: float =
 
 def folded(pair: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per clip with the frame-ordered point arrays of both sides."""
-    rows = pair.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "px", "py", "gx", "gy"))).alias("_f"))
+    rows = by_key(pair, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "px", "py", "gx", "gy"))).alias("_f"))
     pick = lambda a, b: F.transform("_f", lambda r: F.struct(r[a].alias("x"), r[b].alias("y")))
     return rows.select(*keys, pick("px", "py").alias("p"), pick("gx", "gy").alias("g"))
 

@@ -219,9 +219,9 @@ def _(spark, d):
 
 @query("similarity_index", "C17", "vec_id:l n_similar:l similar_ids:s", "features", """
 WITH p AS (SELECT a.vec_id, b.vec_id AS o, sum((a.v-b.v)*(a.v-b.v)) AS d2 FROM features a JOIN features b USING (pos) GROUP BY ALL)
-SELECT vec_id, count(*) AS n_similar, string_agg(o::VARCHAR, ',' ORDER BY o) AS similar_ids FROM p WHERE d2 <= 0.9 GROUP BY vec_id""")
+SELECT vec_id, count(*) AS n_similar, string_agg(o::VARCHAR, ',' ORDER BY o) AS similar_ids FROM p WHERE d2 <= 1.25 GROUP BY vec_id""")
 def _(spark, d):
-    s = sm.similarity_index(v.embeddings(spark, d), "vec_id", "embedding", 0.9)
+    s = sm.similarity_index(v.embeddings(spark, d), "vec_id", "embedding", 1.25)
     return s.withColumn("similar_ids", F.array_join(F.col("similar_ids").cast("array<string>"), ","))
 
 
@@ -231,7 +231,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, o) AS r, lead
 SELECT image, vec_id, o AS match_id, d AS distance FROM r WHERE r = 1 AND d < 0.9*d2""")
 def _(spark, d):
     e = v.embeddings(spark, d).withColumn("image", v.div("vec_id", 50))
-    return sm.ratio_matches(e, "image", "vec_id", "embedding", 0.9)
+    return sm.ratio_matches(e, "image", "vec_id", "embedding", 1.25)
 
 
 @query("table_sql_filter", "G6", "vec_id:l label:l first_value", "", "SELECT vec_id, label, embedding[1] AS first_value FROM embeddings WHERE label IN (1, 4) AND embedding[1] > 0")

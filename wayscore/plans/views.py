@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayscore.operators.ordered import number_rows, spread_small_input
+from wayscore.operators.ordered import by_key, number_rows, spread_small_input
 
 CLIP = 41
 TRACK_CLIP = 40
@@ -82,7 +82,7 @@ def traj_all(spark, sf_dir) -> DataFrame:
     w = W.partitionBy("user_id", "clip").orderBy("n")
     scene = div("user_id", 7)
     static = (F.col("user_id") % 7 == 6) & (scene % 5 == 4)
-    return e.select(
+    t = e.select(
         scene.alias("scene_id"),
         "clip",
         F.when(F.col("user_id") % 7 == 0, F.lit("gt"))
@@ -93,6 +93,7 @@ def traj_all(spark, sf_dir) -> DataFrame:
         F.when(static, 0.0)
         .otherwise(F.sum(F.col("k") - 50).over(w).cast("double") / 200).alias("y"),
     )
+    return by_key(t, "scene_id", "clip")
 
 
 def pred(spark, sf_dir) -> DataFrame:
