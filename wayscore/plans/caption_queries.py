@@ -170,11 +170,11 @@ def _(spark, d):
 
 
 @query("camera_stability", "D33", "video_id:l clip:l valid_pairs:l avg_translation_px avg_translation_norm avg_rotation_deg camera_stability_score", "tracks", """
-WITH g AS (SELECT video_id, clip, count(*) AS valid_pairs, avg(cx/7) AS t, avg(cy/33) AS r FROM tracks GROUP BY ALL)
+WITH g AS (SELECT video_id, clip, count(*) AS valid_pairs, avg(cx/sqrt(50.0)) AS t, avg(cy/sqrt(1090.0)) AS r FROM tracks GROUP BY ALL)
 SELECT video_id, clip, valid_pairs, round(t,3) AS avg_translation_px, round(t/700,5) AS avg_translation_norm, round(r,3) AS avg_rotation_deg,
  CASE WHEN t/700 < 0.005 AND r < 0.5 THEN 1.0 WHEN t/700 < 0.02 AND r < 2.0 THEN 0.5 ELSE 0.0 END AS camera_stability_score FROM g""")
 def _(spark, d):
-    t = v.tracks(spark, d).withColumns({"translation": F.col("cx") / 7, "rotation": F.col("cy") / 33})
+    t = v.tracks(spark, d).withColumns({"translation": F.col("cx") / F.sqrt(F.lit(50.0)), "rotation": F.col("cy") / F.sqrt(F.lit(1090.0))})
     return cp.camera_stability(t, ["video_id", "clip"], 700)
 
 

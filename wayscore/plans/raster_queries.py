@@ -47,10 +47,10 @@ def _(spark, d):
 
 
 @query("sensor_noise", "I5", "image_id:l row_noise dsnu fpn dark_current", "pixels", """
-WITH pixels2 AS (SELECT image_id, y, x, luma/1.7 AS luma FROM pixels), r AS (SELECT image_id, y, avg(luma) AS m FROM pixels2 GROUP BY ALL), a AS (SELECT image_id, var_pop(m) AS row_noise FROM r GROUP BY image_id)
+WITH pixels2 AS (SELECT image_id, y, x, luma/sqrt(3.0) AS luma FROM pixels), r AS (SELECT image_id, y, avg(luma) AS m FROM pixels2 GROUP BY ALL), a AS (SELECT image_id, var_pop(m) AS row_noise FROM r GROUP BY image_id)
 SELECT * FROM a JOIN (SELECT image_id, max(luma)-min(luma) AS dsnu, stddev_pop(luma) AS fpn, avg(luma)/(1+1e-6) AS dark_current FROM pixels2 GROUP BY image_id) USING (image_id)""")
 def _(spark, d):
-    return ra.sensor_noise(v.pixels(spark, d).withColumn("luma", F.col("luma") / 1.7))
+    return ra.sensor_noise(v.pixels(spark, d).withColumn("luma", F.col("luma") / F.sqrt(F.lit(3.0))))
 
 
 v._sql("rgb", """
@@ -140,11 +140,11 @@ def _(spark, d):
 
 
 @query("focus_stability", "E12 I8", "video:l frame:l focus_change", "sten", """
-WITH s AS (SELECT image_id//20 AS video, image_id%20 AS frame, var_pop(lap)/1.3 AS s FROM sten GROUP BY ALL)
+WITH s AS (SELECT image_id//20 AS video, image_id%20 AS frame, var_pop(lap)/sqrt(2.0) AS s FROM sten GROUP BY ALL)
 SELECT a.video, a.frame, abs(a.s-b.s) AS focus_change FROM s a JOIN s b ON b.video=a.video AND b.frame=a.frame-1""")
 def _(spark, d):
     s = ra.sharpness(_frames(spark, d), ("video", "frame"))
-    return ra.focus_changes(s.withColumn("laplacian_var", F.col("laplacian_var") / 1.3), ["video"], "laplacian_var")
+    return ra.focus_changes(s.withColumn("laplacian_var", F.col("laplacian_var") / F.sqrt(F.lit(2.0))), ["video"], "laplacian_var")
 
 
 @query("luminance_flicker", "E10", f"{VC} exposure_jitter modulation_mitigation sequence_range", "luma", """
