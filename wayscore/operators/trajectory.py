@@ -398,6 +398,7 @@ def speed_score(df: DataFrame, keys: Sequence[str], dt: float = 0.1, v_static: f
 
 def quality(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean of the comfort, curvature and speed scores that exist for a clip."""
+    df = shared(df)
     d = comfort(df, keys).join(curvature(df, keys), list(keys)).join(speed_score(df, keys), list(keys))
     parts = F.array_compact(F.array("comfort", "curvature_score", "speed_score"))
     q = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(parts), F.lit(0))

@@ -47,10 +47,10 @@ def _(spark, d):
 
 
 @query("sensor_noise", "I5", "image_id:l row_noise dsnu fpn dark_current", "pixels", """
-WITH pixels2 AS (SELECT image_id, y, x, luma/sqrt(3.0) AS luma FROM pixels), r AS (SELECT image_id, y, avg(luma) AS m FROM pixels2 GROUP BY ALL), a AS (SELECT image_id, var_pop(m) AS row_noise FROM r GROUP BY image_id)
+WITH pixels2 AS (SELECT image_id, y, x, luma/sqrt(sqrt(3.0)) AS luma FROM pixels), r AS (SELECT image_id, y, avg(luma) AS m FROM pixels2 GROUP BY ALL), a AS (SELECT image_id, var_pop(m) AS row_noise FROM r GROUP BY image_id)
 SELECT * FROM a JOIN (SELECT image_id, max(luma)-min(luma) AS dsnu, stddev_pop(luma) AS fpn, avg(luma)/(1+1e-6) AS dark_current FROM pixels2 GROUP BY image_id) USING (image_id)""")
 def _(spark, d):
-    return ra.sensor_noise(v.pixels(spark, d).withColumn("luma", F.col("luma") / F.sqrt(F.lit(3.0))))
+    return ra.sensor_noise(v.pixels(spark, d).withColumn("luma", F.col("luma") / F.sqrt(F.sqrt(F.lit(3.0)))))
 
 
 v._sql("rgb", """
