@@ -56,3 +56,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayscore.llm.fm_index import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents"), window=13)
+
+
+@query("op4_hyperminhash_near_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    from wayscore.llm.hyperminhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=5, percent=85)
+
+
+@query("op7_bloom_filter_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and log-frequency Bloom filter score of every document."""
+    from wayscore.llm.bloom_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
