@@ -72,3 +72,47 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayscore.llm.bloom_lm import score_documents
 
     return score_documents(_table(spark, sf_dir, "documents"))
+
+
+@query("op6_pair_index_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids and the decoded text of every document, as digests."""
+    import public_tokenizers
+
+    from wayscore.llm.pair_bpe import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), give_ids=False)
+
+
+@query("op5_nearest_example_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples."""
+    from wayscore.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op2_mtree_top_k", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    from wayscore.llm.mtree import top_k, whole_vectors
+
+    vectors = whole_vectors(_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
