@@ -116,3 +116,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = whole_vectors(_table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+#: The key of the registered queries; a deployment passes its own secret.
+SURROGATE_KEY = b"wayscore surrogate key"
+
+
+@query("op3_surrogate_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with keyed surrogates for the personal data in them."""
+    from wayscore.llm.surrogates import replace_entities
+
+    return replace_entities(_table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_replaced")
