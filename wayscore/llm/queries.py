@@ -128,3 +128,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayscore.llm.surrogates import replace_entities
 
     return replace_entities(_table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_replaced")
+
+
+@query("op1_nearest_url_differencing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from wayscore.llm.page_diff import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
