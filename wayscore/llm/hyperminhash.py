@@ -194,6 +194,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
+    """The documents, all columns kept, with one of each component: its smallest doc_id, once. Documents without an id
+    rank after all others, by their text."""
+    text = F.col("text").cast("string")
+    rank = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    rows = docs.withColumn("_rank", F.coalesce(F.col("doc_id").cast("long"), rank)).withColumn("_key", F.xxhash64(text))
+    found = near_duplicates(rows.select(F.col("_rank").alias("doc_id"), "text"), size, percent)
+    kept = found.where("kept").select(F.col("doc_id").alias("_rank")).distinct()
+    return rows.join(kept, "_rank", "left_semi").dropDuplicates(["_rank", "_key"]).select(*docs.columns)
+
+
 def _confirmed(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs of classes (a, b) that hold on the full sets."""
     side = lambda k: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))

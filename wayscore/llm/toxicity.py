@@ -227,3 +227,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
         types = "".join(f"_k{i} {t}, " for i, (_, t) in enumerate(docs.select(*keep).dtypes))
         scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id long, {types}score double, {evidence}")
     return scored.select("doc_id", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), "evidence")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The documents, all columns kept, that are not predicted toxic."""
+    columns = tuple(c for c in docs.columns if c != "doc_id")
+    named = docs.select("doc_id", *[F.col(c).alias(f"_d{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))
+    scored = score_toxicity(named, labels, keep=tuple(f"_d{i}" for i in range(len(columns))), **parameters)
+    own = {c: F.col(f"_d{i}").alias(c) for i, c in enumerate(columns)}
+    return scored.where("predicted = 0").select(*[own.get(c, F.col("doc_id")) for c in docs.columns])
