@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wayscore.llm.common import parts_for, shuffle_partitions
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 #: Megabytes of text in one bucket of documents.
 BUCKET_MB = 16

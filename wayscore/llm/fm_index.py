@@ -1,7 +1,7 @@
 """Removal of repeated passages with compressed FM-indexes.
 
 A window of words that occurs twice must be looked up in one place. So texts are cut into segments:
-runs of windows that share their smallest 5-word hash. Equal windows have equal smallest hashes and
+runs of windows that share their smallest 4-word hash. Equal windows have equal smallest hashes and
 so go to the same shard; a shard needs only the segments whose hash comes from several places.
 
 A shard concatenates its distinct segments, builds an FM-index over them (suffixes in the order of
@@ -23,8 +23,8 @@ from wayscore.llm.buckets import BLOBS, blobs, in_buckets, narrow, packed, unpac
 from wayscore.llm.common import SPACES, Alphabet, Texts, Words, gathered, mixed, parts_for, ranges, runs_of, shuffle_partitions, texts_of
 
 #: Words of the hash whose smallest value in a window picks the shard, and text megabytes behind one shard.
-ANCHOR = 5
-SHARD_MB = 24
+ANCHOR = 4
+SHARD_MB = 12
 #: A null doc_id ranks after all others.
 LAST = np.iinfo(np.int64).max
 
