@@ -9,7 +9,8 @@ decide.
 At a similarity of 0.85 one band agrees with a chance of 0.44 and at least one of 25 with all but 5e-7.
 Within a band nothing is paired at random: every member meets the band's first and last document, and
 only where verified links leave a band in several components do the members outside its largest
-component meet the others. Members already connected add nothing, so no component is missed.
+component meet the others: all of them in small bands, those with a difference from a hub in common in
+large ones (an exact prefix filter). Members already connected add nothing, so no component is missed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayscore.llm.common import SPACES, Alphabet, Texts, mixed, ranges, runs_of, stored, texts_of
@@ -29,6 +30,8 @@ REGISTERS = 128
 MANTISSA = 10
 ROWS = 5
 BANDS = REGISTERS // ROWS
+#: Bands with more members than this find the rest of their links by their differences.
+CROWD = 32
 #: Candidates this many standard errors below the threshold are not verified.
 MARGIN = 6.0
 
@@ -174,16 +177,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     # bands that the links so far leave in several components
     named = bands.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     shares = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
-    split = shares.groupBy("band").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("main.label").alias("main"))
-    members = stored(named.join(split, "band").select("band", "cid", "n", "label", "main"))
-    left, right = members.where("label <> main").alias("l"), members.alias("r")
+    split = shares.groupBy("band").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).where("parts > 1").select("band", "m", F.col("main.label").alias("main"))
+    members = stored(named.join(split, "band").select("band", "cid", "n", "label", "main", "m"))
+    left, right = members.where("label <> main").where(F.col("m") <= CROWD).alias("l"), members.where(F.col("m") <= CROWD).alias("r")
     other = (
         left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.label") != F.col("r.label")) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")))
         .select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
-    more = _confirmed(rows, classes, stored(other), size, percent)
+    crowd = members.where(F.col("m") > CROWD).select(F.col("main").alias("hub"), "cid", "label").distinct()
+    more = stored(_confirmed(rows, classes, stored(other), size, percent).union(_in_crowds(rows, classes, crowd, size, percent)))
     if more.limit(1).count():
         label = stored(components(edges.union(more)))
     groups = classes.select("cid", "rep").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -205,6 +209,65 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     return rows.join(kept, "_rank", "left_semi").dropDuplicates(["_rank", "_key"]).select(*docs.columns)
 
 
+def _in_crowds(rows: DataFrame, classes: DataFrame, crowd: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links between different labels among the classes ``cid`` around each class ``hub``, exactly.
+
+    Each set is written as its difference D from the hub's set. The symmetric difference of two sets is that of their D;
+    a similarity of t allows it (1 - t) / (1 + t) of the two sizes. If two D together are no larger, both sets are linked to
+    the hub. Else two linked sets share at least |D| - (1 - t) / t * n elements of either D, so they share one of its
+    first |D| less that many, plus one (prefix filtering), in the order: what a set has beyond the hub's, then what it lacks
+    of it. Copies of one text, which have most of it in common, thus meet
+    only by what they changed in common, and sets that only share a passage meet nobody.
+    """
+    side = classes.select("cid", F.col("rep").alias("doc_id"), "text_key", "n")
+    used = crowd.select("cid").union(crowd.select("hub")).distinct()
+    texts = stored(rows.join(side.join(used, "cid"), ["doc_id", "text_key"]).dropDuplicates(["cid"]).select("cid", "n", "text"))
+    hubs = texts.select(F.col("cid").alias("hub"), F.col("n").alias("n_hub"), F.col("text").alias("text_hub"))
+    pairs = crowd.join(texts, "cid").join(hubs, "hub").select("hub", "cid", "label", "n", "n_hub", "text_hub", "text")
+    apart = stored(pairs.mapInArrow(_differences(size, percent), "hub long, cid long, label long, n long, n_hub long, d array<long>, head array<long>")).withColumn("size", F.size("d"))
+
+    def linked(n: str, m: str, apart_: str) -> Column:
+        both = (F.col(n) + F.col(m) - F.expr(apart_)) / 2
+        return 100 * both >= percent * (both + F.expr(apart_))
+
+    to_hub = apart.where("hub <> cid").where(linked("n", "n_hub", "size")).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    # dealt anew, as a hub of many sets has put them into few files
+    heads = apart.select("hub", "cid", "label", "n", "head").repartition("hub", "cid").select("hub", "cid", "label", "n", F.explode("head").alias("item"))
+    heads = stored(heads.select("hub", "item", "cid", "label", "n"))
+    x, y = heads.alias("l"), heads.alias("r")
+    fits = (F.col("l.hub") == F.col("r.hub")) & (F.col("l.item") == F.col("r.item")) & (F.col("l.cid") < F.col("r.cid")) & (F.col("l.label") != F.col("r.label"))
+    met = x.join(y, fits & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")))
+    met = met.select("l.hub", F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
+    own = lambda k: apart.select("hub", F.col("cid").alias(k), F.col("n").alias(f"n_{k}"), F.col("d").alias(f"d_{k}"))
+    full = met.join(own("a"), ["hub", "a"]).join(own("b"), ["hub", "b"])
+    both = full.where(linked("n_a", "n_b", "size(d_a) + size(d_b) - 2 * size(array_intersect(d_a, d_b))")).select("a", "b")
+    return to_hub.union(both).distinct()
+
+
+def _differences(size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hub, own = texts_of(batch.column(5)), texts_of(batch.column(6))
+            ends = np.cumsum(np.diff(hub.offsets) + np.diff(own.offsets))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (8 << 20))))
+                vh, eh = shingle_sets(hub.part(i, j), size)
+                vo, eo = shingle_sets(own.part(i, j), size)
+                out, heads, sizes = [], [], batch.column(3).slice(i, j - i).to_pylist()
+                for k in range(j - i):
+                    h, o = vh[eh[k] : eh[k + 1]], vo[eo[k] : eo[k + 1]]
+                    # what the set lacks is told apart from what it has beyond the hub's
+                    out.append(np.concatenate([np.setdiff1d(o, h, assume_unique=True), mixed(np.setdiff1d(h, o, assume_unique=True))]))
+                    least = max(1, -((100 - percent) * sizes[k] - percent * len(out[-1])) // percent)
+                    heads.append(out[-1][: len(out[-1]) - least + 1])
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64))) for x in (out, heads)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), *lists], names=["hub", "cid", "label", "n", "n_hub", "d", "head"])
+                i = j
+
+    return run
+
+
 def _confirmed(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs of classes (a, b) that hold on the full sets."""
     side = lambda k: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
