@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # White space as Python's str methods and \s see it (fixed value).
 SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Words that stand for a score (fixed values).
 YES_WORDS = ("yes", "true", "followed", "clearly followed", "1", "1.0")
 HALF_WORDS = ("partial", "partially", "ambiguous", "unclear", "0.5")
 NO_WORDS = ("no", "false", "not followed", "ignored", "missing", "0", "0.0")

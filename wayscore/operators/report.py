@@ -20,6 +20,10 @@ MODEL_NAMES = {
     "ltx-video-13b": "LTX-13B",
     "nvidia-cosmos-predict2-2b": "NVIDIA Cosmos 2.5-2B",
     "vista": "Vista-2B",
+    "ltx-video-2bx": "LTX-2B",
+    "ltx-video-13bx": "LTX-13B",
+    "nvidia-cosmos-predict2.5-2b": "NVIDIA Cosmos 2.5-2B",
+    "vista2b": "Vista-2B",
 }
 
 

@@ -300,7 +300,7 @@ def _warp_cost(px: pd.Series, py: pd.Series, gx: pd.Series, gy: pd.Series) -> pd
     return pd.Series(result)
 
 
-def warping(pair: DataFrame, keys: Sequence[str], alpha: float = 4.0, threshold: float = 3.0) -> DataFrame:
+def warping(pair: DataFrame, keys: Sequence[str], alpha: float = 4.0, threshold: float = 2.0) -> DataFrame:
     """Dynamic-time-warping cost, its normalised form and the success-weighted form."""
     f = folded(pair, keys)
     cost = _warp_cost("p.x", "p.y", "g.x", "g.y")

@@ -50,7 +50,7 @@ def _(spark, d):
 
 
 @query("inception_score_splits", "D18", "split:l score", "features", """
-WITH e AS (SELECT vec_id, pos, exp(v*4) AS e FROM features WHERE pos < 10), p AS (SELECT vec_id, pos, e/sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
+WITH e AS (SELECT vec_id, pos, exp(v*4) AS e FROM features), p AS (SELECT vec_id, pos, e/sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
 n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id)-1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT vec_id FROM features)),
 s AS (SELECT vec_id, (SELECT max(g.g) FROM generate_series(0,9) g(g) WHERE g.g*n//10 <= i) AS split FROM n),
 m AS (SELECT split, pos, avg(p) AS m FROM p JOIN s USING (vec_id) GROUP BY ALL),
@@ -58,12 +58,12 @@ k AS (SELECT s.split, p.vec_id, sum(p*(ln(p)-ln(m))) AS kl FROM p JOIN s USING (
 SELECT split, exp(avg(kl)) AS score FROM k GROUP BY split""")
 def _(spark, d):
     e = v.embeddings(spark, d)
-    p = e.select("vec_id", ds.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 4)).alias("p"))
+    p = e.select("vec_id", ds.softmax(F.transform("embedding", lambda x: x.cast("double") * 4)).alias("p"))
     return ds.inception_score(p, "p", "vec_id", v.div("vec_id", 4096), 10)
 
 
 @query("inception_score", "D18 D19", "splits:l mean std", "features", """
-WITH e AS (SELECT vec_id, pos, exp(v*4) AS e FROM features WHERE pos < 10), p AS (SELECT vec_id, pos, e/sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
+WITH e AS (SELECT vec_id, pos, exp(v*4) AS e FROM features), p AS (SELECT vec_id, pos, e/sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
 n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id)-1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT vec_id FROM features)),
 s AS (SELECT vec_id, (SELECT max(g.g) FROM generate_series(0,9) g(g) WHERE g.g*n//10 <= i) AS split FROM n),
 m AS (SELECT split, pos, avg(p) AS m FROM p JOIN s USING (vec_id) GROUP BY ALL),
@@ -71,7 +71,7 @@ k AS (SELECT s.split, p.vec_id, sum(p*(ln(p)-ln(m))) AS kl FROM p JOIN s USING (
 SELECT count(*) AS splits, avg(score) AS mean, stddev_pop(score) AS std FROM (SELECT split, exp(avg(kl)) AS score FROM k GROUP BY split)""")
 def _(spark, d):
     e = v.embeddings(spark, d)
-    p = e.select("vec_id", ds.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 4)).alias("p"))
+    p = e.select("vec_id", ds.softmax(F.transform("embedding", lambda x: x.cast("double") * 4)).alias("p"))
     s = ds.inception_score(p, "p", "vec_id", v.div("vec_id", 4096), 10)
     return ds.repeat_statistics(s, [], "score").withColumnRenamed("runs", "splits")
 
@@ -83,10 +83,10 @@ def _(spark, d):
 
 
 @query("top_k_accuracy", "D23", "top1 top5", "features", """
-WITH r AS (SELECT vec_id, label, pos, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) AS r FROM features WHERE pos < 10)
+WITH r AS (SELECT vec_id, label, pos, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) AS r FROM features)
 SELECT avg(CASE WHEN r = 1 THEN 1.0 ELSE 0 END) AS top1, avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END) AS top5 FROM r WHERE pos = label""")
 def _(spark, d):
-    e = v.embeddings(spark, d).withColumn("s", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")))
+    e = v.embeddings(spark, d).withColumn("s", F.transform("embedding", lambda x: x.cast("double")))
     return ds.top_accuracy(e, "s", "label")
 
 

@@ -165,7 +165,7 @@ w AS (SELECT model, scene_id, clip, t, i, j, pre AS dcost FROM s WHERE i = 1
             FROM w JOIN s n ON n.model=w.model AND n.scene_id=w.scene_id AND n.clip=w.clip AND n.i=w.i+1 AND n.j=w.j) z),
 f AS (SELECT model, scene_id, clip, arg_max({ERR}, frame) AS fde FROM pair GROUP BY ALL)
 SELECT model, scene_id, clip, dcost AS dtw, exp(-dcost/(4.0*t)) AS ndtw,
-       CASE WHEN fde < 3 THEN exp(-dcost/(4.0*t)) ELSE 0 END AS sdtw
+       CASE WHEN fde < 2 THEN exp(-dcost/(4.0*t)) ELSE 0 END AS sdtw
 FROM w JOIN f USING (model, scene_id, clip) WHERE i = t AND j = t""")
 def _(spark, d):
     return tr.warping(_pair(spark, d), K)

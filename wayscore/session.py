@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -23,12 +20,3 @@ def build_session(master: str | None = None, app: str = "wayscore", **conf: str)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a local one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayscore-ckpt-"))
-    return named or spark.sparkContext.getCheckpointDir() or os.devnull
