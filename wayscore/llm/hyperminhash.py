@@ -9,7 +9,7 @@ decide.
 At a similarity of 0.85 one band agrees with a chance of 0.44 and at least one of 25 with all but 5e-7.
 Within a band nothing is paired at random: every member meets the band's first and last document, and
 only where verified links leave a band in several components do the members outside its largest
-component meet the others: all of them in small bands, those with a difference from a hub in common in
+component meet the others: all of them in small bands, those with a rare difference from a hub in common in
 large ones (an exact prefix filter). Members already connected add nothing, so no component is missed.
 """
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayscore.llm.common import SPACES, Alphabet, Texts, mixed, ranges, runs_of, stored, texts_of
@@ -215,8 +216,7 @@ def _in_crowds(rows: DataFrame, classes: DataFrame, crowd: DataFrame, size: int,
     Each set is written as its difference D from the hub's set. The symmetric difference of two sets is that of their D;
     a similarity of t allows it (1 - t) / (1 + t) of the two sizes. If two D together are no larger, both sets are linked to
     the hub. Else two linked sets share at least |D| - (1 - t) / t * n elements of either D, so they share one of its
-    first |D| less that many, plus one (prefix filtering), in the order: what a set has beyond the hub's, then what it lacks
-    of it. Copies of one text, which have most of it in common, thus meet
+    rarest |D| less that many, plus one (prefix filtering). Copies of one text, which have most of it in common, thus meet
     only by what they changed in common, and sets that only share a passage meet nobody.
     """
     side = classes.select("cid", F.col("rep").alias("doc_id"), "text_key", "n")
@@ -224,15 +224,20 @@ def _in_crowds(rows: DataFrame, classes: DataFrame, crowd: DataFrame, size: int,
     texts = stored(rows.join(side.join(used, "cid"), ["doc_id", "text_key"]).dropDuplicates(["cid"]).select("cid", "n", "text"))
     hubs = texts.select(F.col("cid").alias("hub"), F.col("n").alias("n_hub"), F.col("text").alias("text_hub"))
     pairs = crowd.join(texts, "cid").join(hubs, "hub").select("hub", "cid", "label", "n", "n_hub", "text_hub", "text")
-    apart = stored(pairs.mapInArrow(_differences(size, percent), "hub long, cid long, label long, n long, n_hub long, d array<long>, head array<long>")).withColumn("size", F.size("d"))
+    apart = stored(pairs.mapInArrow(_differences(size), "hub long, cid long, label long, n long, n_hub long, d array<long>")).withColumn("size", F.size("d"))
 
     def linked(n: str, m: str, apart_: str) -> Column:
         both = (F.col(n) + F.col(m) - F.expr(apart_)) / 2
         return 100 * both >= percent * (both + F.expr(apart_))
 
     to_hub = apart.where("hub <> cid").where(linked("n", "n_hub", "size")).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
-    # dealt anew, as a hub of many sets has put them into few files
-    heads = apart.select("hub", "cid", "label", "n", "head").repartition("hub", "cid").select("hub", "cid", "label", "n", F.explode("head").alias("item"))
+    single = apart.select("hub", "cid", "label", "n", "size", F.explode("d").alias("item"))
+    shares = single.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    least = F.greatest(F.lit(1), F.ceil(F.col("size") - (100 - percent) * F.col("n") / percent - 1e-9))
+    # items of one set alone come first in the order and meet nobody: they only count
+    alone = F.col("size") - F.count(F.lit(1)).over(W.partitionBy("hub", "cid"))
+    at = F.row_number().over(W.partitionBy("hub", "cid").orderBy("df", "item"))
+    heads = single.join(shares, ["hub", "item"]).withColumn("at", alone + at).where(F.col("at") <= F.col("size") - least + 1)
     heads = stored(heads.select("hub", "item", "cid", "label", "n"))
     x, y = heads.alias("l"), heads.alias("r")
     fits = (F.col("l.hub") == F.col("r.hub")) & (F.col("l.item") == F.col("r.item")) & (F.col("l.cid") < F.col("r.cid")) & (F.col("l.label") != F.col("r.label"))
@@ -244,7 +249,7 @@ def _in_crowds(rows: DataFrame, classes: DataFrame, crowd: DataFrame, size: int,
     return to_hub.union(both).distinct()
 
 
-def _differences(size: int, percent: int):
+def _differences(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hub, own = texts_of(batch.column(5)), texts_of(batch.column(6))
@@ -254,15 +259,13 @@ def _differences(size: int, percent: int):
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (8 << 20))))
                 vh, eh = shingle_sets(hub.part(i, j), size)
                 vo, eo = shingle_sets(own.part(i, j), size)
-                out, heads, sizes = [], [], batch.column(3).slice(i, j - i).to_pylist()
+                out = []
                 for k in range(j - i):
                     h, o = vh[eh[k] : eh[k + 1]], vo[eo[k] : eo[k + 1]]
                     # what the set lacks is told apart from what it has beyond the hub's
                     out.append(np.concatenate([np.setdiff1d(o, h, assume_unique=True), mixed(np.setdiff1d(h, o, assume_unique=True))]))
-                    least = max(1, -((100 - percent) * sizes[k] - percent * len(out[-1])) // percent)
-                    heads.append(out[-1][: len(out[-1]) - least + 1])
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64))) for x in (out, heads)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), *lists], names=["hub", "cid", "label", "n", "n_hub", "d", "head"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32)), pa.array(np.concatenate(out).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), lists], names=["hub", "cid", "label", "n", "n_hub", "d"])
                 i = j
 
     return run
