@@ -7,8 +7,8 @@ similarity is estimated from equal registers less the expected chance collisions
 decide.
 
 At a similarity of 0.85 one band agrees with a chance of 0.44 and at least one of 25 with all but 5e-7.
-Within a band nothing is paired at random: every member meets the band's first and last document, and
-only where verified links leave a band in several components do the members outside its largest
+Within a band nothing is paired at random: every member meets the band's first document and its most central
+one (whose bands have the most members; the base of a group of copies is that), and only where verified links leave a band in several components do the members outside its largest
 component meet the others: all of them in small bands, those with a rare difference from a hub in common in
 large ones (an exact prefix filter). Members already connected add nothing, so no component is missed.
 """
@@ -33,6 +33,8 @@ ROWS = 5
 BANDS = REGISTERS // ROWS
 #: Bands with more members than this find the rest of their links by their differences.
 CROWD = 32
+#: Words of 64 parities of a difference's elements.
+WORDS = 4
 #: Candidates this many standard errors below the threshold are not verified.
 MARGIN = 6.0
 
@@ -170,8 +172,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     chosen = sketched.join(first.withColumnRenamed("rep", "doc_id"), ["cid", "doc_id"]).dropDuplicates(["cid"])
     classes = stored(chosen.select("cid", F.col("doc_id").alias("rep"), "text_key", F.col("n_shingles").alias("n"), "sketch", "bands"))
     bands = classes.select("cid", "rep", "n", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min(F.struct("rep", "cid")).alias("lo"), F.max(F.struct("rep", "cid")).alias("hi")).where("lo.cid <> hi.cid")
-    spread = bands.join(ends, "band").withColumn("hub", F.explode(F.array("lo.cid", "hi.cid"))).where("hub <> cid")
+    # the base of a group of copies shares more of their bands than any copy does
+    met = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    central = bands.join(met, "band").groupBy("cid", "rep", "n").agg(F.sum("m").alias("pull"), F.collect_list("band").alias("bands"))
+    bands = stored(central).select("cid", "rep", "n", "pull", F.explode("bands").alias("band"))
+    ends = bands.groupBy("band").agg(F.min(F.struct("rep", "cid")).alias("lo"), F.max(F.struct("pull", "rep", "cid")).alias("hi"))
+    spread = bands.join(ends, "band").withColumn("hub", F.explode(F.array_distinct(F.array("lo.cid", "hi.cid")))).where("hub <> cid")
     pairs = stored(spread.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct())
     edges = _confirmed(rows, classes, pairs, size, percent)
     label = stored(components(edges))
@@ -216,7 +222,8 @@ def _in_crowds(rows: DataFrame, classes: DataFrame, crowd: DataFrame, size: int,
     Each set is written as its difference D from the hub's set. The symmetric difference of two sets is that of their D;
     a similarity of t allows it (1 - t) / (1 + t) of the two sizes. If two D together are no larger, both sets are linked to
     the hub. Else two linked sets share at least |D| - (1 - t) / t * n elements of either D, so they share one of its
-    rarest |D| less that many, plus one (prefix filtering). Copies of one text, which have most of it in common, thus meet
+    rarest |D| less that many, plus one (prefix filtering). The place of the shared element in both orders and the parities
+    of 256 hashed parts of D bound the difference of a pair from below within the join, both exactly. Copies of one text, which have most of it in common, thus meet
     only by what they changed in common, and sets that only share a passage meet nobody.
     """
     side = classes.select("cid", F.col("rep").alias("doc_id"), "text_key", "n")
@@ -224,24 +231,30 @@ def _in_crowds(rows: DataFrame, classes: DataFrame, crowd: DataFrame, size: int,
     texts = stored(rows.join(side.join(used, "cid"), ["doc_id", "text_key"]).dropDuplicates(["cid"]).select("cid", "n", "text"))
     hubs = texts.select(F.col("cid").alias("hub"), F.col("n").alias("n_hub"), F.col("text").alias("text_hub"))
     pairs = crowd.join(texts, "cid").join(hubs, "hub").select("hub", "cid", "label", "n", "n_hub", "text_hub", "text")
-    apart = stored(pairs.mapInArrow(_differences(size), "hub long, cid long, label long, n long, n_hub long, d array<long>")).withColumn("size", F.size("d"))
+    apart = stored(pairs.mapInArrow(_differences(size), "hub long, cid long, label long, n long, n_hub long, d array<long>, bits array<long>")).withColumn("size", F.size("d"))
 
     def linked(n: str, m: str, apart_: str) -> Column:
         both = (F.col(n) + F.col(m) - F.expr(apart_)) / 2
         return 100 * both >= percent * (both + F.expr(apart_))
 
     to_hub = apart.where("hub <> cid").where(linked("n", "n_hub", "size")).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
-    single = apart.select("hub", "cid", "label", "n", "size", F.explode("d").alias("item"))
+    single = apart.select("hub", "cid", "label", "n", "size", "bits", F.explode("d").alias("item"))
     shares = single.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     least = F.greatest(F.lit(1), F.ceil(F.col("size") - (100 - percent) * F.col("n") / percent - 1e-9))
     # items of one set alone come first in the order and meet nobody: they only count
     alone = F.col("size") - F.count(F.lit(1)).over(W.partitionBy("hub", "cid"))
     at = F.row_number().over(W.partitionBy("hub", "cid").orderBy("df", "item"))
     heads = single.join(shares, ["hub", "item"]).withColumn("at", alone + at).where(F.col("at") <= F.col("size") - least + 1)
-    heads = stored(heads.select("hub", "item", "cid", "label", "n"))
+    heads = stored(heads.select("hub", "item", "cid", "label", "n", "size", "at", *(F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS))))
     x, y = heads.alias("l"), heads.alias("r")
     fits = (F.col("l.hub") == F.col("r.hub")) & (F.col("l.item") == F.col("r.item")) & (F.col("l.cid") < F.col("r.cid")) & (F.col("l.label") != F.col("r.label"))
-    met = x.join(y, fits & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")))
+    fits &= 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    # how far the two may differ; at their first common element all other common ones still lie ahead of both
+    room = (100 - percent) * (F.col("l.n") + F.col("r.n")) / (100 + percent) + 1e-9
+    fits &= 2 * (1 + F.least(F.col("l.size") - F.col("l.at"), F.col("r.size") - F.col("r.at"))) >= F.col("l.size") + F.col("r.size") - room
+    # parities differ in no more places than the sets do
+    fits &= sum(F.bit_count(F.col(f"l.bits{k}").bitwiseXOR(F.col(f"r.bits{k}"))) for k in range(WORDS)) <= room
+    met = x.join(y, fits)
     met = met.select("l.hub", F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
     own = lambda k: apart.select("hub", F.col("cid").alias(k), F.col("n").alias(f"n_{k}"), F.col("d").alias(f"d_{k}"))
     full = met.join(own("a"), ["hub", "a"]).join(own("b"), ["hub", "b"])
@@ -259,13 +272,15 @@ def _differences(size: int):
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (8 << 20))))
                 vh, eh = shingle_sets(hub.part(i, j), size)
                 vo, eo = shingle_sets(own.part(i, j), size)
-                out = []
+                out, bits = [], np.zeros((j - i, 64 * WORDS), np.uint8)
                 for k in range(j - i):
                     h, o = vh[eh[k] : eh[k + 1]], vo[eo[k] : eo[k + 1]]
                     # what the set lacks is told apart from what it has beyond the hub's
                     out.append(np.concatenate([np.setdiff1d(o, h, assume_unique=True), mixed(np.setdiff1d(h, o, assume_unique=True))]))
+                    bits[k] = np.bincount((out[-1] % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32)), pa.array(np.concatenate(out).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), lists], names=["hub", "cid", "label", "n", "n_hub", "d"])
+                parities = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()), WORDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), lists, parities], names=["hub", "cid", "label", "n", "n_hub", "d", "bits"])
                 i = j
 
     return run
