@@ -243,17 +243,18 @@ def confusion_matrix(dets: DataFrame, labels: DataFrame, background: int, conf:
     return hit.select(cols).unionByName(fp.select(cols)).unionByName(fn.select(cols)).where("n > 0")
 
 
-def suppress(dets: DataFrame, conf: float = 0.25, iou_max: float = 0.45, max_in: int = 30000, max_out: int = 300) -> DataFrame:
+def suppress(dets: DataFrame, conf: float = 0.25, iou_max: float = 0.45, max_in: int | None = None, max_out: int | None = None) -> DataFrame:
     """Greedy non-maximum suppression per image and class.
 
     Equal boxes collapse to the strongest first (the others would be suppressed
-    by it). ``max_in`` and ``max_out`` are the operator's own limits; the first one
-    also bounds the ordered fold that runs per image and class.
+    by it). ``max_in`` and ``max_out``, where given, limit the boxes of an image before
+    and after. The ordered fold runs per image and class, so a row holds that group's distinct boxes.
     """
     strong = F.max(F.struct("conf", (-F.col("det_id")).alias("neg"))).alias("_b")
     d = dets.where(F.col("conf") > conf).groupBy("image_id", "cls", *GEOM).agg(strong)
     d = d.select("image_id", "cls", *GEOM, F.col("_b.conf").alias("conf"), (-F.col("_b.neg")).alias("det_id"))
-    d = top_rows(d, ["image_id"], [F.col("conf").desc(), "det_id"], max_in, ["det_id"])
+    if max_in is not None:
+        d = top_rows(d, ["image_id"], [F.col("conf").desc(), "det_id"], max_in, ["det_id"])
     item = F.struct((-F.col("conf")).alias("neg"), "det_id", *GEOM)
     lists = d.groupBy("image_id", "cls").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
@@ -265,7 +266,10 @@ def suppress(dets: DataFrame, conf: float = 0.25, iou_max: float = 0.45, max_in:
     kept = F.aggregate("items", F.slice("items", 1, 0), step)
     out = lists.select("image_id", "cls", F.explode(kept).alias("e")).select(
         "image_id", "cls", F.col("e.det_id").alias("det_id"), (-F.col("e.neg")).alias("conf"))
-    return top_rows(out, ["image_id"], [F.col("conf").desc(), "det_id"], max_out, ["det_id"])
+    order = [F.col("conf").desc(), "det_id"]
+    if max_out is not None:
+        return top_rows(out, ["image_id"], order, max_out, ["det_id"])
+    return out.withColumn("position", F.row_number().over(W.partitionBy("image_id").orderBy(*order)))
 
 
 def top_scores(scores: DataFrame, max_det: int) -> DataFrame:

@@ -67,6 +67,8 @@ def _frechet(pdf: pd.DataFrame) -> pd.DataFrame:
         mu = np.zeros(dim)
         mu[j] = g["mean_j"].to_numpy()
         stats.append((mu, c))
+    if len(stats) < 2:
+        return pd.DataFrame({"frechet": [None]}, dtype="float64")
     (ma, ca), (mb, cb) = stats
     lam, vec = np.linalg.eigh(ca)
     root = (vec * np.sqrt(np.clip(lam, 0, None))) @ vec.T

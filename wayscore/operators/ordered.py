@@ -199,12 +199,6 @@ def _bucketed_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: M
     return picked.select(*keys, *[take(n).alias(n) for n in probs])
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Rows of an input with fewer splits than cores dealt out to all cores; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def halo_blocks(df: DataFrame, frame: str, block: int, before: int, after: int) -> DataFrame:
     """Place each row in its block of frames and in the blocks that need it as a neighbour.
 

@@ -409,6 +409,11 @@ def _(spark, d):
     return mo.autosplit(o.join(labelled, "o_orderkey", "left_semi"), "o_orderkey")
 
 
+@query("dataset_split_all", "G4", "o_orderkey:l split:s")
+def _(spark, d):
+    return mo.autosplit(v.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
 @query("scene_shards", "G5", "scene_id:l node:l worker:l")
 def _(spark, d):
     return mo.shard(v.traj_all(spark, d).select("scene_id").distinct(), "scene_id", 4, 8)

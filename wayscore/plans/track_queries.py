@@ -219,11 +219,11 @@ def _(spark, d):
 
 
 @query("joined_track_lists", "G2", "video_id:l clip:l joined:l only_first:l", "tracks", """
-WITH a AS (SELECT DISTINCT video_id, clip, track_id FROM tracks WHERE frame < 20 AND conf > 0.9), b AS (SELECT DISTINCT video_id, clip, track_id FROM tracks WHERE frame >= 20 AND conf > 0.9)
+WITH a AS (SELECT DISTINCT video_id, clip, track_id FROM tracks WHERE frame < 20), b AS (SELECT DISTINCT video_id, clip, track_id FROM tracks WHERE frame >= 20)
 SELECT video_id, clip, count(DISTINCT track_id) AS joined, count(*) FILTER (WHERE src='a' AND (video_id, clip, track_id) NOT IN (SELECT (video_id, clip, track_id) FROM b)) AS only_first
 FROM (SELECT *, 'a' AS src FROM a UNION ALL SELECT *, 'b' FROM b) GROUP BY ALL""")
 def _(spark, d):
-    t = v.tracks(spark, d).where("conf > 0.9")
+    t = v.tracks(spark, d)
     a, b = t.where("frame < 20").select(*TK).distinct(), t.where("frame >= 20").select(*TK).distinct()
     j = tk.join_tracks(a, b, TK).groupBy("video_id", "clip").agg(F.count(F.lit(1)).alias("joined"))
     s = tk.subtract_tracks(a, b, TK).groupBy("video_id", "clip").agg(F.count(F.lit(1)).alias("only_first"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayscore.operators.ordered import by_key, number_rows, spread_small_input
+from wayscore.operators.ordered import by_key, number_rows
 
 CLIP = 41
 TRACK_CLIP = 40
@@ -26,13 +26,8 @@ def _sql(name: str, text: str, *deps: str) -> None:
     VIEW_DEPS[name] = deps
 
 
-# Tables whose rows carry whole texts or vectors, so that work per row is large.
-HEAVY_ROWS = ("documents", "embeddings", "conversations", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small_input(df) if name in HEAVY_ROWS else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def div(a, n):
