@@ -57,9 +57,10 @@ def depth_errors(df: DataFrame, keys: Sequence[str], max_depth: float | None = N
     base = d.groupBy(*keys).agg(
         *[e.alias(n) for n, e in chosen.items()], F.count(F.lit(1)).alias("_n"), F.sum("pred").alias("_sp"), F.sum("gt").alias("_sg"),
         F.sum(p * p).alias("_spp"), F.sum(p * g).alias("_spg"))
-    med = grouped_quantiles(d, keys, "_lr", {"_mlr": 0.5}, "lower")
-    for c, n in (("gt", "_mg"), ("pred", "_mp")):
-        med = med.join(grouped_quantiles(d, keys, c, {n: 0.5}, "lower"), list(keys))
+    medians = {"_mlr": "_lr", "_mg": "gt", "_mp": "pred"}
+    long = d.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("of"), F.col(c).alias("v")) for n, c in medians.items()])).alias("_m")).select(*keys, "_m.*")
+    med = grouped_quantiles(long, [*keys, "of"], "v", {"q": 0.5}, "lower")
+    med = med.groupBy(*keys).agg(*[F.max(F.when(F.col("of") == n, F.col("q"))).alias(n) for n in medians])
     st = base.join(med, list(keys))
     a, b, m = F.col("_spp") + 1e-9, F.col("_sp"), F.col("_n") + 1e-9
     det = a * m - b * b
@@ -96,15 +97,25 @@ def flow_summary(per_image: DataFrame) -> DataFrame:
                          (100 * (1 - F.avg("px5"))).alias("outlier_5px"), (100 * F.sum("outliers") / F.sum("pixels")).alias("fl"))
 
 
-def clip_sigma(df: DataFrame, keys: Sequence[str], value: str, sigma: float = 2.0, rounds: int = 3, salt_on: Sequence[str] = ()) -> DataFrame:
-    """Rounds of dropping values beyond ``sigma`` deviations, then mean, deviation and count."""
-    stats = lambda x: x.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
-    d = df.select(*keys, value, *[c for c in salt_on if c not in keys and c != value])
-    for _ in range(rounds):
-        j = salted_join(d, stats(d).drop("n"), keys, [value, *salt_on])
-        lo, hi = F.col("mean") - sigma * F.col("std"), F.col("mean") + sigma * F.col("std")
-        d = j.where((F.col(value) > lo) & (F.col(value) < hi)).drop("mean", "std")
-    return stats(d)
+def clip_sigma(df: DataFrame, keys: Sequence[str], value: str, sigma: float = 2.0, rounds: int = 3) -> DataFrame:
+    """Rounds of dropping values beyond ``sigma`` deviations, then mean, deviation and count.
+
+    The rows are counted by value once; each round reads that table with the bounds found so far, one row per key.
+    Deviations are taken from the previous mean. A key whose values are all dropped, as equal values are, gives no row.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    state = counts.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))
+    for left in range(rounds, -1, -1):
+        inside = salted_join(counts, state, keys, ["_v"]).where((F.col("_v") > F.col("_lo")) & (F.col("_v") < F.col("_hi")))
+        away = F.col("_v") - F.col("mean")
+        got = inside.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(away * F.col("_n")).alias("_s"), F.sum(away * away * F.col("_n")).alias("_q"),
+                                        F.max("mean").alias("_c"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        off = F.col("_s") / F.col("n")
+        got = got.select(*keys, (F.col("_c") + off).alias("mean"), F.sqrt(F.greatest(F.col("_q") / F.col("n") - off * off, F.lit(0.0))).alias("std"), "n", "_lo", "_hi")
+        if left:
+            state = got.select(*keys, "mean", F.greatest("_lo", F.col("mean") - sigma * F.col("std")).alias("_lo"), F.least("_hi", F.col("mean") + sigma * F.col("std")).alias("_hi"))
+    return got.drop("_lo", "_hi")
 
 
 def agent_depth(df: DataFrame, keys: Sequence[str], method: str = "mean", use_percentile: bool = True) -> DataFrame:

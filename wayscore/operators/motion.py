@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayscore.functions.numeric import dist
 from wayscore.operators.depthflow import nearest_points
+from wayscore.operators.ordered import number_rows
 
 HORIZONS = (5, 9, 15)
 
@@ -164,9 +165,15 @@ def point_grids(crops: DataFrame, per_side: int, scale: int = 1) -> DataFrame:
 
 # ---- splits, shards and samples ---------------------------------------------------------------------
 
+def seeded(*parts, seed: int) -> Column:
+    """A number of 48 bits that depends on the parts and the seed alone, in any engine with SHA-256."""
+    text = F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
+
+
 def autosplit(df: DataFrame, key: str, weights: Sequence[float] = (0.9, 0.1, 0.0), names: Sequence[str] = ("train", "val", "test"), seed: int = 0) -> DataFrame:
     """Stable weighted split by a hash of the key."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    u = F.pmod(seeded(key, seed=seed), F.lit(1_000_000)) / 1_000_000
     edge, c = 0.0, None
     for n, w in zip(names[:-1], weights[:-1]):
         edge += w / sum(weights)
@@ -175,34 +182,75 @@ def autosplit(df: DataFrame, key: str, weights: Sequence[float] = (0.9, 0.1, 0.0
 
 
 def shard(df: DataFrame, key: str, nodes: int, workers: int, seed: int = 2026) -> DataFrame:
-    """Shuffled two-level shards by a seeded hash: node, then worker within the node."""
-    h = F.xxhash64(key, F.lit(seed))
-    return df.withColumns({"node": F.pmod(h, F.lit(nodes)), "worker": F.pmod(F.xxhash64(h), F.lit(workers))})
+    """Keys in seeded order dealt over nodes, then over the workers of a node; sizes differ by one at most.
+
+    Positions come from 4,096 ranges of the hash, so that no task sorts all keys.
+    """
+    d = df.withColumn("_h", seeded(key, seed=seed))
+    d = number_rows(d, [], {"range": F.shiftright("_h", 36)}, ["_h", key], "_p").drop("_h")
+    return d.withColumns({"node": F.pmod("_p", F.lit(nodes)), "worker": F.pmod(F.floor(F.col("_p") / nodes), F.lit(workers))}).drop("_p")
 
 
-def sequential_sample(df: DataFrame, keys: Sequence[str], n: int, visible: str, seed: int = 0) -> DataFrame:
-    """A run of ``n`` visible frames per sequence from a seeded start."""
-    w = W.partitionBy(*keys)
-    d = df.where(F.col(visible)).withColumns({"_r": F.row_number().over(w.orderBy("frame")) - 1, "_t": F.count(F.lit(1)).over(w)})
-    start = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.greatest(F.col("_t") - n + 1, F.lit(1)))
-    return d.where((F.col("_t") >= n) & (F.col("_r") >= start) & (F.col("_r") < start + n)).drop("_r", "_t")
+def _sequences(df: DataFrame, keys: Sequence[str], visible: str) -> DataFrame:
+    """One row per sequence (a clip of bounded length): its visible frames in order, and the frame after its last."""
+    d = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col(visible), F.col("frame")))).alias("_v"), (F.max("frame") + 1).alias("_end"))
+    return d.where(F.size("_v") > 0)
 
 
-def interval_sample(df: DataFrame, keys: Sequence[str], n: int, max_gap: int, visible: str, seed: int = 0) -> DataFrame:
-    """``n`` visible frames per sequence, seeded, all within ``n * max_gap`` frames of a seeded anchor."""
-    w = W.partitionBy(*keys)
-    d = df.where(F.col(visible)).withColumn("_h", F.xxhash64(*keys, "frame", F.lit(seed)))
-    anchor = F.min_by("frame", "_h").over(w)
-    d = d.withColumn("_a", anchor).where((F.col("frame") >= F.col("_a")) & (F.col("frame") <= F.col("_a") + n * max_gap))
-    d = d.withColumn("_r", F.row_number().over(w.orderBy((F.col("frame") != F.col("_a")).cast("int"), "_h")))
-    return d.where(F.col("_r") <= n).drop("_h", "_a", "_r")
+def _pick(frames: Column, h: Column, other: Column) -> Column:
+    return F.when(F.size(frames) > 0, F.get(frames, F.pmod(h, F.size(frames)).cast("int"))).otherwise(other)
+
+
+def sequential_sample(df: DataFrame, keys: Sequence[str], n: int, visible: str, seed: int = 0, max_gap: int | None = None) -> DataFrame:
+    """Per sequence a seeded ``template_frame`` and ``n`` search frames (``position`` from 0), as keys and these columns.
+
+    The template is a visible frame before the last ``n``, else the first visible one. The search starts at it, or at a
+    seeded visible frame less than ``max_gap`` after it, and takes the visible frames from there; where they run out, the
+    last frame of the sequence fills up. Sequences without visible frames give no rows.
+    """
+    early = lambda f: f < F.col("_end") - n
+    d = _sequences(df, keys, visible).withColumn("template_frame", _pick(F.filter("_v", early), seeded(*keys, F.lit("template"), seed=seed), F.get("_v", F.lit(0))))
+    start = F.col("template_frame")
+    if max_gap is not None:
+        near = F.filter("_v", lambda f: (f >= F.col("template_frame")) & early(f) & (f < F.col("template_frame") + max_gap))
+        start = _pick(near, seeded(*keys, F.lit("search"), seed=seed), start)
+    d = d.withColumn("_s", start)
+    d = d.withColumn("_f", F.slice(F.filter("_v", lambda f: f >= F.col("_s")), 1, n))
+    filled = F.concat("_f", F.array_repeat(F.col("_end") - 1, (F.lit(n) - F.size("_f")).cast("int")))
+    return d.select(*keys, "template_frame", F.posexplode(filled).alias("position", "frame"))
+
+
+def interval_sample(df: DataFrame, keys: Sequence[str], n: int, max_interval: int, visible: str, seed: int = 0, max_gap: int | None = None) -> DataFrame:
+    """Per sequence a seeded ``template_frame`` and ``n`` search frames, each at most ``max_interval`` after the one before.
+
+    Steps are seeded and may stay on a frame, so there are always ``n`` (two at least are asked for). The template leaves
+    room for ``n - 1`` steps of the widest interval, up to ``max_interval``, that a visible frame allows; where none does,
+    it is the first visible one. The first search frame is the template, or a seeded visible frame less than ``max_gap``
+    after it. Sequences without visible frames give no rows.
+    """
+    d = _sequences(df, keys, visible).withColumn("_len", F.col("_end"))
+    widest = F.greatest(F.lit(1), F.least(F.lit(max_interval), F.floor(F.col("_len") / (n - 1))))
+    wide = F.least(widest, F.ceil((F.col("_len") - F.get("_v", F.lit(0))) / (n - 1)) - 1)
+    d = d.withColumns({"_widest": widest, "_wide": wide})
+    room = F.filter("_v", lambda f: (F.col("_wide") >= 1) & (f < F.col("_len") - F.col("_wide") * (n - 1)))
+    d = d.withColumn("template_frame", _pick(room, seeded(*keys, F.lit("template"), seed=seed), F.get("_v", F.lit(0))))
+    t = F.col("template_frame")
+    first = t
+    if max_gap is not None:
+        end = F.least(F.greatest(F.col("_len") - F.col("_widest") * (n - 1), t + 1), t + max_gap)
+        first = _pick(F.filter("_v", lambda f: (f >= t) & (f < end)), seeded(*keys, F.lit("search"), seed=seed), t)
+    d = d.withColumn("_s0", first)
+    for i in range(1, n):
+        last = F.col(f"_s{i - 1}")
+        d = d.withColumn(f"_s{i}", _pick(F.filter("_v", lambda f: (f >= last) & (f <= last + max_interval)), seeded(*keys, F.lit(i), seed=seed), last))
+    return d.select(*keys, "template_frame", F.posexplode(F.array(*[f"_s{i}" for i in range(n)])).alias("position", "frame"))
 
 
 def near_template(df: DataFrame, keys: Sequence[str], template: DataFrame, max_gap: int, n: int, visible: str, seed: int = 0) -> DataFrame:
     """``n`` seeded visible frames after each sequence's template frame, within ``max_gap``."""
     d = df.where(F.col(visible)).join(template.select(*keys, F.col("frame").alias("template_frame")), list(keys))
     d = d.where((F.col("frame") > F.col("template_frame")) & (F.col("frame") <= F.col("template_frame") + max_gap))
-    w = W.partitionBy(*keys, "template_frame").orderBy(F.xxhash64(*keys, "frame", F.lit(seed)))
+    w = W.partitionBy(*keys, "template_frame").orderBy(seeded(*keys, "frame", seed=seed), "frame")
     return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 

@@ -33,12 +33,11 @@ def shared(df: DataFrame) -> DataFrame:
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows hashed on ``keys`` over the session's shuffle partitions.
+    """Rows hashed on ``keys``, in as many partitions as adaptive execution finds right.
 
-    Later windows and groups on these or finer keys need no further shuffle, and the
-    explicit count keeps costly per-row work spread when the data is small.
+    Later windows and groups on these or finer keys need no further shuffle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(*keys)
 
 
 def number_rows(
@@ -128,7 +127,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_on:
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int = 64) -> DataFrame:
-    """Distinct values per key with the first and last sorted position each takes.
+    """Distinct values per key with the first and last sorted position each takes, and the key's ``total``.
 
     Equal values are counted before anything is moved, so a value held by a
     third of all rows is one row here. Cut points from a mergeable sketch only
@@ -140,7 +139,11 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int =
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     probs = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    sketch = counts.groupBy(*keys).agg(F.percentile_approx("_v", probs, 2000).alias("_cuts"))
+    sketch = counts.groupBy(*keys).agg(
+        F.percentile_approx("_v", probs, 2000).alias("_cuts"), F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_m"))
+    # a bucket for each 1,024 distinct values, up to ``cuts`` buckets
+    step = F.greatest(F.lit(1), F.floor(F.lit(cuts) / (F.floor(F.col("_m") / 1024) + 1))).cast("int")
+    sketch = sketch.withColumn("_cuts", F.filter("_cuts", lambda c, i: F.pmod(i + 1, step) == 0)).drop("_m")
     placed = salted_join(counts, sketch, keys, ["_v"]).withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     ).drop("_cuts")
@@ -151,50 +154,25 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, cuts: int =
         F.col("_n").alias("n"),
         (F.col("_hi") - F.col("_n")).alias("lo_pos"),
         (F.col("_hi") - 1).alias("hi_pos"),
+        F.col("_total").alias("total"),
     )
 
 
-SMALL_GROUP = 100_000
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], kind: str = "linear") -> DataFrame:
+    """Exact quantiles per key, all of them from one table of value counts.
 
-
-def grouped_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    kind: str = "linear",
-    small: int = SMALL_GROUP,
-) -> DataFrame:
-    """Exact quantiles per key; no task holds more than ``small`` values of a key.
-
-    Keys of up to ``small`` rows are aggregated directly. Larger ones are cut into
-    value buckets. ``kind="linear"`` interpolates between order statistics,
-    ``kind="lower"`` takes the lower one.
+    ``kind="linear"`` interpolates between order statistics, ``kind="lower"`` takes the lower one. Null values take no
+    part; a key without values gives no row.
     """
     keys = list(keys)
-    d = df.select(*keys, _col(value).alias("_v")).where(F.col("_v").isNotNull())
-    hot = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(*keys)
-    few = d.join(hot, keys, "left_anti")
-    if kind == "lower":
-        rows = few.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"))
-        direct = rows.select(*keys, *[
-            F.get("_a", F.floor((F.size("_a") - 1) * F.lit(float(p))).cast("int")).alias(n) for n, p in probs.items()])
-    else:
-        direct = few.groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(p))).alias(n) for n, p in probs.items()])
-    return direct.unionByName(_bucketed_quantiles(d.join(hot, keys, "left_semi"), keys, "_v", probs, kind))
-
-
-def _bucketed_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], kind: str) -> DataFrame:
     pos = value_positions(df, keys, value)
-    sizes = pos.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    both = salted_join(pos, sizes, keys, ["value"])
     aggs = []
     for name, p in probs.items():
-        target = (F.col("_total") - 1) * F.lit(float(p))
+        target = (F.col("total") - 1) * F.lit(float(p))
         lo, hi = F.floor(target), F.ceil(target)
         at = lambda q: F.max(F.when((F.col("lo_pos") <= q) & (F.col("hi_pos") >= q), F.col("value")))
         aggs += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(target - lo).alias(f"_w_{name}")]
-    picked = both.groupBy(*keys).agg(*aggs)
+    picked = pos.groupBy(*keys).agg(*aggs)
     take = lambda n: F.col(f"_lo_{n}") if kind == "lower" else F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
     return picked.select(*keys, *[take(n).alias(n) for n in probs])
 

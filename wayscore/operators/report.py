@@ -36,7 +36,7 @@ def parse_result_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
     """``model: {dict}`` lines to typed columns; lines that do not parse are left out."""
     at = F.instr(column, ":")
     body = tx.strip(F.expr(f"substring({column}, instr({column}, ':') + 1)"))
-    for old, new in (("'", '"'), (r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bnan\b", "null")):
+    for old, new in ((r"(^|[{\[,:])(\s*)'", '$1$2"'), (r"'(\s*)($|[,:}\]])", '"$1$2'), (r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bnan\b", "null")):
         body = F.regexp_replace(body, old, new)
     d = lines.where(at > 0).select(
         tx.strip(F.expr(f"substring({column}, 1, instr({column}, ':') - 1)")).alias("raw_model"), F.from_json(body, schema).alias("_r"))

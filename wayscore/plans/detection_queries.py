@@ -108,9 +108,10 @@ def _(spark, d):
 
 
 @query("rotated_box_overlap", "C7", "image_id:l det_id:l prob_iou", "dets lbls", """
-WITH p AS (SELECT d.image_id, d.det_id, (d.x1+d.x2)/2 AS xa, (d.y1+d.y2)/2 AS ya, (l.x1+l.x2)/2 AS xb, (l.y1+l.y2)/2 AS yb,
+WITH dm AS MATERIALIZED (SELECT * FROM dets), lm AS MATERIALIZED (SELECT *, label_id-1 AS det_id FROM lbls),
+p AS (SELECT d.image_id, d.det_id, (d.x1+d.x2)/2 AS xa, (d.y1+d.y2)/2 AS ya, (l.x1+l.x2)/2 AS xb, (l.y1+l.y2)/2 AS yb,
   pow(d.x2-d.x1,2)/12 AS pa, pow(d.y2-d.y1,2)/12 AS pb, d.conf AS ra, pow(l.x2-l.x1,2)/12 AS qa, pow(l.y2-l.y1,2)/12 AS qb, 0.3 AS rb
-  FROM dets d JOIN lbls l ON d.image_id=l.image_id AND l.label_id=d.det_id+1),
+  FROM dm d JOIN lm l ON d.image_id=l.image_id AND d.det_id=l.det_id),
 c AS (SELECT *, pa*cos(ra)*cos(ra)+pb*sin(ra)*sin(ra) AS a1, pa*sin(ra)*sin(ra)+pb*cos(ra)*cos(ra) AS b1, (pa-pb)*cos(ra)*sin(ra) AS c1,
   qa*cos(rb)*cos(rb)+qb*sin(rb)*sin(rb) AS a2, qa*sin(rb)*sin(rb)+qb*cos(rb)*cos(rb) AS b2, (qa-qb)*cos(rb)*sin(rb) AS c2 FROM p),
 e AS (SELECT *, (a1+a2)*(b1+b2)-pow(c1+c2,2) AS det FROM c),

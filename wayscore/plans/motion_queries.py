@@ -402,36 +402,71 @@ def _(spark, d):
     return g.groupBy("image_id", "layer").agg(F.count(F.lit(1)).alias("points"), F.sum("px").alias("sum_x"), F.sum("py").alias("sum_y"))
 
 
-@query("dataset_split", "G4", "o_orderkey:l split:s")
+def seeded_sql(*parts, seed=0):
+    return f"('0x' || substr(sha256(concat_ws(':', {', '.join(map(str, parts))}, '{seed}')), 1, 12))::BIGINT"
+
+
+SPLIT = f"CASE WHEN {seeded_sql('o_orderkey')} % 1000000 / 1e6 < 0.9 THEN 'train' WHEN {seeded_sql('o_orderkey')} % 1000000 / 1e6 < 1.0 THEN 'val' ELSE 'test' END AS split"
+
+
+@query("dataset_split", "G4", "o_orderkey:l split:s", "", f"SELECT o_orderkey, {SPLIT} FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def _(spark, d):
     o = v.table(spark, d, "orders").select("o_orderkey")
     labelled = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return mo.autosplit(o.join(labelled, "o_orderkey", "left_semi"), "o_orderkey")
 
 
-@query("dataset_split_all", "G4", "o_orderkey:l split:s")
+@query("dataset_split_all", "G4", "o_orderkey:l split:s", "", f"SELECT o_orderkey, {SPLIT} FROM orders")
 def _(spark, d):
     return mo.autosplit(v.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("scene_shards", "G5", "scene_id:l node:l worker:l")
+@query("scene_shards", "G5", "scene_id:l node:l worker:l", "traj_all", f"""
+WITH p AS (SELECT scene_id, row_number() OVER (ORDER BY {seeded_sql('scene_id', seed=2026)}, scene_id) - 1 AS p FROM (SELECT DISTINCT scene_id FROM traj_all))
+SELECT scene_id, p % 4 AS node, p // 4 % 8 AS worker FROM p""")
 def _(spark, d):
     return mo.shard(v.traj_all(spark, d).select("scene_id").distinct(), "scene_id", 4, 8)
 
 
-@query("sequential_frame_sample", "E20", f"{TKEYS} frame:l")
+KEYS_SQL = "video_id, clip, track_id"
+v._sql("seen_", f"""
+SELECT {KEYS_SQL}, array_agg(frame ORDER BY frame) FILTER (WHERE conf > 0.3) AS fs, max(frame) + 1 AS en FROM tracks GROUP BY {KEYS_SQL} HAVING count(*) FILTER (WHERE conf > 0.3) > 0
+""", "tracks")
+
+
+def pick_sql(frames, tag, other):
+    return f"CASE WHEN len({frames}) > 0 THEN ({frames})[1 + {seeded_sql(KEYS_SQL, tag)} % len({frames})] ELSE {other} END"
+
+
+def _visible(spark, d):
+    return v.tracks(spark, d).withColumn("vis", F.col("conf") > 0.3)
+
+
+@query("sequential_frame_sample", "E20", f"{TKEYS} template_frame:l position:l frame:l", "seen_", f"""
+WITH t AS (SELECT *, {pick_sql("list_filter(fs, lambda f: f < en - 6)", "'template'", "fs[1]")} AS template_frame FROM seen_),
+s AS (SELECT *, {pick_sql("list_filter(fs, lambda f: f >= template_frame AND f < en - 6 AND f < template_frame + 8)", "'search'", "template_frame")} AS st FROM t),
+r AS (SELECT {KEYS_SQL}, template_frame, en, list_filter(fs, lambda f: f >= st) AS got FROM s)
+SELECT {KEYS_SQL}, template_frame, p.p AS position, coalesce(got[p.p + 1], en - 1) AS frame FROM r, generate_series(0, 5) p(p)""")
 def _(spark, d):
-    return mo.sequential_sample(v.tracks(spark, d).withColumn("vis", F.col("conf") > 0.3), TK, 6, "vis")
+    return mo.sequential_sample(_visible(spark, d), TK, 6, "vis", max_gap=8)
 
 
-@query("interval_frame_sample", "E20", f"{TKEYS} frame:l")
+@query("interval_frame_sample", "E20", f"{TKEYS} template_frame:l position:l frame:l", "seen_", f"""
+WITH a AS (SELECT *, greatest(1, least(5, en // 3)) AS widest FROM seen_), b AS (SELECT *, least(widest, ceil((en - fs[1]) / 3.0) - 1) AS wide FROM a),
+t AS (SELECT *, {pick_sql("list_filter(fs, lambda f: wide >= 1 AND f < en - wide * 3)", "'template'", "fs[1]")} AS template_frame FROM b),
+s0 AS (SELECT *, {pick_sql("list_filter(fs, lambda f: f >= template_frame AND f < least(greatest(en - widest * 3, template_frame + 1), template_frame + 8))", "'search'", "template_frame")} AS f0 FROM t),
+""" + ",\n".join(f"s{i} AS (SELECT *, {pick_sql(f'list_filter(fs, lambda f: f >= f{i - 1} AND f <= f{i - 1} + 5)', i, f'f{i - 1}')} AS f{i} FROM s{i - 1})" for i in (1, 2, 3)) + f"""
+SELECT {KEYS_SQL}, template_frame, p.p AS position, [f0, f1, f2, f3][p.p + 1] AS frame FROM s3, generate_series(0, 3) p(p)""")
 def _(spark, d):
-    return mo.interval_sample(v.tracks(spark, d).withColumn("vis", F.col("conf") > 0.3), TK, 4, 5, "vis")
+    return mo.interval_sample(_visible(spark, d), TK, 4, 5, "vis", max_gap=8)
 
 
-@query("template_gap_sample", "G8", f"{TKEYS} template_frame:l frame:l")
+@query("template_gap_sample", "G8", f"{TKEYS} template_frame:l frame:l", "tracks", f"""
+WITH s AS (SELECT {KEYS_SQL}, min(frame) AS template_frame FROM tracks GROUP BY ALL)
+SELECT {KEYS_SQL}, template_frame, frame FROM tracks JOIN s USING ({KEYS_SQL}) WHERE conf > 0.3 AND frame > template_frame AND frame <= template_frame + 10
+QUALIFY row_number() OVER (PARTITION BY {KEYS_SQL} ORDER BY {seeded_sql(KEYS_SQL, 'frame')}, frame) <= 3""")
 def _(spark, d):
-    t = v.tracks(spark, d).withColumn("vis", F.col("conf") > 0.3)
+    t = _visible(spark, d)
     first = t.groupBy(*TK).agg(F.min("frame").alias("frame"))
     return mo.near_template(t, TK, first, 10, 3, "vis")
 
