@@ -333,6 +333,19 @@ def test_surrogates(spark):
     assert replace_entities(empty(spark), b"k").count() == 0
 
 
+def test_secrets_of_any_form(spark):
+    from wayscore.llm.surrogates import find, replace_entities, surrogate_table
+
+    texts = ["password: ________", "token: ----------", "PASSWORD=hunter22hunter", "API_KEY=abcd1234efgh", "Password: 'Secret99x'", *(f"token: ________{i}" for i in range(10))]
+    assert [[v for *_, v in find(t)] for t in texts[:5]] == [[], [], ["hunter22hunter"], ["abcd1234efgh"], ["Secret99x"]]
+    got = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").collect()}
+    assert [got[i] for i in (0, 1)] == texts[:2] and not any(v in got[i] for i in range(2, 5) for *_, v in find(texts[i]))
+    assert len({got[i] for i in range(5, 15)}) == 10 and not {got[i] for i in range(5, 15)} & set(texts)
+    few = [(k, v % i) for i in range(10) for k, v in (("secret", "-------%d"), ("email", "%d@a.example.com"))]
+    table = surrogate_table(spark.createDataFrame(few, "kind string, value string"), b"k").collect()
+    assert len({(r.kind, r.surrogate) for r in table}) == 20 and not {r.surrogate for r in table} & {v for _, v in few}
+
+
 def test_pages(spark):
     from wayscore.llm.page_diff import extract_main_text, shared_lines
 

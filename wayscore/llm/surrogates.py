@@ -48,12 +48,12 @@ _MARKED = re.compile(
     r"|(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<!\w)(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,})(?!\w)"
-    r"|(?:(?<!\w)(?:password|passwd|pwd|token|secret|api_?key)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_\-+/]{8,})"
+    r"|(?:(?<!\w)(?i:password|passwd|pwd|token|secret|api_?key)\s*[=:]\s*[\"']?)(?P<secret>(?=[_\-+/]*[A-Za-z0-9])[A-Za-z0-9_\-+/]{8,})"
     r"|(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])"
     r"|(?<![\w\-])(?P<card>\d(?:[ \-]?\d){12,18})(?![\w\-])"
     r"|(?<![\w])(?P<phone>\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)"
 )
-_CUE = re.compile(r"[\d@]|(?:password|passwd|pwd|token|secret|api_?key)\s*[=:]")
+_CUE = re.compile(r"[\d@]|(?i:password|passwd|pwd|token|secret|api_?key)\s*[=:]")
 
 
 def _names() -> ahocorasick.Automaton:
@@ -122,13 +122,13 @@ def iban_holds(value: str) -> bool:
 
 
 def _into(form: str, new: str) -> str:
-    """The characters of ``new`` in place of those of ``form`` that are not separators."""
+    """The characters of ``new`` in place of those of ``form`` that are not separators, and what is left of them."""
     it = iter(new)
-    return "".join(next(it) if c.isalnum() else c for c in form)
+    return "".join([*(next(it) if c.isalnum() else c for c in form), *it])
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The candidate of a value; never the value itself. From the sixth attempt on, formats with few values grow."""
+    """The candidate of a value; never the value itself. After the sixth attempt the formats grow, by more with each attempt."""
     for more in range(64):
         got = _candidate(key, kind, value, attempt, more)
         if got != value:
@@ -137,14 +137,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
 
 
 def _candidate(key: bytes, kind: str, value: str, attempt: int, more: int) -> str:
-    draw = _Draw(key, kind, value, attempt * 64 + more, len(value))
-    wide = attempt > 5
+    wide = max(0, attempt - 5)
+    draw = _Draw(key, kind, value, attempt * 64 + more, len(value) + 8 * wide)
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")[:-2]
         local = _alike(local, draw)
         if wide or not any(c.isalnum() for c in local):
-            local += draw.of(_LOWER) + draw.of(_DIGITS) + draw.of(_DIGITS)
+            local += "".join(draw.of(_LOWER) + draw.of(_DIGITS) + draw.of(_DIGITS) for _ in range(max(1, wide)))
         return f"{local}@{'.'.join([*(_alike(x, draw) for x in labels), 'example', ('com', 'net', 'org')[draw.below(3)]])}"
     if kind == "ip":
         def octet(x: str) -> str:
@@ -153,24 +153,24 @@ def _candidate(key: bytes, kind: str, value: str, attempt: int, more: int) -> st
         return ".".join(octet(x) for x in value.split("."))
     if kind == "card":
         digits = "".join(c for c in value if c.isdigit())
-        body = digits[0] + "".join(draw.of(_DIGITS) for _ in digits[1:-1])
+        body = (draw.of(_DIGITS) if wide else digits[0]) + "".join(draw.of(_DIGITS) for _ in range(len(digits) - 2 + min(wide, max(0, 19 - len(digits)))))
         check = luhn_digit(body)
         if luhn_digit(digits[:-1]) != digits[-1]:
             check = str((int(check) + 1 + draw.below(9)) % 10)
         return _into(value, body + check)
     if kind == "phone":
         head = len(value) - len(value[1:].lstrip(_DIGITS)) if value[0] == "+" else 0
-        rest = _alike(value[head:], draw)
+        rest = _alike(value[head:], draw) + "".join(draw.of(_DIGITS) for _ in range(wide))
         first = next((i for i, c in enumerate(rest) if c in _DIGITS), None)
         return value[:head] + (rest[:first] + draw.of("23456789") + rest[first + 1 :] if first is not None else rest)
     if kind == "iban":
         flat = value.replace(" ", "")
-        body = _alike(flat[4:], draw)
+        body = _alike(flat[4:], draw) + "".join(draw.of(_DIGITS) for _ in range(wide))
         code = 98 - int("".join(str(int(c, 36)) for c in body + flat[:2] + "00")) % 97
         code = code if iban_holds(value) else (code + 1 + draw.below(90)) % 97
         return _into(value, f"{flat[:2]}{code:02d}{body}")
     if kind == "key":
-        return value[:4] + _alike(value[4:], draw)
+        return value[:4] + _alike(value[4:], draw) + "".join(draw.of(_UPPER) for _ in range(wide))
     if kind == "name_first":
         # a round trip through the names of this gender and script in keyed order: no two share a surrogate
         ring = sorted(FIRST[_GENDER[value]], key=lambda n: hmac.new(key, n.encode(), hashlib.sha256).digest())
@@ -178,10 +178,10 @@ def _candidate(key: bytes, kind: str, value: str, attempt: int, more: int) -> st
     if kind == "name_last":
         script = "cyrillic" if re.search("[А-Яа-яЁё]", value) else "latin"
         def spelt(part: str) -> str:
-            size = max(4, len(part) + (draw.below(4) if wide else 0))
+            size = max(4, len(part) + (draw.below(2 + 2 * wide) if wide else 0))
             return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(-(-size // 2)))[:size].capitalize()
         return "-".join(spelt(p) for p in value.split("-"))
-    return _alike(value, draw, hexadecimal=re.fullmatch("[0-9a-f]+", value) is not None)
+    return _alike(value, draw, hexadecimal=re.fullmatch("[0-9a-f]+", value) is not None) + "".join(draw.of(_DIGITS) for _ in range(wide))
 
 
 FOUND = "key long, size long, start int, end int, kind string, value string"
