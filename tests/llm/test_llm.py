@@ -333,6 +333,17 @@ def test_surrogates(spark):
     assert replace_entities(empty(spark), b"k").count() == 0
 
 
+def test_later_mentions_of_a_person():
+    from wayscore.llm.surrogates import find
+
+    text = "Berg wrote. Anna Berg called. Anna said Berg's Bergen trip, Anna_1 and Joseph would pay. Mail Anna@x.example.com"
+    assert [(s, k, v) for s, _, k, v in find(text) if k != "email"] == [
+        (0, "name_last", "Berg"), (12, "name_first", "Anna"), (17, "name_last", "Berg"), (30, "name_first", "Anna"), (40, "name_last", "Berg")
+    ]
+    assert all(text[s:e] == v for s, e, _, v in find(text)) and [k for _, _, k, _ in find(text)].count("email") == 1
+    assert find("Anna said so.") == []
+
+
 def test_secrets_of_any_form(spark):
     from wayscore.llm.surrogates import find, replace_entities, surrogate_table
 

@@ -79,13 +79,32 @@ def find(text: str, names: ahocorasick.Automaton | None = None) -> list[tuple[in
                 for part in ("first", "last"):
                     if part in pattern.groupindex and m[part] and not taken.intersection(range(m.start(part), m.end(part))):
                         if part == "first" and m["last"] is None and m.start() == m.start("first"):
-                            continue  # a lone first name is too often a common word
+                            continue  # a lone first name is too often a common word, unless its person is in the text
                         kind = "name_" + part if part == "last" or m[part] not in _GENDER else "name_first"
                         out.append((m.start(part), m.end(part), kind, m[part]))
                         taken.update(range(m.start(part), m.end(part)))
+        known: dict[str, str] = {}
+        for _, _, kind, value in sorted(out):
+            if kind.startswith("name"):
+                known.setdefault(value, kind)
+        for value in sorted(known, key=len, reverse=True):  # a double name before its parts
+            for at in _mentions(text, value):
+                if not taken.intersection(range(at, at + len(value))):
+                    out.append((at, at + len(value), known[value], value))
+                    taken.update(range(at, at + len(value)))
     return sorted(out)
 
 
+def _mentions(text: str, name: str) -> Iterator[int]:
+    """Where a name stands as a whole word."""
+    at = text.find(name)
+    while at >= 0:
+        around = text[max(at - 1, 0) : at] + text[at + len(name) : at + len(name) + 1]
+        if not any(c.isalnum() or c == "_" for c in around):
+            yield at
+        at = text.find(name, at + len(name))
+
+
 class _Draw:
     """A stream of numbers from HMAC and SHAKE, as long as a value needs."""
 
@@ -246,7 +265,7 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     that name is replaced).
 
     Entities: e-mail addresses, phone, card and social security numbers, IBANs, IPv4 addresses, access keys and secrets, and
-    names with a known first name or a title. Null and empty texts stay; repeated rows and copies get the same surrogates;
+    names with a known first name or a title and the parts of these anywhere else in the same text. Null and empty texts stay; repeated rows and copies get the same surrogates;
     rows need no id; an empty table gives no rows.
     """
     names = [c for c in docs.columns if c != "n_replaced"]
