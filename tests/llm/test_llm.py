@@ -225,6 +225,28 @@ def test_filter_gives_back_levels():
     assert (f.counts(r.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.02
 
 
+def test_language_model_keeps_every_pair(spark, docs):
+    from wayscore.llm.bloom_lm import score_documents
+
+    whole = found(score_documents(docs))
+    assert found(score_documents(docs, filter_mb=0)) == whole  # parts that are asked, not broadcast
+    few = spark.createDataFrame([(0, "a b c"), (10, "c d"), (3, "c b a"), (5, "a b c")], "doc_id long, text string")
+    mu = 50.0
+    train = [(i, t.split()) for i, t in ((0, "a b c"), (10, "c d"), (3, "c b a"), (5, "a b c")) if zlib.crc32(str(i).encode()) % 5 != 1]
+    words, pairs = Counter(), Counter()
+    for _, ws in train:
+        words.update([*ws, None])
+        pairs.update(zip([None, *ws], [*ws, None], strict=True))
+    n, log2 = sum(words.values()), lambda c: 2.0 ** math.floor(math.log2(c)) if c else 0.0
+    after = Counter(v for _, ws in train for v in [None, *ws])
+    share = lambda w: (words[w] + 0.5) / (n + 0.5 * (len(words) + 1))
+    for r, text in zip(sorted(score_documents(few).collect(), key=lambda r: r.doc_id), ("a b c", "c b a", "a b c", "c d"), strict=True):
+        ws = [None, *text.split(), None]
+        want = sum(math.log10(min(1.0, (log2(pairs[v, w]) + max(words[v] + mu - after[v], 0) * share(w)) / (words[v] + mu)) if words[v] else share(w)) for v, w in zip(ws, ws[1:]))
+        if not r.held_out:
+            assert abs(r.score - want) < 1e-9
+
+
 def test_bpe(spark, docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer

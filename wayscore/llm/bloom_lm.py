@@ -2,9 +2,10 @@
 
 Counts of words and of word pairs are gathered over the whole training text: batches send each shard of
 the hash space its words and pairs, each once with its count. A pair seen c times goes into the filter as
-its levels 1 to floor(log2 c), so that repeated membership probes give back its count rounded down to a
-power of two; pairs seen once have no level. The filter has a fixed number of bits for an entry, up to a
-stated total; beyond it the lowest levels are left out, for all pairs alike. Its parts are broadcast.
+its levels 1 to 1 + floor(log2 c), so that repeated membership probes give back its count rounded down to a
+power of two. The filter has a fixed number of bits for an entry and grows with the input. Its parts, one for
+each shard, are broadcast while they are small together; from there on they stay apart, and buckets of documents
+ask them for their pairs. Both ways give the same counts.
 
 P(w | v) = (c'(v w) + (c(v) + mu - k(v)) P(w)) / (c(v) + mu), where c' is the count from the filter, k(v) the
 number of places in the training text where v is followed by a word that makes a pair of the filter with it,
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from wayscore.llm.buckets import BLOBS, in_buckets, narrow, packed, unpacked
 from wayscore.llm.common import SPACES, Alphabet, Texts, mixed, parts_for, shuffle_partitions, stored, texts_of
 
-#: Bits and probes of one filter entry, the most megabytes of the broadcast filter, and text megabytes behind a shard.
+#: Bits and probes of one filter entry, the most megabytes of a filter that is broadcast, and text megabytes behind a shard.
 ENTRY_BITS = 12
 PROBES = 6
 FILTER_MB = 128
 SHARD_MB = 24
+#: Level 1 stands for 2^LOWEST occurrences.
+LOWEST = 0
 #: Weight of the single-word distribution.
 MU = 50.0
 
@@ -120,6 +123,8 @@ def _summed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, counts = zip(*(unpacked(b) for b in blobs), strict=True)
     keys, counts = np.concatenate(keys), np.concatenate([c.astype(np.int64) for c in counts])
+    if not len(keys):
+        return keys, counts
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -134,7 +139,7 @@ def _merge(table: pa.Table) -> pa.Table:
     blobs = [b.as_py() for b in table.column("blob")]
     words, count = _summed([b for b, k in zip(blobs, kinds, strict=True) if k == WORDS])
     pairs, often = _summed([b for b, k in zip(blobs, kinds, strict=True) if k == PAIRS])
-    pairs, level = pairs[often > 1], level_of(often[often > 1])
+    level = level_of(often)
     shard = table.column("shard")[0].as_py()
     return pa.table({
         "shard": pa.array([shard] * 2, pa.int32()), "kind": pa.array([WORDS, LEVELS], pa.int32()),
@@ -188,7 +193,7 @@ class LevelFilter:
         self.body = np.concatenate(bodies)
 
     def counts(self, pairs: np.ndarray) -> np.ndarray:
-        """2^level by probes for levels 1, 2, ... until one is not there; 0 where the first is not."""
+        """2^(level + lowest - 1) by probes for levels 1, 2, ... until one is not there; 0 where the first is not."""
         out = np.zeros(len(pairs))
         live, k = np.arange(len(pairs)), 1
         while len(live):
@@ -206,6 +211,56 @@ class LevelFilter:
         return out
 
 
+class ToldLevels:
+    """The pair counts of one bucket, as the filter's parts have told them."""
+
+    def __init__(self, told: pa.Table, n_shards: int):
+        self.n_shards = n_shards
+        self.told = list(zip(told.column("shard").to_pylist(), told.column("blob"), strict=True))
+
+    def counts(self, pairs: np.ndarray) -> np.ndarray:
+        every, place = np.unique(pairs, return_inverse=True)
+        shard, _, old = _by_shard_of(self.n_shards, every)
+        out = np.zeros(len(every))
+        for s, blob in self.told:
+            x, y = np.searchsorted(shard, (s, s + 1))
+            (log,) = unpacked(blob.as_py())
+            out[old[x:y]] = np.where(log > 0, 2.0 ** (log.astype(np.float64) - 1), 0)
+        return out[place]
+
+
+PROBED = "shard int, bucket int, bits long, blob binary"
+
+
+def _ask_pairs(n_shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        pairs = np.unique(pairs_of(*token_stream(texts_of(table.column("text")))))
+        shard, pairs, _ = _by_shard_of(n_shards, pairs)
+        rows = [(s, packed(pairs[k])) for s, k in _split(shard, n_shards)]
+        n = len(rows)
+        bucket = [table.column("bucket")[0].as_py()] * n
+        return pa.table({"shard": pa.array([s for s, _ in rows], pa.int32()), "bucket": pa.array(bucket, pa.int32()), "bits": pa.nulls(n, pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
+
+    return run
+
+
+def _probe(n_shards: int, lowest: int):
+    """Answers to the pairs asked of a part: 1 + log2 of the count, 0 for a pair that is not there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, out, buckets = table.column("shard")[0].as_py(), [], []
+        rows = list(zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist(), table.column("blob"), strict=True))
+        part = LevelFilter([(shard, bits, blob.as_py()) for _, bits, blob in rows if bits is not None], n_shards, lowest)
+        for bucket, bits, blob in rows:
+            if bits is None:
+                count = part.counts(*unpacked(blob.as_py()))
+                out.append(packed(np.where(count > 0, level_of(count) + 1, 0).astype(np.uint8)))
+                buckets.append(bucket)
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    return run
+
+
 def _held_out(ids: list[int | None]) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in ids], bool)
 
@@ -213,7 +268,7 @@ def _held_out(ids: list[int | None]) -> np.ndarray:
 class Bucket:
     """The tokens of a bucket of documents, its distinct tokens in shard order, and its pair counts from the filter."""
 
-    def __init__(self, table: pa.Table, levels: LevelFilter, n_shards: int):
+    def __init__(self, table: pa.Table, levels: LevelFilter | ToldLevels, n_shards: int):
         tokens, self.counts = token_stream(texts_of(table.column("text")))
         self.held_out = _held_out(table.column("doc_id").to_pylist())
         distinct, index = np.unique(tokens, return_inverse=True)
@@ -235,13 +290,29 @@ def _by_shard_of(n_shards: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return shard[order], hashes[order], order
 
 
-def _ask(levels, n_shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        b = Bucket(table, levels.value, n_shards)
+ASKING = "shard int, kind int, bucket int, blob binary"
+
+
+def _asked(table: pa.Table, levels: LevelFilter | ToldLevels, n_shards: int) -> pa.Table:
+    rows, bucket = [], None
+    if table.num_rows:
+        b = Bucket(table, levels, n_shards)
         bucket = table.column("bucket")[0].as_py()
         rows = [(s, packed(b.words[k], narrow(b.known_after[k]))) for s, k in _split(b.shard, n_shards)]
-        n = len(rows)
-        return pa.table({"shard": pa.array([s for s, _ in rows], pa.int32()), "kind": pa.array([ASKED] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
+    n = len(rows)
+    return pa.table({"shard": pa.array([s for s, _ in rows], pa.int32()), "kind": pa.array([ASKED] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
+
+
+def _ask(levels, n_shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _asked(table, levels.value, n_shards)
+
+    return run
+
+
+def _ask_told(n_shards: int):
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        return _asked(table, ToldLevels(told, n_shards), n_shards)
 
     return run
 
@@ -274,7 +345,9 @@ def _score(levels, n_shards: int, total: int, distinct: int, mu: float):
         names = [c.split()[0] for c in SCORED.split(", ")]
         if not docs.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()), strict=True)})
-        b = Bucket(docs, levels.value, n_shards)
+        own = np.array(answers.column("told").to_pylist(), bool)
+        b = Bucket(docs, levels.value if levels else ToldLevels(answers.filter(pa.array(own)), n_shards), n_shards)
+        answers = answers.filter(pa.array(~own))
         count, after = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.int64)
         for shard, blob in zip(answers.column("shard").to_pylist(), answers.column("blob"), strict=True):
             x, y = np.searchsorted(b.shard, (shard, shard + 1))
@@ -304,14 +377,19 @@ def score_documents(docs: DataFrame, mu: float = MU, filter_mb: int = FILTER_MB)
     counted = train.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_count(n_shards), COUNTED)
     merged = stored(counted.groupBy("shard").applyInArrow(_merge, MERGED))
     total, distinct = merged.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    per_level = {r["pos"]: r["n"] for r in merged.select(F.posexplode("levels").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
-    lowest = 1
-    while sum(n * max(0, k - lowest + 1) for k, n in per_level.items()) * ENTRY_BITS > filter_mb << 23:
-        lowest += 1
-    parts = merged.where(F.col("kind") == LEVELS).select("shard", "blob").mapInArrow(_fill(lowest), "shard int, bits long, body binary").collect()
-    levels = spark.sparkContext.broadcast(LevelFilter([tuple(r) for r in parts], n_shards, lowest))
+    bits = merged.select(F.posexplode("levels").alias("pos", "n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("pos") + 1 - LOWEST)), F.lit(0))).first()[0] * ENTRY_BITS
+    parts = merged.where(F.col("kind") == LEVELS).select("shard", "blob").mapInArrow(_fill(LOWEST), "shard int, bits long, body binary")
     rows = in_buckets(docs)
-    asked = rows.groupBy("bucket").applyInArrow(_ask(levels, n_shards), "shard int, kind int, bucket int, blob binary")
+    if bits <= filter_mb << 23:
+        levels, told = spark.sparkContext.broadcast(LevelFilter([tuple(r) for r in parts.collect()], n_shards, LOWEST)), None
+        asked = rows.groupBy("bucket").applyInArrow(_ask(levels, n_shards), ASKING)
+    else:
+        levels, pairs = None, rows.groupBy("bucket").applyInArrow(_ask_pairs(n_shards), PROBED)
+        probed = pairs.union(parts.select("shard", F.lit(None).cast("int").alias("bucket"), "bits", F.col("body").alias("blob")))
+        told = stored(probed.groupBy("shard").applyInArrow(_probe(n_shards, LOWEST), BLOBS))
+        asked = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_ask_told(n_shards), ASKING)
     words = merged.where(F.col("kind") == WORDS).select("shard", "kind", F.lit(None).cast("int").alias("bucket"), "blob")
-    answers = asked.union(words).groupBy("shard").applyInArrow(_answer, BLOBS)
+    answers = asked.union(words).groupBy("shard").applyInArrow(_answer, BLOBS).withColumn("told", F.lit(False))
+    if told is not None:
+        answers = answers.union(told.withColumn("told", F.lit(True)))
     return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(levels, n_shards, int(total), int(distinct), mu), SCORED)
