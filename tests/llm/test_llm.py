@@ -328,6 +328,16 @@ def test_top_k(spark):
     assert top_k(vectors.where("vec_id < 0"), vectors.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_with_repeats_in_one_batch(spark):
+    from wayscore.llm.mtree import top_k
+
+    rows = [(i, [i, 1]) for i in range(12)] + [(11, [11, 1])] * 5 + [(10, [10, 1])] + [(9, [9, x]) for x in range(2, 9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(1)
+    queries = spark.createDataFrame([(100, [1, 0]), (11, [1, 0])], "vec_id long, v array<long>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(vectors, queries).collect())
+    assert got == [(11, k, 11 - k, 11 - k) for k in range(1, 6)] + [(100, k, 12 - k, 12 - k) for k in range(1, 6)]
+
+
 def test_surrogates(spark):
     from wayscore.llm.surrogates import find, iban_holds, luhn_digit, replace_entities, surrogate, surrogate_table
 

@@ -34,6 +34,11 @@ class MTree:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, k: int):
         order = np.lexsort((ids, *vectors.T))
         vectors, ids = vectors[order], ids[order]
+        # a row that stands several times counts once
+        once = np.ones(len(ids), bool)
+        once[1:] = (vectors[1:] != vectors[:-1]).any(axis=1) | (ids[1:] != ids[:-1])
+        vectors, ids = vectors[once], ids[once]
+        self.repeats = len(np.unique(ids)) < len(ids)  # an id with several vectors
         new = np.ones(len(ids), bool)
         new[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
         group = np.cumsum(new) - 1
@@ -102,7 +107,14 @@ class MTree:
                 value = np.where(near[:, some][:, column] & (name[None, :] != own[mine][:, None]), product[:, column], -np.inf)
                 both = np.concatenate([scores[mine], value], axis=1)
                 names = np.concatenate([ids[mine], np.broadcast_to(name, value.shape)], axis=1)
-                top = np.lexsort((names, -both), axis=1)[:, :k]
+                top = np.lexsort((names, -both), axis=1)
+                if self.repeats:  # vectors of one id with the same score are one neighbour
+                    score, name = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+                    again = np.zeros(both.shape, bool)
+                    np.put_along_axis(again, top[:, 1:], (score[:, 1:] == score[:, :-1]) & (name[:, 1:] == name[:, :-1]), 1)
+                    both = np.where(again, -np.inf, both)
+                    top = np.lexsort((names, -both), axis=1)
+                top = top[:, :k]
                 scores[mine], ids[mine] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
                 low = scores[mine, -1]
                 kth[mine] = np.where(np.isfinite(low), np.sqrt(np.maximum(squared[mine] + self.most - 2 * np.where(np.isfinite(low), low, 0), 0)), np.inf)
