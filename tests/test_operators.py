@@ -75,6 +75,16 @@ def test_perfect_detections(spark):
     assert cm == {(0, 0): 18, (1, 1): 12}
 
 
+def test_matching_by_given_overlaps(spark):
+    cols = "image_id long, {} long, cls long, conf double, x1 double, y1 double, x2 double, y2 double"
+    box = (0.0, 0.0, 10.0, 10.0)
+    d = spark.createDataFrame([(1, i, 0, 0.9 - i / 10, *box) for i in range(3)] + [(1, 3, 1, 0.5, *box)], cols.format("det_id"))
+    lab = spark.createDataFrame([(1, i, 0, 0.0, *box) for i in range(2)], cols.format("label_id"))
+    over = [(1, 0, 0, 0.3), (1, 0, 1, 0.45), (1, 1, 0, 0.62), (1, 1, 1, 0.81), (1, 2, 0, 0.97), (1, 2, 1, float("nan")), (1, 3, 0, 1.0)]
+    m = dt.match_detections(d, lab, overlaps=spark.createDataFrame(over, "image_id long, det_id long, label_id long, iou double")).collect()
+    assert {r["det_id"]: sum(r[f"t{i}"] for i in range(10)) for r in m} == {0: 0, 1: 7, 2: 10, 3: 0}
+
+
 def test_images_without_labels_or_detections(spark):
     d = spark.createDataFrame([(1, 1, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (2, 1, 0, 0.8, 0.0, 0.0, 10.0, 10.0), (2, 2, 0, 0.7, 0.0, 0.0, 10.0, 10.0)],
                               "image_id long, det_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double")

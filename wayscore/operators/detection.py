@@ -65,13 +65,26 @@ def _class_matches(dets: DataFrame, labels: DataFrame, keys: Sequence[str], cell
     )
 
 
-def match_detections(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (), cell: float = 64.0) -> DataFrame:
+def _given_matches(dets: DataFrame, labels: DataFrame, overlaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Detections with their best label of the same class by the overlaps of a table."""
+    k = [*keys, "image_id"]
+    pairs = overlaps.where((F.col("iou") >= IOU_LEVELS[0]) & ~F.isnan("iou")).select(*k, "det_id", "label_id", "iou")
+    pairs = pairs.join(dets.select(*k, "det_id", "cls"), [*k, "det_id"]).join(labels.select(*k, "label_id", "cls"), [*k, "label_id", "cls"])
+    return (
+        pairs.groupBy(*k, "cls", "det_id")
+        .agg(F.max(F.struct("iou", (-F.col("label_id")).alias("neg"))).alias("_b"))
+        .select(*k, "cls", "det_id", F.col("_b.iou").alias("iou"), (-F.col("_b.neg")).alias("label_id"))
+    )
+
+
+def match_detections(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (), cell: float = 64.0, overlaps: DataFrame | None = None) -> DataFrame:
     """Detections with one flag per IoU level.
 
     Each detection claims its best label; of the claims on one label at a level
-    the lowest detection id is kept.
+    the lowest detection id is kept. ``overlaps`` (keys, image_id, det_id, label_id, iou)
+    takes the place of the overlap of boxes: of masks, keypoints or rotated boxes.
     """
-    best = _class_matches(dets, labels, keys, cell)
+    best = _class_matches(dets, labels, keys, cell) if overlaps is None else _given_matches(dets, labels, overlaps, keys)
     k = [*keys, "image_id"]
     level = {f"t{i}": t for i, t in enumerate(IOU_LEVELS)}
     won = best.groupBy(*k, "label_id").agg(
