@@ -24,19 +24,37 @@ NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set on the context.
+
+    Where neither is named, a local session gets a temporary folder; any other ends with one clear error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="wayscore-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wayscore-shared-"))
+    return context.getCheckpointDir()
+
+
+def stored_at(df: DataFrame) -> tuple[str, DataFrame]:
+    """The rows of ``df``, written to the shared folder once, and where: lineage ends here."""
+    path = os.path.join(shared_dir(df.sparkSession), f"llm-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the shared folder once and read from there: lineage ends here."""
-    path = os.path.join(shared_dir(df.sparkSession), f"llm-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of ``df``, written to the shared folder once and read from there."""
+    return stored_at(df)[1]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored_at`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
