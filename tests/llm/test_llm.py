@@ -300,14 +300,96 @@ def test_block_max_search_is_exact():
     v = np.where(r.random((500, 20)) < 0.2, r.random((500, 20)), 0)
     v[:, -1] = 1
     v[100:200] = v[100]
-    v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
+    v[7] = 0
+    v /= np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-9)
     ids = r.permutation(500)
-    index = BlockMaxIndex(v, ids, np.zeros(500, int))
-    for q in v[::25]:
-        terms = np.flatnonzero(q)
-        got = [(round(s, 9), int(index.ids[e])) for s, e in index.nearest(terms, q[terms], 7)]
-        want = sorted(((-round(float(v[i] @ q), 9), int(ids[i])) for i in range(500)))[:7]
-        assert got == [(-s, i) for s, i in want]
+    example, term = np.nonzero(v)
+    index = BlockMaxIndex(example, term, v[example, term], 20, ids, np.zeros(500, int))
+    queries = np.concatenate([v[::25], np.zeros((1, 20)), v[100:101] * 0.5, v[7:8]])
+    row, term = np.nonzero(queries)
+    for k in (1, 7, 150, 600):
+        found = index.nearest(row, term, queries[row, term], len(queries), k)
+        for q, near in zip(queries, found, strict=True):
+            got = [(s, int(index.ids[e])) for s, e in near]
+            want = sorted(((-round(float(v[i] @ q), 12), int(ids[i])) for i in range(500)))[:k]
+            assert [i for _, i in got] == [i for _, i in want]
+            assert all(abs(a + b) < 1e-9 for (a, _), (b, _) in zip(got, want, strict=True))
+
+
+def test_toxicity_score_by_brute_force(spark):
+    """Term frequencies, document frequencies, strengths, cosines, votes and steps, each the plain way."""
+    from wayscore.llm import toxicity as T
+
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(150):
+        words = [r.choice(["alpha", "beta", "gammaray", "gammaful", "Delta", "é漢", "x"]) for _ in range(r.randint(0, 30))] + passage(i, 3)
+        if i % 4 == 0:
+            words += [r.choice(["vile", "scumbag", "scumling"])] * r.randint(1, 3)
+        rows.append((i, " ".join(words)))
+        if i % 3:
+            labels.append((i, int(i % 4 == 0)))
+    rows += [(500, None), (501, ""), (502, "never seen"), (None, "vile alpha"), (30, rows[30][1]), (503, "vile " * 40000)]
+    docs = spark.createDataFrame([(i, t, 0.5, [1]) for i, t in rows], "doc_id long, text string, score double, evidence array<int>").repartition(3)
+    got = {(x.doc_id, x.score) for x in T.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+
+    def terms(t):
+        out = Counter()
+        for w in LETTERS.findall(low(t)):
+            b = w.encode()
+            out[b] += 1
+            out.update((n, b[:n]) for n in (4, 5, 6) if len(b) > n)
+        return out
+
+    text = dict(rows)
+    known = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    share = sum(known.values()) / len(known)
+    found = {i: terms(text[i]) for i in known}
+    df = Counter(t for _, x in rows for t in set(terms(x)))
+    n, n1 = len(known), sum(known.values())
+    idf = {}
+    for t in set().union(*found.values()):
+        a = sum(1 for i in known if known[i] and t in found[i])
+        b = sum(1 for i in known if not known[i] and t in found[i])
+        c, d = n1 - a, n - n1 - b
+        chi = n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
+        idf[t] = (math.log((1 + len(rows)) / (1 + df[t])) + 1) * (0.01 + 0.99 * chi / (chi + 30))
+
+    def vector(t):
+        v = {x: (1 + math.log(c)) * idf[x] for x, c in terms(t).items() if x in idf}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()}
+
+    space = {i: vector(text[i]) for i in known}
+    rate = [(1 - share) / (1 - n1 / n), share / (n1 / n)]
+
+    def vote(v, without=None):
+        near = sorted((-round(sum(w * space[i].get(x, 0) for x, w in v.items()), 12), i) for i in known if i != without)[:15]
+        w = [c * c * rate[known[i]] for c, i in near]
+        return (sum(x for x, (_, i) in zip(w, near, strict=True) if known[i]) + 0.5 * share) / (sum(w) + 0.5)
+
+    ids = sorted(known)
+    steps = T.isotonic(np.array([vote(space[i], i) for i in ids]), np.array([float(known[i]) for i in ids]), np.array([rate[known[i]] for i in ids]))
+    want = {(i, float(np.interp(vote(vector(t)), *steps))) for i, t in rows}
+    assert len(got) == len(want)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for (i, a), (j, b) in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert i == j and abs(a - b) < 1e-6
+
+
+def test_isotonic_steps():
+    from wayscore.llm.toxicity import isotonic
+
+    r = np.random.default_rng(8)
+    for _ in range(20):
+        v, y, w = r.random(60).round(1), (r.random(60) < 0.4).astype(float), r.random(60) + 0.1
+        x, p = isotonic(v, y, w)
+        assert (np.diff(p) > 0).all() and (np.diff(x) >= 0).all() and abs((p.min() >= 0) and (p.max() <= 1))
+        # least squares: the steps' loss is no worse than that of any constant pair around a cut
+        fitted = np.interp(np.sort(v), x, p)
+        assert fitted[0] <= fitted[-1]
+    x, p = isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
+    assert p.tolist() == [0.0, 0.5, 1.0] and np.allclose(x, [0.1, 0.25, 0.4])
 
 
 def test_top_k(spark):
