@@ -32,7 +32,7 @@ TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 PIECE = 1 << 20
 HELD = 1 << 18
 #: Scores that share a block when ranks are counted.
-BLOCK = 1024
+BLOCK = 128
 
 
 def word_lists(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,16 +133,21 @@ class Encoder:
 
     def _clear(self) -> None:
         self.numbers = _Numbers()
-        self.ids, self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.held = np.zeros(1 << 16, np.int32), 0  # grows by doubling
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for content, i in self.vocabulary.special.items():
             self.numbers["\0special " + content]
             self._add([i], [1])
         self.numbers.fresh.clear()
 
     def _add(self, ids: list[int], sizes: list[int]) -> None:
-        size = np.array(sizes, np.int64)
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        self.ids, self.size = np.concatenate([self.ids, np.array(ids, np.int64)]), np.concatenate([self.size, size])
+        size = np.array(sizes, np.int32)
+        self.begin = np.concatenate([self.begin, self.held + np.cumsum(size, dtype=np.int64) - size])
+        self.size = np.concatenate([self.size, size])
+        while self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
 
     def _pieces(self, text: str) -> list[int]:
         get = self.numbers.__getitem__
@@ -178,14 +184,14 @@ def decode_ids(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> li
     return [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _in_parts(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _in_parts(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of parts of about ``limit`` bytes; only one part is held as strings at a time."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(lengths)
     i = 0
     while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= limit):
-            n += len(texts[j])
-            j += 1
-        yield i, j
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + limit, "right")))
+        yield i, ["" if t is None else t for t in texts.slice(i, j - i).to_pylist()]
         i = j
 
 
@@ -193,12 +199,11 @@ def _round_trip(vocabulary, give_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for i, j in _in_parts(texts):
-                ids, sizes = encoder(texts[i:j])
+            for i, texts in _in_parts(batch.column(1)):
+                ids, sizes = encoder(texts)
                 raw, at = ids.astype("<u4"), np.cumsum([0, *sizes])
                 out = {
-                    "doc_id": batch.column(0).slice(i, j - i),
+                    "doc_id": batch.column(0).slice(i, len(texts)),
                     "n_tokens": pa.array(sizes, pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()),
                     "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_ids(ids, sizes, encoder.vocabulary)], pa.string()),
