@@ -35,7 +35,9 @@ BLOCK = 64
 #: Blocks scored before the bounds decide on the others.
 FIRST = 3
 #: Bytes and documents scored at a time.
-SLICE, SLICE_DOCS = 2 << 20, 256
+SLICE, SLICE_DOCS = 1 << 20, 128
+#: Postings scored in one step.
+STEP = 1 << 19
 #: A term of this chi-square has half of the full strength; the least strength is that of a term without any relation.
 HALF, LEAST = 30.0, 0.01
 #: Ranges of terms whose document frequencies are summed together.
@@ -138,17 +140,25 @@ class BlockMaxIndex:
         row, weight = np.repeat(rows, many), np.repeat(weights, many)
         place = row * self.blocks + self.block[run]
         bound = np.bincount(place, weights=weight * self.top[run], minlength=n * self.blocks).reshape(n, self.blocks)
-        scores = np.full((n, self.blocks * BLOCK), 0.0)
+        scores = np.zeros((n, self.blocks * BLOCK))
+
+        width = self.blocks * BLOCK
 
         def score(wanted: np.ndarray) -> None:
             took = np.flatnonzero(wanted.ravel()[place])
-            size = self.size[run[took]]
-            at = ranges(self.start[run[took]], size)
-            cell = np.repeat(row[took] * (self.blocks * BLOCK), size)
-            cell += self.example[at]
-            product = np.repeat(weight[took], size)
-            product *= self.weight[at]
-            scores.ravel()[:] += np.bincount(cell, weights=product, minlength=scores.size)
+            upto = np.cumsum(self.size[run[took]])
+            i = 0
+            while i < len(took):  # rows come in order, so a step fills some rows of the scores
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, "right")))
+                part = took[i:j]
+                size, low, high = self.size[run[part]], row[part[0]], row[part[-1]] + 1
+                at = ranges(self.start[run[part]], size)
+                cell = np.repeat((row[part] - low) * width, size)
+                cell += self.example[at]
+                product = np.repeat(weight[part], size)
+                product *= self.weight[at]
+                scores[low:high] += np.bincount(cell, weights=product, minlength=(high - low) * width).reshape(-1, width)
+                i = j
 
         seen = np.zeros(bound.shape, bool)
         first = np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]
@@ -244,7 +254,7 @@ def _frequencies(terms):
         for batch in batches:
             texts = texts_of(batch.column(0))
             n += batch.num_rows
-            for i, j in texts.slices():
+            for i, j in texts.slices(SLICE):
                 df += np.bincount(terms.value.counted(texts.part(i, j))[1], minlength=len(df))
         parts = [np.array([n]), *np.array_split(df, RANGES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=["part", "counts"])
@@ -284,8 +294,21 @@ def _score(model):
                     j = min(i + SLICE_DOCS, end)
                     score, near = m.score(texts.part(i, j))
                     evidence = [[{"doc_id": int(m.index.ids[e]), "toxic": int(m.index.label[e]), "cosine": c} for c, e in x[:3]] for x in near]
-                    kept = [batch.column(k).slice(i, j - i) for k in range(2, batch.num_columns)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *kept, pa.array(score), pa.array(evidence, kind)], names=["doc_id", *batch.schema.names[2:], "score", "evidence"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+
+    return run
+
+
+def _clean(model, text: int):
+    """The rows as they are, without those predicted toxic by their column ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(text))
+            for begin, end in texts.slices(SLICE):
+                for i in range(begin, end, SLICE_DOCS):
+                    j = min(i + SLICE_DOCS, end)
+                    yield batch.slice(i, j - i).filter(pa.array(model.value.score(texts.part(i, j))[0] < 0.5))
 
     return run
 
@@ -325,29 +348,28 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 500, example_mb: int
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), **parameters) -> DataFrame:
-    """Per document: doc_id, the columns ``keep``, held_out, score, predicted (1 from 0.5 on), evidence (nearest examples).
+def score_toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted (1 from 0.5 on), evidence (nearest examples).
 
     Null and empty texts have the score of a text without any known term, whose cosines are all 0; repeated rows score
     alike; a null doc_id is scored too and not held out; an empty table gives no rows; without examples every score is
     0; further columns are dropped.
     """
     model = fit(docs, labels, **parameters)
-    kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
-    evidence = "evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    evidence = "array<struct<doc_id:long,toxic:int,cosine:double>>"
     if model is None:
-        scored = rows.drop("text").withColumn("score", F.lit(0.0)).withColumn("evidence", F.array().cast(evidence.split(" ", 1)[1]))
+        scored = rows.select("doc_id", F.lit(0.0).alias("score"), F.array().cast(evidence).alias("evidence"))
     else:
-        types = "".join(f"_k{i} {t}, " for i, (_, t) in enumerate(docs.select(*keep).dtypes))
-        scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id long, {types}score double, {evidence}")
-    return scored.select("doc_id", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), "evidence")
+        scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id long, score double, evidence {evidence}")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), "evidence")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents, all columns kept, that are not predicted toxic."""
-    columns = tuple(c for c in docs.columns if c != "doc_id")
-    named = docs.select("doc_id", *[F.col(c).alias(f"_d{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))
-    scored = score_toxicity(named, labels, keep=tuple(f"_d{i}" for i in range(len(columns))), **parameters)
-    own = {c: F.col(f"_d{i}").alias(c) for i, c in enumerate(columns)}
-    return scored.where("predicted = 0").select(*[own.get(c, F.col("doc_id")) for c in docs.columns])
+    """The documents, all columns kept whatever their names, that are not predicted toxic."""
+    model = fit(docs, labels, **parameters)
+    if model is None:
+        return docs
+    placed = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    kept = placed.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), placed.schema)
+    return kept.toDF(*docs.columns)
