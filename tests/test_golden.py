@@ -137,32 +137,44 @@ def test_assignment_beats_every_permutation():
             assert len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs})
 
 
-def test_filter_matches_one_track_at_a_time(spark):
+@pytest.mark.parametrize("aspect", [True, False])
+def test_filter_matches_one_track_at_a_time(spark, aspect):
+    """Full 8 x 8 matrices frame by frame, on tracks with gaps, a single box, a repeated frame and blocks of states."""
+    from wayscore.operators import trackfilter as tf
+
     rng = np.random.RandomState(5)
-    rows = [(t, f, 10.0 * f + rng.randn(), 5.0 * f + rng.randn(), 0.5, 40.0) for t in range(3) for f in range(12) if (t, f) not in {(1, 4), (1, 5)}]
+    rows = [(t, f, 10.0 * f + rng.randn(), 5.0 * f + rng.randn(), 0.5 + rng.rand() / 10, 40.0 + rng.rand()) for t in range(3) for f in range(12) if (t, f) not in {(1, 4), (1, 5)}]
+    rows += [(7, 3, 1.0, 2.0, 0.5, 30.0), (8, 0, 1.0, 2.0, 0.5, 30.0), (8, 5000, 9.0, 2.0, 0.5, 30.0), (9, 1, 1.0, 2.0, 0.5, 30.0), (9, 1, 2.0, 2.0, 0.5, 30.0)]
+    rows += [(10, f, float(f), 0.0, 1.0, 50.0) for f in range(tf.BLOCK + 3)]
     d = spark.createDataFrame(rows, "track_id long, frame long, x double, y double, a double, h double")
-    got = {(r["track_id"], r["frame"]): (r["x"], r["y"], r["gate"]) for r in ac.filter_tracks(d, ["track_id"]).collect()}
+    plan = tf.filter_tracks(d, ["track_id"], aspect)
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in plan.collect():
+        got.setdefault(r["track_id"], []).append((r["frame"], r["x"], r["y"], r["a"], r["h"], r["gate"]))
     motion = np.eye(8) + np.eye(8, k=4)
-    for t in range(3):
-        own = [r for r in rows if r[0] == t]
-        z = np.array(own[0][2:])
-        mean = np.r_[z, np.zeros(4)]
-        h = z[3]
-        cov = np.diag(np.square([h / 10, h / 10, 1e-2, h / 10, h / 16, h / 16, 1e-5, h / 16]))
-        last = own[0][1]
+
+    def noise(mean, p, v, pa, va):
+        h, w = mean[3], mean[2]
+        return np.diag(np.square([p * h, p * h, pa, p * h, v * h, v * h, va, v * h] if aspect else [p * w, p * h, p * w, p * h, v * w, v * h, v * w, v * h]))
+
+    assert set(got) == {r[0] for r in rows}
+    for t in got:
+        own = sorted(r for r in rows if r[0] == t)
+        mean = np.r_[np.array(own[0][2:]), np.zeros(4)]
+        cov = noise(mean, 2 / 20, 10 / 160, 1e-2, 1e-5)
+        now, want = own[0][1], [(own[0][1], *mean[:4], 0.0)]
         for r in own[1:]:
-            for _ in range(r[1] - last):
-                h = mean[3]
-                q = np.diag(np.square([h / 20, h / 20, 1e-2, h / 20, h / 160, h / 160, 1e-5, h / 160]))
-                mean, cov = motion @ mean, motion @ cov @ motion.T + q
-            h = mean[3]
-            s = cov[:4, :4] + np.diag(np.square([h / 20, h / 20, 1e-1, h / 20]))
+            for _ in range(max(1, r[1] - now)):
+                mean, cov = motion @ mean, motion @ cov @ motion.T + noise(mean, 1 / 20, 1 / 160, 1e-2, 1e-5)
+                now += 1
+            s = cov[:4, :4] + noise(mean, 1 / 20, 0, 1e-1, 0)[:4, :4]
             gain = cov[:, :4] @ np.linalg.inv(s)
             diff = np.array(r[2:]) - mean[:4]
             gate = diff @ np.linalg.inv(s) @ diff
             mean, cov = mean + gain @ diff, cov - gain @ s @ gain.T
-            last = r[1]
-            assert got[t, r[1]] == pytest.approx((mean[0], mean[1], gate), rel=1e-8)
+            want.append((r[1], *mean[:4], gate))
+        assert sorted(got[t]) == [pytest.approx(w, rel=1e-7, abs=1e-7) for w in sorted(want)]
 
 
 def test_tracker_keeps_identities(spark):

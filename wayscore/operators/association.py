@@ -1,7 +1,7 @@
-"""Track smoothing, track-to-detection assignment and frame-ordered tracking.
+"""Track-to-detection assignment and frame-ordered tracking.
 
-Work is split by Spark: one row per track for the filter, one row per frame for
-the assignment, one group per clip for the tracker. Numpy steps run inside.
+Work is split by Spark: one row per frame for the assignment, one group per clip
+for the tracker. Numpy steps run inside. Tracks are filtered in ``trackfilter``.
 """
 
 from __future__ import annotations
@@ -17,51 +17,6 @@ from pyspark.sql import types as T
 from wayscore.functions import kalman as kf
 from wayscore.operators.ordered import by_key
 
-_STATE = T.ArrayType(T.StructType([T.StructField("frame", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("x", "y", "a", "h", "gate")]]))
-
-
-def filter_tracks(df: DataFrame, keys: Sequence[str], aspect: bool = True) -> DataFrame:
-    """Filtered box state after every observed frame, and the gate distance of the observation.
-
-    Rows hold frame and the measurement x, y, a, h. Frames without a box only
-    predict. Each Arrow batch filters all of its tracks together, frame by frame.
-    """
-    @F.pandas_udf(_STATE)
-    def run(rows: pd.Series) -> pd.Series:
-        tracks = [pd.DataFrame(list(r)) for r in rows]
-        outs: list[list[dict]] = [[] for _ in tracks]
-        if not tracks:
-            return pd.Series(outs)
-        z = [t[["x", "y", "a", "h"]].to_numpy(float) for t in tracks]
-        frames = [t["frame"].to_numpy() for t in tracks]
-        first = np.stack([x[0] for x in z])
-        mean, cov = kf.start(first, aspect)
-        for i in range(len(tracks)):
-            outs[i].append({"frame": int(frames[i][0]), "x": first[i, 0], "y": first[i, 1], "a": first[i, 2], "h": first[i, 3], "gate": 0.0})
-        pos = np.ones(len(tracks), int)
-        now = np.array([f[0] for f in frames])
-        while True:
-            live = np.array([i for i in range(len(tracks)) if pos[i] < len(frames[i])], int)
-            if not len(live):
-                break
-            mean[live], cov[live] = kf.predict(mean[live], cov[live], aspect)
-            now[live] += 1
-            hit = np.array([i for i in live if frames[i][pos[i]] <= now[i]], int)
-            if not len(hit):
-                continue
-            obs = np.stack([z[i][pos[i]] for i in hit])
-            gate = kf.gate_distance(mean[hit], cov[hit], obs, aspect)
-            mean[hit], cov[hit] = kf.update(mean[hit], cov[hit], obs, aspect)
-            for j, i in enumerate(hit):
-                outs[i].append({"frame": int(frames[i][pos[i]]), **dict(zip("xyah", mean[i, :4])), "gate": float(gate[j])})
-            pos[hit] += 1
-        return pd.Series(outs)
-
-    rows = by_key(df, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y", "a", "h"))).alias("r"))
-    e = rows.select(*keys, F.explode(run("r")).alias("s"))
-    return e.select(*keys, "s.frame", "s.x", "s.y", "s.a", "s.h", "s.gate")
-
-
 _PAIRS = T.ArrayType(T.StructType([T.StructField("track", T.LongType()), T.StructField("det", T.LongType()), T.StructField("cost", T.DoubleType())]))
 
 

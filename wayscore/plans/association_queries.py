@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayscore.operators import association as ac
+from wayscore.operators import trackfilter as tf
 from wayscore.plans import views as v
 from wayscore.plans.registry import query
 from wayscore.plans.track_queries import TK, tbox
@@ -12,11 +13,37 @@ from wayscore.plans.track_queries import TK, tbox
 KEYS = "video_id:l clip:l track_id:l"
 
 
-@query("filtered_track_states", "E18", f"{KEYS} frame:l x y a h gate")
+def filter_sql() -> str:
+    """The filter frame by frame: every frame predicts, a frame with a box corrects."""
+    xyah = "xyah"
+    deviation = lambda i, weight, fixed, h: fixed if i == "a" else f"{weight}*{h}"
+    start = ", ".join(
+        f"{i} AS m{i}, 0.0::DOUBLE AS v{i}, pow(2*{deviation(i, '0.05::DOUBLE', '0.5e-2::DOUBLE', 'h')},2) AS p{i}, 0.0::DOUBLE AS c{i}, "
+        f"pow(10*{deviation(i, '(1/160::DOUBLE)', '1e-6::DOUBLE', 'h')},2) AS s{i}" for i in xyah)
+    predict = ", ".join(
+        f"m{i}+v{i} AS m{i}, v{i}, p{i}+2*c{i}+s{i}+pow({deviation(i, '0.05::DOUBLE', '1e-2::DOUBLE', 'mh')},2) AS p{i}, c{i}+s{i} AS c{i}, "
+        f"s{i}+pow({deviation(i, '(1/160::DOUBLE)', '1e-5::DOUBLE', 'mh')},2) AS s{i}" for i in xyah)
+    total = ", ".join(f"p{i}+pow({deviation(i, '0.05::DOUBLE', '1e-1::DOUBLE', 'mh')},2) AS e{i}" for i in xyah)
+    either = lambda n, value: f"CASE WHEN hit THEN {value} ELSE {n} END AS {n}"
+    correct = ", ".join(
+        ", ".join([either(f"m{i}", f"m{i}+p{i}/e{i}*({i}-m{i})"), either(f"v{i}", f"v{i}+c{i}/e{i}*({i}-m{i})"), either(f"p{i}", f"p{i}-p{i}*p{i}/e{i}"),
+                   either(f"c{i}", f"c{i}-p{i}*c{i}/e{i}"), either(f"s{i}", f"s{i}-c{i}*c{i}/e{i}")]) for i in xyah)
+    gate = "+".join(f"pow({i}-m{i},2)/e{i}" for i in xyah)
+    return f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT video_id, clip, track_id, gframe AS frame, cx AS x, cy AS y, 0.5::DOUBLE+k%10/20::DOUBLE AS a, (30+k%20)::DOUBLE AS h,
+ min(gframe) OVER w AS lo, max(gframe) OVER w AS hi FROM tracks WINDOW w AS (PARTITION BY video_id, clip, track_id)),
+f AS (SELECT video_id, clip, track_id, frame, hi, true AS hit, 0.0::DOUBLE AS gate, {start} FROM o WHERE frame = lo
+UNION ALL SELECT video_id, clip, track_id, frame, hi, hit, CASE WHEN hit THEN {gate} END AS gate, {correct}
+ FROM (SELECT g.*, {total}, o.x, o.y, o.a, o.h, o.frame IS NOT NULL AS hit FROM (SELECT video_id, clip, track_id, frame+1 AS frame, hi, {predict} FROM f WHERE frame < hi) g
+  LEFT JOIN o ON o.video_id=g.video_id AND o.clip=g.clip AND o.track_id=g.track_id AND o.frame=g.frame))
+SELECT video_id, clip, track_id, frame, mx AS x, my AS y, ma AS a, mh AS h, round_even(gate, 3) AS gate FROM f WHERE hit"""
+
+
+@query("filtered_track_states", "E18", f"{KEYS} frame:l x y a h gate", "tracks", filter_sql())
 def _(spark, d):
     t = v.tracks(spark, d).select(*TK, F.col("gframe").alias("frame"), F.col("cx").alias("x"), F.col("cy").alias("y"), (0.5 + F.col("k") % 10 / 20).alias("a"),
                                   (30.0 + F.col("k") % 20).alias("h"))
-    return ac.filter_tracks(t, TK)
+    return tf.filter_tracks(t, TK).withColumn("gate", F.bround("gate", 3))
 
 
 @query("frame_assignments", "F10", "video_id:l clip:l frame:l track_id:l det_id:l cost")
