@@ -14,6 +14,7 @@ MODULES = (
     "caption_queries",
     "motion_queries",
     "raster_queries",
+    "instance_queries",
     "association_queries",
 )
 

@@ -216,17 +216,6 @@ def _(spark, d):
     return dt.summary(dt.average_precision(m, labels), dt.best_f1(dt.confidence_curves(m, labels)))
 
 
-@query("average_precision_by_kind", "D22", "kind:s map50 map", "ap_", """
-SELECT 'box' AS kind, avg(CASE WHEN lvl=0 THEN ap END) AS map50, avg(ap) AS map FROM ap_
-UNION ALL SELECT 'mask', avg(CASE WHEN lvl=0 THEN ap END), avg(ap) FROM ap_""")
-def _(spark, d):
-    b = v.boxes(spark, d).withColumn("kind", F.explode(F.array(F.lit("box"), F.lit("mask"))))
-    labels = b.where("role = 'label'").withColumnRenamed("det_id", "label_id")
-    m = dt.match_detections(b.where("role = 'pred'"), labels, ["kind"])
-    ap = dt.average_precision(m, labels, ["kind"])
-    return ap.groupBy("kind").agg(F.avg(F.when(F.col("lvl") == 0, F.col("ap"))).alias("map50"), F.avg("ap").alias("map"))
-
-
 v._sql("mutual_", f"""
 WITH p AS (SELECT d.image_id, d.det_id, d.cls AS dcls, l.label_id, l.cls AS lcls, {iou_sql('d', 'l')} AS iou FROM dets d JOIN lbls l USING (image_id)
   WHERE d.conf > 0.25 AND {iou_sql('d', 'l')} > 0.45),
