@@ -66,6 +66,20 @@ def box_iou(a: np.ndarray, b: np.ndarray, eps: float = 1e-7) -> np.ndarray:
     return inter / (area(a)[:, None] + area(b)[None, :] - inter + eps)
 
 
+def unit_rows(a: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a row of zeros stays."""
+    return a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-12)
+
+
+def appearance_cost(iou: np.ndarray, scores: np.ndarray, tracks: np.ndarray, dets: np.ndarray, proximity: float = 0.5, appearance: float = 0.25) -> np.ndarray:
+    """The lower of the overlap cost fused with the scores and half the cosine distance of unit embeddings.
+
+    The embedding counts only where the boxes' distance is at most ``proximity`` and its own half distance at most ``appearance``.
+    """
+    look = np.maximum(0.0, 1 - tracks @ dets.T) / 2
+    return np.minimum(1 - iou * scores, np.where((look > appearance) | (1 - iou > proximity), 1.0, look))
+
+
 def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Minimum-cost pairs where leaving a row or column alone costs half the limit.
 

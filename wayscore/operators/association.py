@@ -20,22 +20,28 @@ from wayscore.operators.ordered import by_key
 _PAIRS = T.ArrayType(T.StructType([T.StructField("track", T.LongType()), T.StructField("det", T.LongType()), T.StructField("cost", T.DoubleType())]))
 
 
-def assign_frames(tracks: DataFrame, dets: DataFrame, keys: Sequence[str], limit: float = 0.8, fuse: bool = True) -> DataFrame:
+def assign_frames(tracks: DataFrame, dets: DataFrame, keys: Sequence[str], limit: float = 0.8, fuse: bool = True, feature: str | None = None,
+                  proximity: float = 0.5, appearance: float = 0.25) -> DataFrame:
     """Best assignment of detections to tracks per frame by IoU cost, fused with the detection score.
 
-    A frame holds a bounded number of boxes (the detector's own maximum).
+    ``feature`` names an embedding of both sides (for a track the smoothed one): near boxes that look alike then cost half
+    their cosine distance, if that is lower. A frame holds a bounded number of boxes (the detector's own maximum).
     """
-    box = lambda i: F.struct(F.col(i).alias("id"), "x1", "y1", "x2", "y2")
-    t = by_key(tracks, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(box("track_id"))).alias("t"))
-    d = by_key(dets, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("det_id").alias("id"), "x1", "y1", "x2", "y2", "conf"))).alias("d"))
+    look = [F.col(feature).cast("array<double>").alias("look")] if feature else []
+    t = by_key(tracks, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("track_id").alias("id"), "x1", "y1", "x2", "y2", *look))).alias("t"))
+    d = by_key(dets, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("det_id").alias("id"), "x1", "y1", "x2", "y2", "conf", *look))).alias("d"))
 
     @F.pandas_udf(_PAIRS)
     def solve(ts: pd.Series, ds: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(ts, ds):
             corners = lambda rows: np.array([[r["x1"], r["y1"], r["x2"], r["y2"]] for r in rows], float)
-            iou = kf.box_iou(corners(a), corners(b))
-            cost = 1 - iou * (np.array([r["conf"] for r in b]) if fuse else 1.0)
+            iou, conf = kf.box_iou(corners(a), corners(b)), np.array([r["conf"] for r in b])
+            if feature:
+                looks = lambda rows: kf.unit_rows(np.array([list(r["look"]) for r in rows], float))
+                cost = kf.appearance_cost(iou, conf if fuse else np.ones(len(b)), looks(a), looks(b), proximity, appearance)
+            else:
+                cost = 1 - iou * (conf if fuse else 1.0)
             out.append([{"track": a[i]["id"], "det": b[j]["id"], "cost": float(cost[i, j])} for i, j in kf.assign(cost, limit)])
         return pd.Series(out)
 
@@ -43,14 +49,18 @@ def assign_frames(tracks: DataFrame, dets: DataFrame, keys: Sequence[str], limit
     return e.select(*keys, F.col("p.track").alias("track_id"), F.col("p.det").alias("det_id"), "p.cost")
 
 
-def embedding_cost(a, b):
-    """Cosine distance column of two unit-free embeddings, at least 0."""
-    from wayscore.functions.numeric import cosine
-    return F.greatest(1 - cosine(a, b), F.lit(0.0))
+def assignment_totals(pairs: DataFrame, tracks: DataFrame, dets: DataFrame, keys: Sequence[str], limit: float = 0.8) -> DataFrame:
+    """What each frame's assignment costs: its pairs, and half the limit for every track or detection left alone."""
+    k = list(keys)
+    both = tracks.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).join(dets.groupBy(*k).agg(F.count(F.lit(1)).alias("_m")), k)
+    spent = pairs.groupBy(*k).agg(F.count(F.lit(1)).alias("_p"), F.sum("cost").alias("_c"))
+    alone = F.col("_n") + F.col("_m") - 2 * F.coalesce("_p", F.lit(0))
+    return both.join(spent, k, "left").select(*k, (F.coalesce("_c", F.lit(0.0)) + alone * limit / 2).alias("total"))
 
 
-# Tracker settings: score cuts, match limits and lost-track life in frames (fixed values).
-SETTINGS = {"high": 0.5, "low": 0.1, "new": 0.6, "match": 0.8, "second": 0.5, "unconfirmed": 0.7, "duplicate": 0.15, "life": 30}
+# Tracker settings: score cuts, match limits, lost-track life in frames, gates and memory of appearance (fixed values).
+SETTINGS = {"high": 0.5, "low": 0.1, "new": 0.6, "match": 0.8, "second": 0.5, "unconfirmed": 0.7, "duplicate": 0.15, "life": 30,
+            "proximity": 0.5, "appearance": 0.25, "memory": 0.9}
 
 
 def _to_state(b: np.ndarray) -> np.ndarray:
@@ -67,14 +77,25 @@ def new_tracker() -> dict:
     return {"frame": 0, "next": 1, "tracks": []}
 
 
-def track_frame(state: dict, boxes: np.ndarray, scores: np.ndarray, ids: Sequence[int], cfg: dict = SETTINGS) -> list[dict]:
+def skip_frames(state: dict, frames: int, cfg: dict = SETTINGS) -> None:
+    """Advance the tracker by frames without detections. Once no track is left, the rest passes at once."""
+    for done in range(frames):
+        if not state["tracks"]:
+            state["frame"] += frames - done
+            return
+        track_frame(state, np.zeros((0, 4)), np.zeros(0), [], cfg)
+
+
+def track_frame(state: dict, boxes: np.ndarray, scores: np.ndarray, ids: Sequence[int], cfg: dict = SETTINGS, looks: np.ndarray | None = None) -> list[dict]:
     """Advance the tracker by one frame and give the confirmed tracks seen in it.
 
     A track dict holds id, mean, cov, start, end, confirmed, lost. Strong detections
     are matched first to confirmed and lost tracks, weak ones to those still
     missed, the remaining strong ones to unconfirmed tracks; what is left starts
-    new tracks.
+    new tracks. With ``looks``, embeddings of the detections, a track also keeps
+    the smoothed one of its own, and strong matches may go by appearance.
     """
+    looks = None if looks is None else kf.unit_rows(np.asarray(looks, float))
     state["frame"] += 1
     now, tracks = state["frame"], state["tracks"]
     seen: set[int] = set()
@@ -85,13 +106,19 @@ def track_frame(state: dict, boxes: np.ndarray, scores: np.ndarray, ids: Sequenc
     def take(t, d):
         m, c = kf.update(np.array([t["mean"]], float), np.array([t["cov"]], float), _to_state(boxes[[d]]))
         t.update(mean=m[0], cov=c[0], end=now, confirmed=True, lost=False, score=float(scores[d]), det=int(ids[d]))
+        if looks is not None:
+            t["look"] = kf.unit_rows(cfg["memory"] * np.asarray(t["look"]) + (1 - cfg["memory"]) * looks[d])
         seen.add(t["id"])
 
     def match(ts, ds, limit, fuse):
         if not ts or not len(ds):
             return set(range(len(ts))), list(ds)
         iou = kf.box_iou(boxes_of(ts), boxes[ds])
-        pairs = kf.assign(1 - iou * (scores[ds] if fuse else 1.0), limit)
+        if fuse and looks is not None:
+            cost = kf.appearance_cost(iou, scores[ds], np.array([t["look"] for t in ts], float), looks[ds], cfg["proximity"], cfg["appearance"])
+        else:
+            cost = 1 - iou * (scores[ds] if fuse else 1.0)
+        pairs = kf.assign(cost, limit)
         for i, j in pairs:
             take(ts[i], ds[j])
         return set(range(len(ts))) - {i for i, _ in pairs}, [d for j, d in enumerate(ds) if j not in {k for _, k in pairs}]
@@ -117,7 +144,7 @@ def track_frame(state: dict, boxes: np.ndarray, scores: np.ndarray, ids: Sequenc
         if scores[d] >= cfg["new"]:
             m, c = kf.start(_to_state(boxes[[d]]))
             tracks.append({"id": state["next"], "mean": m[0], "cov": c[0], "start": now, "end": now, "confirmed": now == 1,
-                           "lost": False, "score": float(scores[d]), "det": int(ids[d])})
+                           "lost": False, "score": float(scores[d]), "det": int(ids[d]), **({} if looks is None else {"look": looks[d]})})
             seen.add(state["next"])
             state["next"] += 1
     tracks = [t for t in tracks if t["id"] not in gone and not (t["lost"] and now - t["end"] > cfg["life"])]
@@ -133,24 +160,26 @@ def track_frame(state: dict, boxes: np.ndarray, scores: np.ndarray, ids: Sequenc
     return [{"track": t["id"], "det_id": t["det"], "score": t["score"], **dict(zip(("x1", "y1", "x2", "y2"), map(float, b[i])))} for i, t in enumerate(shown)]
 
 
-def track_clips(dets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tracks over the frames of each clip; rows hold keys, frame, det_id, conf and a corner box."""
+def track_clips(dets: DataFrame, keys: Sequence[str], feature: str | None = None) -> DataFrame:
+    """Tracks over the frames of each clip; rows hold keys, frame, det_id, conf, a corner box and, where named, an embedding."""
     keys = list(keys)
     kinds = ", ".join(f"{k} {dets.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rows = new_tracker(), []
         pdf = pdf.sort_values(["frame", "det_id"])
-        by_frame = dict(tuple(pdf.groupby("frame")))
-        for f in range(int(pdf["frame"].min()), int(pdf["frame"].max()) + 1):
-            g = by_frame.get(f, pdf.iloc[:0])
-            for r in track_frame(state, g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), g["det_id"].tolist()):
-                rows.append({"frame": f, **r})
+        now = int(pdf["frame"].iloc[0])
+        for f, g in pdf.groupby("frame", sort=True):
+            skip_frames(state, int(f) - now)
+            looks = np.array(g["_look"].tolist(), float) if feature else None
+            for r in track_frame(state, g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), g["det_id"].tolist(), SETTINGS, looks):
+                rows.append({"frame": int(f), **r})
+            now = int(f) + 1
         out = pd.DataFrame(rows, columns=["frame", "track", "det_id", "score", "x1", "y1", "x2", "y2"])
         for i, k in enumerate(keys):
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    cols = [*keys, "frame", "det_id", "conf", "x1", "y1", "x2", "y2"]
+    cols = [*keys, "frame", "det_id", "conf", "x1", "y1", "x2", "y2", *([F.col(feature).cast("array<double>").alias("_look")] if feature else [])]
     return by_key(dets.select(*cols), *keys).groupBy(*keys).applyInPandas(
         run, f"{kinds}, frame long, track long, det_id long, score double, x1 double, y1 double, x2 double, y2 double")

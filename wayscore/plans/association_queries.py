@@ -46,11 +46,53 @@ def _(spark, d):
     return tf.filter_tracks(t, TK).withColumn("gate", F.bround("gate", 3))
 
 
+def _frame_sides(spark, d):
+    """Tracks of one frame and, as detections, the boxes of the next; both with an embedding."""
+    t = tbox(spark, d).withColumn("look", F.array("cx", "cy", F.lit(20.0)))
+    dets = t.select("video_id", "clip", (F.col("frame") - 1).alias("frame"), F.col("track_id").alias("det_id"), "x1", "y1", "x2", "y2", "conf", "look")
+    return t, dets
+
+
+FRAME = ["video_id", "clip", "frame"]
+
+
 @query("frame_assignments", "F10", "video_id:l clip:l frame:l track_id:l det_id:l cost")
 def _(spark, d):
-    t = tbox(spark, d)
-    dets = t.select("video_id", "clip", (F.col("frame") - 1).alias("frame"), F.col("track_id").alias("det_id"), "x1", "y1", "x2", "y2", "conf")
-    return ac.assign_frames(t, dets, ["video_id", "clip", "frame"])
+    return ac.assign_frames(*_frame_sides(spark, d), FRAME)
+
+
+@query("frame_assignments_by_appearance", "F10", "video_id:l clip:l frame:l track_id:l det_id:l cost")
+def _(spark, d):
+    return ac.assign_frames(*_frame_sides(spark, d), FRAME, feature="look")
+
+
+def totals_sql(cost: str) -> str:
+    """The least total over all assignments of a frame, tried one by one."""
+    over = "OVER (PARTITION BY video_id, clip, frame ORDER BY track_id)-1"
+    wh = lambda c: f"greatest(least(t.{c}2,d.{c}2)-greatest(t.{c}1,d.{c}1),0)"
+    return f"""
+WITH RECURSIVE b AS MATERIALIZED (SELECT *, sqrt(cx*cx+cy*cy+400) AS norm, row_number() {over} AS i, count(*) OVER (PARTITION BY video_id, clip, frame) AS n FROM tbox),
+p AS (SELECT t.video_id, t.clip, t.frame, t.i, t.n, d.n AS m, d.i AS j, d.conf, {wh('x')}*{wh('y')} AS inter, (t.x2-t.x1)*(t.y2-t.y1)+(d.x2-d.x1)*(d.y2-d.y1) AS areas,
+ greatest(0, 1-(t.cx*d.cx+t.cy*d.cy+400)/(t.norm*d.norm))/2 AS look FROM b t JOIN b d ON d.video_id=t.video_id AND d.clip=t.clip AND d.frame=t.frame+1),
+o AS (SELECT *, inter/(areas-inter+1e-7) AS iou FROM p), c AS MATERIALIZED (SELECT video_id, clip, frame, n, m, i, j, {cost} AS cost FROM o),
+x AS MATERIALIZED (SELECT video_id, clip, frame, i, j, cost FROM c WHERE cost <= 0.8::DOUBLE UNION ALL SELECT DISTINCT video_id, clip, frame, i, -1, 0 FROM c),
+r AS (SELECT DISTINCT video_id, clip, frame, n, m, 0::BIGINT AS i, 0::BIGINT AS taken, 0::BIGINT AS pairs, 0.0::DOUBLE AS spent FROM c
+ UNION ALL SELECT r.video_id, r.clip, r.frame, r.n, r.m, r.i+1, CASE WHEN j < 0 THEN taken ELSE taken | (1::BIGINT << j) END, CASE WHEN j < 0 THEN pairs ELSE pairs+1 END, spent+cost
+ FROM r JOIN x ON x.video_id=r.video_id AND x.clip=r.clip AND x.frame=r.frame AND x.i=r.i AND (j < 0 OR taken & (1::BIGINT << j) = 0))
+SELECT video_id, clip, frame, min(spent+(n+m-2*pairs)*0.8::DOUBLE/2) AS total FROM r WHERE i = n GROUP BY video_id, clip, frame"""
+
+
+@query("frame_assignment_totals", "F10", "video_id:l clip:l frame:l total", "tbox", totals_sql("1-iou*conf"))
+def _(spark, d):
+    sides = _frame_sides(spark, d)
+    return ac.assignment_totals(ac.assign_frames(*sides, FRAME), *sides, FRAME)
+
+
+@query("frame_assignment_totals_by_appearance", "F10 E19", "video_id:l clip:l frame:l total", "tbox",
+       totals_sql("least(1-iou*conf, CASE WHEN look > 0.25 OR 1-iou > 0.5 THEN 1.0 ELSE look END)"))
+def _(spark, d):
+    sides = _frame_sides(spark, d)
+    return ac.assignment_totals(ac.assign_frames(*sides, FRAME, feature="look"), *sides, FRAME)
 
 
 def smooth_boxes(spark, d):
@@ -63,3 +105,9 @@ def smooth_boxes(spark, d):
 @query("tracked_objects", "H4 G2 G3 F10 E18", "video_id:l clip:l frame:l track:l det_id:l score x1 y1 x2 y2")
 def _(spark, d):
     return ac.track_clips(smooth_boxes(spark, d), ["video_id", "clip"])
+
+
+@query("tracked_objects_by_appearance", "H4 F10 E19", "video_id:l clip:l frame:l track:l det_id:l score x1 y1 x2 y2")
+def _(spark, d):
+    look = F.array(F.lit(1.0), (F.col("det_id") % 4).cast("double"), F.col("x1") / 100)
+    return ac.track_clips(smooth_boxes(spark, d).withColumn("look", look), ["video_id", "clip"], "look")
