@@ -119,3 +119,68 @@ def test_pair_distance_join(spark, sf, stream_of):
     got = run(sp.stream_pair_distance(stream_of(t.where("clip = 0")), chosen, keys, 10, "t"), "pairs")
     want = [r for r in batch if r["clip"] == 0]
     assert want and keyset(got, [*keys, "a", "b", "pixels"]) == keyset(want, [*keys, "a", "b", "pixels"])
+
+
+def _waves(spark, rows, schema):
+    """One file for each list of rows, in order, as a stream."""
+    import os
+    import time
+
+    out = tempfile.mkdtemp(prefix="wayscore-waves-")
+    seen = set()
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).withColumn("t", F.timestamp_seconds(F.col("s") + 1_700_000_000)).coalesce(1).write.mode("append").parquet(out)
+        new = {f for f in os.listdir(out) if f.endswith(".parquet")} - seen
+        seen |= new
+        for f in new:
+            os.utime(f"{out}/{f}", (time.time() - 1000 + i,) * 2)
+    return spark.readStream.schema(spark.read.parquet(out).schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def _state_keys(spark, checkpoint, name):
+    rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint).collect()
+    return {r["key"]["k"] for r in rows}
+
+
+def _run_at(df, name):
+    checkpoint = tempfile.mkdtemp(prefix="wayscore-ckpt-")
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None
+    return [r.asDict() for r in df.sparkSession.table(name).collect()], checkpoint, q
+
+
+def test_ended_tracks_leave_no_state_and_late_rows_are_counted(spark):
+    waves = [[(1, 0, 0), (1, 1, 1), (2, 0, 0), (2, 5, 5)], [(2, 3, 6), (2, 7, 7)], [(2, 500, 500)], [(2, 501, 501)], [(1, 2, 3), (2, 502, 502)], [(2, 503, 900)]]
+    rows = [[(k, f, float(f), 1.0, s) for k, f, s in w] for w in waves]
+    s = _waves(spark, rows, "k long, frame long, cx double, cy double, s long")
+    got, checkpoint, q = _run_at(sp.stream_history(s, ["k"], ends=sp.Ends("t", 60, "20 seconds")), "ended")
+    at = lambda k: [(r["at"], r["points"], r["late"]) for r in sorted(got, key=lambda r: r["at"]) if r["k"] == k]
+    assert at(1) == [(0.0, 1, 0), (1.0, 2, 0)]  # its row of second 3 comes behind the watermark
+    assert at(2)[:3] == [(0.0, 1, 0), (5.0, 2, 0), (7.0, 3, 1)] and all(r[2] in (0, 1) for r in at(2))
+    assert sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"]) == 1
+    assert _state_keys(spark, checkpoint, "fold") == {2}
+
+
+def test_tracker_state_is_one_entry_a_track_and_ends(spark):
+    box = lambda k, f, i, x: (k, f, i, 0.9, x, 0.0, x + 40, 60.0, f)
+    waves = [[box(1, f, i, 200.0 * i + f) for f in range(3) for i in (1, 2)] + [box(2, 0, 1, 0.0)], [box(2, 1, 1, 1.0)], [box(2, 1_000_000, 1, 5.0)], [box(2, 1_000_001, 1, 5.0)]]
+    s = _waves(spark, waves, "k long, frame long, det_id long, conf double, x1 double, y1 double, x2 double, y2 double, s long")
+    got, checkpoint, _ = _run_at(sp.stream_tracker(s, ["k"], sp.Ends("t", 60, "20 seconds")), "tracked")
+    assert {(r["det_id"], r["track"]) for r in got if r["k"] == 1} == {(1, 1), (2, 2)}
+    assert [r["frame"] for r in got if r["k"] == 2][:2] == [0, 1]
+    assert _state_keys(spark, checkpoint, "fold") == {2} == _state_keys(spark, checkpoint, "tracks")
+
+
+def test_a_gap_of_a_million_frames_passes_at_once():
+    import time
+
+    import numpy as np
+
+    state = ac.new_tracker()
+    box = np.array([[0.0, 0.0, 40.0, 60.0]])
+    for _ in range(3):
+        ac.track_frame(state, box, np.array([0.9]), [1])
+    begin = time.time()
+    ac.skip_frames(state, 1_000_000)
+    assert time.time() - begin < 2 and state["tracks"] == [] and state["frame"] == 1_000_003
