@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayscore.functions import kalman as kf
-from wayscore.operators.ordered import by_key
+from wayscore.operators.ordered import by_key, spread_by_key
 
 _PAIRS = T.ArrayType(T.StructType([T.StructField("track", T.LongType()), T.StructField("det", T.LongType()), T.StructField("cost", T.DoubleType())]))
 
@@ -181,5 +181,5 @@ def track_clips(dets: DataFrame, keys: Sequence[str], feature: str | None = None
         return out
 
     cols = [*keys, "frame", "det_id", "conf", "x1", "y1", "x2", "y2", *([F.col(feature).cast("array<double>").alias("_look")] if feature else [])]
-    return by_key(dets.select(*cols), *keys).groupBy(*keys).applyInPandas(
+    return spread_by_key(dets.select(*cols), *keys).groupBy(*keys).applyInPandas(
         run, f"{kinds}, frame long, track long, det_id long, score double, x1 double, y1 double, x2 double, y2 double")

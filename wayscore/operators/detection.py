@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wayscore.functions import boxes as bx
 from wayscore.operators.boxjoin import GEOM, distinct_boxes, overlap_pairs, top_rows
-from wayscore.operators.ordered import running_totals, salted_join, shared
+from wayscore.operators.ordered import checkpointed, number_rows, running_totals, salted_join, shared
 
 IOU_LEVELS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 PR_GRID = 101
@@ -256,18 +256,12 @@ def confusion_matrix(dets: DataFrame, labels: DataFrame, background: int, conf:
     return hit.select(cols).unionByName(fp.select(cols)).unionByName(fn.select(cols)).where("n > 0")
 
 
-def suppress(dets: DataFrame, conf: float = 0.25, iou_max: float = 0.45, max_in: int | None = None, max_out: int | None = None) -> DataFrame:
-    """Greedy non-maximum suppression per image and class.
+#: Distinct boxes of one image and class that are suppressed in one row; larger groups go by rounds.
+FOLD = 512
 
-    Equal boxes collapse to the strongest first (the others would be suppressed
-    by it). ``max_in`` and ``max_out``, where given, limit the boxes of an image before
-    and after. The ordered fold runs per image and class, so a row holds that group's distinct boxes.
-    """
-    strong = F.max(F.struct("conf", (-F.col("det_id")).alias("neg"))).alias("_b")
-    d = dets.where(F.col("conf") > conf).groupBy("image_id", "cls", *GEOM).agg(strong)
-    d = d.select("image_id", "cls", *GEOM, F.col("_b.conf").alias("conf"), (-F.col("_b.neg")).alias("det_id"))
-    if max_in is not None:
-        d = top_rows(d, ["image_id"], [F.col("conf").desc(), "det_id"], max_in, ["det_id"])
+
+def _fold_kept(d: DataFrame, iou_max: float) -> DataFrame:
+    """Greedy suppression of small groups, each in one row: boxes by falling confidence against those kept so far."""
     item = F.struct((-F.col("conf")).alias("neg"), "det_id", *GEOM)
     lists = d.groupBy("image_id", "cls").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
@@ -277,12 +271,61 @@ def suppress(dets: DataFrame, conf: float = 0.25, iou_max: float = 0.45, max_in:
         return F.when(hit, kept).otherwise(F.array_append(kept, e))
 
     kept = F.aggregate("items", F.slice("items", 1, 0), step)
-    out = lists.select("image_id", "cls", F.explode(kept).alias("e")).select(
+    return lists.select("image_id", "cls", F.explode(kept).alias("e")).select(
         "image_id", "cls", F.col("e.det_id").alias("det_id"), (-F.col("e.neg")).alias("conf"))
+
+
+def _rounds_kept(d: DataFrame, iou_max: float, cell: float) -> DataFrame:
+    """The same result by rounds over the graph of boxes that overlap too much.
+
+    A box without a stronger open neighbour is kept, its weaker neighbours go, and so on with what is open. Boxes meet
+    in grid cells, so one crowded image is the work of many tasks. Every round settles at least the strongest open box
+    of each cluster of neighbours, and in practice most of them.
+    """
+    k = ["image_id", "cls"]
+    side = lambda p: d.select(*k, *[F.col(g).alias(f"{p}{g}") for g in GEOM], F.col("conf").alias(f"{p}conf"), F.col("det_id").alias(f"{p}det_id"))
+    over = (bx.iou(bx.box("a_"), bx.box("b_"), 0.0) > iou_max) & (
+        (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_det_id") < F.col("b_det_id"))))
+    near = overlap_pairs(side("a_"), side("b_"), k, cell).where(over)
+    edges = checkpointed(near.select(*k, F.col("a_det_id").alias("strong"), F.col("b_det_id").alias("weak")))
+    gone = None  # boxes suppressed so far; edges hold pairs of open boxes only
+    while not edges.isEmpty():
+        weak = edges.select(*k, "weak").distinct()
+        top = edges.join(weak.withColumnRenamed("weak", "strong"), [*k, "strong"], "left_anti")
+        lost = checkpointed(top.select(*k, "weak").distinct())
+        gone = lost if gone is None else checkpointed(gone.unionByName(lost))
+        edges = edges.join(lost, [*k, "weak"], "left_anti").join(lost.withColumnRenamed("weak", "strong"), [*k, "strong"], "left_anti")
+        edges = checkpointed(edges)
+    kept = d if gone is None else d.join(gone.withColumnRenamed("weak", "det_id"), [*k, "det_id"], "left_anti")
+    return kept.select(*k, "det_id", "conf")
+
+
+def suppress(dets: DataFrame, conf: float = 0.25, iou_max: float = 0.45, max_in: int | None = None, max_out: int | None = None, fold: int = FOLD,
+             cell: float = 64.0) -> DataFrame:
+    """Greedy non-maximum suppression per image and class.
+
+    Equal boxes collapse to the strongest first (the others would be suppressed
+    by it). ``max_in`` and ``max_out``, where given, limit the boxes of an image before
+    and after. Groups of up to ``fold`` distinct boxes are folded in a row; larger ones, of
+    any size, are settled by rounds over grid cells.
+    """
+    strong = F.max(F.struct("conf", (-F.col("det_id")).alias("neg"))).alias("_b")
+    d = dets.where(F.col("conf") > conf).groupBy("image_id", "cls", *GEOM).agg(strong)
+    d = d.select("image_id", "cls", *GEOM, F.col("_b.conf").alias("conf"), (-F.col("_b.neg")).alias("det_id"))
+    if max_in is not None:
+        d = top_rows(d, ["image_id"], [F.col("conf").desc(), "det_id"], max_in, ["det_id"])
+    d = shared(d)
+    large = d.groupBy("image_id", "cls").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fold).select("image_id", "cls")
+    if large.isEmpty():
+        out = _fold_kept(d, iou_max)
+    else:
+        crowded = checkpointed(large)
+        out = _fold_kept(d.join(crowded, ["image_id", "cls"], "left_anti"), iou_max).unionByName(
+            _rounds_kept(d.join(crowded, ["image_id", "cls"], "left_semi"), iou_max, cell))
     order = [F.col("conf").desc(), "det_id"]
     if max_out is not None:
         return top_rows(out, ["image_id"], order, max_out, ["det_id"])
-    return out.withColumn("position", F.row_number().over(W.partitionBy("image_id").orderBy(*order)))
+    return number_rows(out, ["image_id"], {"c": F.floor((1 - F.col("conf")) * 1024)}, order, "position", 1)
 
 
 def top_scores(scores: DataFrame, max_det: int) -> DataFrame:

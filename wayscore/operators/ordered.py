@@ -9,6 +9,7 @@ is the same as that of the plain window.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -32,6 +33,27 @@ def shared(df: DataFrame) -> DataFrame:
     return df if df.isStreaming else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the session's checkpoint folder, which ends their lineage.
+
+    A local session without such a folder gets a temporary one; on a cluster ``spark.checkpoint.dir`` must name it.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wayscore-checkpoint-"))
+    return df.checkpoint()
+
+
+def spread_by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed on ``keys`` over all shuffle partitions, for steps that cost time and not bytes.
+
+    A named number of partitions keeps adaptive execution from merging small but slow groups into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Rows hashed on ``keys``, in as many partitions as adaptive execution finds right.
 

@@ -92,18 +92,53 @@ def similarity_index(df: DataFrame, id_: str, vector: str, max_dist: float = 0.2
     return rep_of.join(reps, "a").select(id_, "n_similar", "similar_ids")
 
 
-def ratio_matches(df: DataFrame, image: str, id_: str, vector: str, ratio: float = 0.7) -> DataFrame:
+#: Descriptors of one side in a tile.
+TILE = 1024
+
+
+def _two_nearest(ids: str):
+    """For each left vector of a tile its two nearest right ones, as (left id, distance, right id)."""
+    kind = T.ArrayType(T.StructType([T.StructField(ids, T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("match_id", T.LongType())]))
+
+    @F.pandas_udf(kind)
+    def run(a_ids: pd.Series, a_v: pd.Series, b_ids: pd.Series, b_v: pd.Series) -> pd.Series:
+        out = []
+        for ia, va, ib, vb in zip(a_ids, a_v, b_ids, b_v):
+            ib = np.asarray(ib)
+            by = np.argsort(ib, kind="stable")
+            ib, right = ib[by], np.array([list(vb[j]) for j in by], float)
+            rows = []
+            for i, v in zip(ia, va):
+                d = np.zeros(len(right))
+                for x, col in zip(v, right.T):  # one component after the other, as the plain sum goes
+                    d += (x - col) ** 2
+                d = np.sqrt(d)
+                near = np.argsort(d, kind="stable")[:2]
+                rows += [{ids: int(i), "d": float(d[j]), "match_id": int(ib[j])} for j in near]
+            out.append(rows)
+        return pd.Series(out)
+
+    return run
+
+
+def ratio_matches(df: DataFrame, image: str, id_: str, vector: str, ratio: float = 0.7, tile: int = TILE) -> DataFrame:
     """Descriptor matches of each image to the next one that pass the best / second-best test.
 
-    The next image's descriptors (a bounded list per image) ride along as an array.
+    Descriptors lie in tiles of about ``tile`` by a hash of their id; each pair of tiles gives two candidates for a
+    left descriptor, and of those the two nearest overall are taken. No row holds a whole image.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(vector).alias("v"))))
-    nxt = df.groupBy((F.col(image) - 1).alias(image)).agg(items.alias("_next"))
-    d = df.join(nxt, image)
-    cand = F.array_sort(F.transform("_next", lambda s: F.struct(F.sqrt(sq_l2(vector, s["v"])).alias("d"), s["id"].alias("id"))))
-    d = d.withColumn("_c", F.slice(cand, 1, 2)).where(F.size("_c") == 2)
-    best, second = F.col("_c")[0], F.col("_c")[1]
-    return d.where(best["d"] < ratio * second["d"]).select(image, id_, best["id"].alias("match_id"), best["d"].alias("distance"))
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(F.col(image).cast("long").alias("_image"), F.col(id_).cast("long").alias("_id"), v.alias("_v"))
+    sizes = rows.groupBy("_image").agg(F.ceil(F.count(F.lit(1)) / tile).alias("_k"))
+    placed = salted_join(rows, sizes, ["_image"], ["_id"]).withColumn("_t", F.pmod(F.xxhash64("_id", F.lit(23)), F.col("_k")))
+    tiles = placed.groupBy("_image", "_t").agg(F.collect_list(F.struct("_id", "_v")).alias("_l"))
+    part = lambda p, shift: tiles.select((F.col("_image") - shift).alias("_image"), F.col("_t").alias(f"_{p}t"), F.col("_l._id").alias(f"_{p}i"), F.col("_l._v").alias(f"_{p}v"))
+    pairs = part("a", 0).join(part("b", 1), "_image")
+    near = pairs.select("_image", F.explode(_two_nearest("_id")("_ai", "_av", "_bi", "_bv")).alias("n")).select("_image", "n.*")
+    one = F.struct("d", F.col("match_id").alias("id"))
+    best = near.groupBy("_image", "_id").agg(F.slice(F.array_sort(F.collect_list(one)), 1, 2).alias("_c"))
+    best = best.where(F.size("_c") == 2).select("_image", "_id", F.col("_c")[0].alias("a"), F.col("_c")[1].alias("b"))
+    return best.where(F.col("a.d") < ratio * F.col("b.d")).select(F.col("_image").alias(image), F.col("_id").alias(id_), F.col("a.id").alias("match_id"), F.col("a.d").alias("distance"))
 
 
 def sql_over(df: DataFrame, text: str, name: str = "table_rows") -> DataFrame:
