@@ -256,6 +256,25 @@ def confusion_matrix(dets: DataFrame, labels: DataFrame, background: int, conf:
     return hit.select(cols).unionByName(fp.select(cols)).unionByName(fn.select(cols)).where("n > 0")
 
 
+def classification_confusion(scores: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Items by predicted class (highest score, lowest class on ties) and true class.
+
+    ``scores`` holds keys, cls, score; ``truth`` keys and actual. Items without scores or truth take no part.
+    """
+    best = scores.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("cls")).alias("neg"))).alias("_b"))
+    pairs = best.join(truth, list(keys)).select((-F.col("_b.neg")).alias("predicted"), "actual")
+    return pairs.groupBy("predicted", "actual").agg(F.count(F.lit(1)).alias("n"))
+
+
+def true_false_positives(matrix: DataFrame, background: int | None = None) -> DataFrame:
+    """True and false positives of each class from a confusion table (predicted, actual, n); ``background`` is no class."""
+    classes = matrix.select(F.col("predicted").alias("cls")).unionByName(matrix.select(F.col("actual").alias("cls"))).distinct()
+    hit = F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0)).alias("tp")
+    by = matrix.groupBy(F.col("predicted").alias("cls")).agg(hit, F.sum("n").alias("_all"))
+    out = classes.join(by, "cls", "left").fillna(0, ["tp", "_all"]).select("cls", "tp", (F.col("_all") - F.col("tp")).alias("fp"))
+    return out if background is None else out.where(F.col("cls") != background)
+
+
 #: Distinct boxes of one image and class that are suppressed in one row; larger groups go by rounds.
 FOLD = 512
 

@@ -376,3 +376,17 @@ def spectral_flicker(df: DataFrame, keys: Sequence[str], luma: str = "luma", fps
     out = d.join(hit, list(keys), "left")
     mmp = F.when(F.col("_n") < 4, 0.0).when(F.col("_f") < 0.2, 1.0).otherwise(F.col("_hit"))
     return out.select(*keys, "modulation_power", "fmp_alias", mmp.alias("mmp_alias"))
+
+
+def led_flicker_index(df: DataFrame, keys: Sequence[str], luma: str = "luma", fps: float = 10.0, freq_hz: float | None = None, band_hz: float = 2.0) -> DataFrame:
+    """Share of the luminance power within ``band_hz`` of a known flicker frequency, or of the strongest one where none is given.
+
+    The spectrum is taken over the frames of one clip. A clip without any frequency but the constant one has no flicker
+    of its own; the share around a given frequency is taken from the bins there are.
+    """
+    rows = by_key(df, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", F.col(luma).alias("l")))).alias("_r"))
+    d = rows.select(*keys, F.transform("_r", lambda e: e["l"]).alias("_x")).withColumn("_n", F.size("_x")).withColumn("_p", _power("_x"))
+    peak = F.lit(float(freq_hz)) if freq_hz is not None else F.when(F.size("_p") > 1, _peak("_p") * fps / F.col("_n"))
+    d = d.withColumn("_f", peak)
+    share = _band_share(F.col("_p"), F.col("_n"), fps, F.col("_f") - band_hz, F.col("_f") + band_hz)
+    return d.select(*keys, F.when(F.col("_f").isNull(), 0.0).otherwise(share).alias("led_flicker_index"))

@@ -234,6 +234,49 @@ def _(spark, d):
     return dt.confusion_matrix(b.where("role = 'pred'"), b.where("role = 'label'").withColumnRenamed("det_id", "label_id"), 3)
 
 
+v._sql("confusion_", """
+SELECT dcls AS predicted, lcls AS actual, count(*) AS n FROM mutual_ GROUP BY ALL
+UNION ALL SELECT 3, l.cls, count(*) FROM lbls l WHERE NOT EXISTS (SELECT 1 FROM mutual_ m WHERE m.image_id=l.image_id AND m.label_id=l.label_id) GROUP BY ALL
+UNION ALL SELECT d.cls, 3, count(*) FROM dets d WHERE d.conf > 0.25 AND NOT EXISTS (SELECT 1 FROM mutual_ m WHERE m.image_id=d.image_id AND m.det_id=d.det_id)
+ AND (d.image_id NOT IN (SELECT image_id FROM lbls) OR d.image_id IN (SELECT image_id FROM mutual_)) GROUP BY ALL
+""", "mutual_", "dets", "lbls")
+
+
+def _positives(matrix: str) -> str:
+    return f"""SELECT cls, coalesce(sum(n) FILTER (WHERE predicted = actual), 0) AS tp, coalesce(sum(n) FILTER (WHERE predicted <> actual), 0) AS fp
+ FROM (SELECT predicted AS cls FROM {matrix} UNION SELECT actual FROM {matrix}) c LEFT JOIN {matrix} m ON m.predicted = c.cls"""
+
+
+@query("detection_true_false_positives", "D24", "cls:l tp:l fp:l", "confusion_", _positives("confusion_") + " WHERE cls <> 3 GROUP BY cls")
+def _(spark, d):
+    b = v.boxes(spark, d)
+    m = dt.confusion_matrix(b.where("role = 'pred'"), b.where("role = 'label'").withColumnRenamed("det_id", "label_id"), 3)
+    return dt.true_false_positives(m, background=3)
+
+
+v._sql("guess_", """
+SELECT p.pos AS predicted, p.label AS actual, count(*) AS n FROM (SELECT vec_id, label, pos FROM features WHERE pos < 10
+ QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) = 1) p WHERE p.label IS NOT NULL GROUP BY ALL
+""", "features")
+
+
+def _guesses(spark, d):
+    """The first ten components of an embedding as class scores."""
+    f = v.features(spark, d).where("pos < 10").select("vec_id", F.col("pos").alias("cls"), F.col("v").alias("score"))
+    truth = v.embeddings(spark, d).where("label IS NOT NULL").select("vec_id", F.col("label").alias("actual"))
+    return dt.classification_confusion(f, truth, ["vec_id"])
+
+
+@query("classification_confusion", "D24", "predicted:l actual:l n:l", "guess_", "SELECT * FROM guess_")
+def _(spark, d):
+    return _guesses(spark, d)
+
+
+@query("classification_true_false_positives", "D24", "cls:l tp:l fp:l", "guess_", _positives("guess_") + " GROUP BY cls")
+def _(spark, d):
+    return dt.true_false_positives(_guesses(spark, d))
+
+
 @query("non_maximum_suppression", "F6", "image_id:l det_id:l cls:l conf position:l", "dets", f"""
 WITH RECURSIVE c AS (SELECT image_id, cls, x1, y1, x2, y2, max(conf) AS conf, arg_min(det_id, (-conf, det_id)) AS det_id FROM dets WHERE conf > 0.25 GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, det_id) AS r FROM c),

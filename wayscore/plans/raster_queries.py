@@ -175,6 +175,17 @@ def _(spark, d):
     return ra.spectral_flicker(v.luma(spark, d), ["video_id", "clip"])
 
 
+@query("led_flicker", "E11", f"{VC} given found", "dft pk", """
+SELECT d.video_id, d.clip, coalesce(sum(p) FILTER (WHERE f > 1.0 AND f < 5.0), 0)/(sum(p)+1e-6) AS given,
+ coalesce(sum(p) FILTER (WHERE f > pf-2 AND f < pf+2), 0)/(sum(p)+1e-6) AS found
+FROM dft d JOIN pk USING (video_id, clip) GROUP BY ALL""")
+def _(spark, d):
+    t = v.luma(spark, d)
+    k = ["video_id", "clip"]
+    given = ra.led_flicker_index(t, k, freq_hz=3.0).withColumnRenamed("led_flicker_index", "given")
+    return given.join(ra.led_flicker_index(t, k).withColumnRenamed("led_flicker_index", "found"), k)
+
+
 # ---- masks ------------------------------------------------------------------------------------------------
 
 @query("mask_run_lengths", "B29", "image_id:l counts:s area:l round_trip:l", "pixels", """
