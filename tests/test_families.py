@@ -204,3 +204,41 @@ def test_ratio_matches_by_tiles(spark, tile):
             want.add((i, k, near[0][1]))
     got = {(r["image"], r["id"], r["match_id"]) for r in sm.ratio_matches(d, "image", "id", "v", 0.7, tile).collect()}
     assert got == want and len(want) > 3
+
+
+@pytest.mark.parametrize("size", [3, 8, 256])
+def test_pose_chain_in_blocks(spark, size):
+    """Clips cut into small blocks, and blocks of blocks, against one product after the other."""
+    from wayscore.operators import depthflow as df_
+
+    rng = np.random.RandomState(8)
+    rows, want = [], {}
+    for k, n in ((1, 60), (2, 1), (3, 25)):
+        pose = np.eye(4)
+        for f in range(n):
+            a = rng.uniform(-0.3, 0.3)
+            rot = np.array([[np.cos(a), 0, np.sin(a)], [0, 1, 0], [-np.sin(a), 0, np.cos(a)]]) * (2.0 if f % 7 == 3 else 1.0)
+            t = rng.uniform(-1, 1, 3)
+            if k == 3 and f % 2:
+                continue  # frames without a step
+            rows.append((k, f, rot.ravel().tolist(), t.tolist()))
+            if f % 7 != 3:
+                step = np.eye(4)
+                step[:3, :3], step[:3, 3] = rot, t
+                pose = pose @ np.linalg.inv(step)
+            want[k, f] = pose.ravel()
+    d = spark.createDataFrame(rows, "k long, frame long, rot array<double>, t array<double>")
+    got = {(r["k"], r["frame"]): r["pose"] for r in df_.chain_poses(d, ["k"], size=size).collect()}
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x], abs=1e-9) for x in want)
+
+
+def test_a_repeated_run_has_its_lines_once(spark, tmp_path):
+    from wayscore.sources import sinks as sk
+
+    log = f"{tmp_path}/log"
+    run = lambda v: spark.createDataFrame([("ade", v), ("fde", v + 1)], "metric string, value double")
+    sk.append_metric(run(1.0), log, "a")
+    sk.append_metric(run(2.0), log, "b")
+    sk.append_metric(run(3.0), log, "a")
+    got = sorted((r["run"], r["metric"], r["value"]) for r in spark.read.json(log).collect())
+    assert got == [("a", "ade", 3.0), ("a", "fde", 4.0), ("b", "ade", 2.0), ("b", "fde", 3.0)]

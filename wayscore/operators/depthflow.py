@@ -293,26 +293,63 @@ def rigid_inverse(rot: Sequence[Column], t: Sequence[Column]) -> list[Column]:
     return [i[0], i[1], i[2], -back[0], i[3], i[4], i[5], -back[1], i[6], i[7], i[8], -back[2], F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
 
 
-def chain_poses(df: DataFrame, keys: Sequence[str], det_tol: float = 1e-2, trans_lim: float = 50.0) -> DataFrame:
+#: Steps of a pose chain that are multiplied in one row.
+CHAIN = 256
+
+
+def _products(steps: Column, begin: Column) -> Column:
+    """The running products ``begin`` times each step's matrix, as (frame, p); a step without a matrix repeats the last one."""
+    kinds = "array<struct<frame:bigint,p:array<double>>>"
+
+    def step(acc, e):
+        nxt = F.when(e["m"].isNull(), acc["p"]).otherwise(_mul4(acc["p"], e["m"]))
+        grown = lambda n: F.struct(n.alias("p"), F.array_append(acc["out"], F.struct(e["frame"].alias("frame"), n.alias("p"))).alias("out"))
+        return F.get(F.transform(F.array(nxt), grown), F.lit(0))
+
+    return F.aggregate(steps, F.struct(begin.alias("p"), F.array().cast(kinds).alias("out")), step, lambda acc: acc["out"])
+
+
+def _prefixes(blocks: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """For each block of a key (_b, m: its own product) the product of all earlier blocks, itself by blocks of blocks."""
+    eye = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
+    rows = blocks.select(*keys, F.floor(F.col("_b") / size).alias("_u"), F.struct(F.col("_b").alias("frame"), "m").alias("_s"))
+    lists = rows.groupBy(*keys, "_u").agg(F.array_sort(F.collect_list("_s")).alias("_r"))
+    inner = lists.withColumn("_o", _products(F.col("_r"), eye))
+    if inner.where("_u > 0").isEmpty():
+        outer = inner.withColumn("_before", eye)
+    else:
+        inner = shared(inner)
+        upper = _prefixes(inner.select(*keys, F.col("_u").alias("_b"), F.element_at("_o", -1)["p"].alias("m")), keys, size)
+        outer = inner.join(upper.select(*keys, F.col("_b").alias("_u"), "_before"), [*keys, "_u"])
+    # a block starts from the product after the one before it in its list
+    at = F.posexplode(F.transform("_r", lambda e: e["frame"])).alias("_i", "_b")
+    e = outer.select(*keys, "_before", "_o", at)
+    own = F.when(F.col("_i") == 0, eye).otherwise(F.get("_o", F.col("_i") - 1)["p"])
+    return e.select(*keys, "_b", _mul4(F.col("_before"), own).alias("_before"))
+
+
+def chain_poses(df: DataFrame, keys: Sequence[str], det_tol: float = 1e-2, trans_lim: float = 50.0, size: int = CHAIN) -> DataFrame:
     """World pose after every step from local steps (rot array of 9, t array of 3).
 
-    A step that is no rotation, moves too far or is not finite repeats the last pose.
-    The fold runs over one clip, whose number of frames is fixed.
+    A step that is no rotation, moves too far or is not finite repeats the last pose. Products of transforms may be
+    bracketed at will: steps are multiplied in blocks of ``size`` numbers of a key, the products of the blocks become
+    prefixes the same way, and each block then starts from its prefix. So one long sequence is the work of many tasks.
     """
     r = [F.get("rot", F.lit(i)) for i in range(9)]
     t = [F.get("t", F.lit(i)) for i in range(3)]
     det = r[0] * (r[4] * r[8] - r[5] * r[7]) - r[1] * (r[3] * r[8] - r[5] * r[6]) + r[2] * (r[3] * r[7] - r[4] * r[6])
     ok = (F.abs(det - 1.0) <= det_tol) & (F.sqrt(t[0] * t[0] + t[1] * t[1] + t[2] * t[2]) <= trans_lim)
     d = df.withColumn("_ok", F.coalesce(ok & ~F.isnan(det), F.lit(False)))
-    d = d.withColumn("_inv", F.when(F.col("_ok"), F.array(*rigid_inverse(r, t))))
-    rows = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "_inv"))).alias("_r"))
+    m = F.when(F.col("_ok"), F.array(*rigid_inverse(r, t)))
+    frame = F.col("frame").cast("long")
+    steps = d.select(*keys, F.floor(frame / size).alias("_b"), F.struct(frame.alias("frame"), m.alias("m")).alias("_s"))
     eye = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
-    start = F.struct(eye.alias("p"), F.filter(F.array(F.struct(F.lit(0).cast("long").alias("frame"), eye.alias("p"))), lambda e: F.lit(False)).alias("out"))
-
-    def step(acc, e):
-        nxt = F.when(e["_inv"].isNull(), acc["p"]).otherwise(_mul4(acc["p"], e["_inv"]))
-        return F.struct(nxt.alias("p"), F.array_append(acc["out"], F.struct(e["frame"].cast("long").alias("frame"), nxt.alias("p"))).alias("out"))
-
-    out = F.aggregate("_r", start, step, lambda acc: acc["out"])
-    e = rows.select(*keys, F.explode(out).alias("e"))
+    blocks = shared(steps.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list("_s")).alias("_r")))
+    several = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if several.isEmpty():
+        placed = blocks.withColumn("_before", eye)
+    else:
+        own = blocks.select(*keys, "_b", F.element_at(_products(F.col("_r"), eye), -1)["p"].alias("m"))
+        placed = blocks.join(_prefixes(own, keys, size), [*keys, "_b"])
+    e = placed.select(*keys, F.explode(_products(F.col("_r"), F.col("_before"))).alias("e"))
     return e.select(*keys, F.col("e.frame").alias("frame"), F.col("e.p")[3].alias("x"), F.col("e.p")[7].alias("y"), F.col("e.p")[11].alias("z"), F.col("e.p").alias("pose"))

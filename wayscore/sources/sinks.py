@@ -16,9 +16,17 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv", by: str | None = "
     w.format(fmt).save(path)
 
 
-def append_metric(df: DataFrame, path: str) -> None:
-    """One JSON line per metric run, added to the log."""
-    df.write.mode("append").json(path)
+def append_metric(df: DataFrame, path: str, run_id: str | None = None) -> None:
+    """One JSON line per metric run, added to the log.
+
+    A named run has a folder of its own in the log, written as a whole: a job that is repeated after a failure, or by a
+    scheduler, replaces its own lines and leaves those of all other runs. Without a name lines are only added.
+    """
+    if run_id is None:
+        df.write.mode("append").json(path)
+        return
+    named = df.withColumn("run", F.lit(run_id))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
 
 
 def append_result_line(df: DataFrame, path: str, model: str = "model") -> None:
