@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayscore.functions import text as tx
+from wayscore.operators.ordered import spread_by_key
 
 
-def fallback_claims(captions: DataFrame, key: str, caption: str) -> DataFrame:
-    """One claim per sentence, with a category and verifier chosen by key words."""
-    d = captions.select(key, F.posexplode(tx.sentences(F.col(caption))).alias("_pos", "claim")).where(F.length("claim") > 0)
+def fallback_claims(captions: DataFrame, key: str, caption: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One claim per sentence, with a category and verifier chosen by key words; columns ``keep`` come along.
+
+    Captions are dealt over the shuffle partitions by their key first: sentences and key words cost far more than the
+    bytes of a caption say, and what follows groups by that key.
+    """
+    d = spread_by_key(captions, key).select(key, *keep, F.posexplode(tx.sentences(F.col(caption))).alias("_pos", "claim")).where(F.length("claim") > 0)
     low = F.lower("claim")
     cat = None
     for name, words in tx.CATEGORY_WORDS:
@@ -21,7 +26,7 @@ def fallback_claims(captions: DataFrame, key: str, caption: str) -> DataFrame:
     d = d.withColumn("category", cat.otherwise("global_subjective"))
     verifier = F.when(F.col("category").isin("traffic_agents", "actions"), tx.BOTH_VERIFIERS).otherwise(tx.LANGUAGE_VERIFIER)
     return d.select(
-        key, (F.col("_pos") + 1).alias("pos"), F.concat(F.lit("C"), (F.col("_pos") + 1).cast("string")).alias("claim_id"), "claim", "category",
+        key, *keep, (F.col("_pos") + 1).alias("pos"), F.concat(F.lit("C"), (F.col("_pos") + 1).cast("string")).alias("claim_id"), "claim", "category",
         F.lit("unknown").alias("claim_type"), verifier.alias("preferred_verifier"), F.lit(3).alias("importance"),
         F.concat(F.lit("Is the following claim visible in the video: "), "claim").alias("question"))
 

@@ -40,8 +40,8 @@ SELECT doc_id, n_chars, pos, 'C' || pos AS claim_id, claim, low, CASE {_CAT} ELS
 
 def claims(spark, d):
     extra = F.get(F.array(*[F.lit(e) for e in EXTRA]), (F.col("doc_id") % 4).cast("int"))
-    docs = v.table(spark, d, "documents").select("doc_id", F.concat("text", extra).alias("text"))
-    return cp.fallback_claims(docs, "doc_id", "text")
+    docs = v.table(spark, d, "documents").select("doc_id", "n_chars", F.concat("text", extra).alias("text"))
+    return cp.fallback_claims(docs, "doc_id", "text", ["n_chars"])
 
 
 @query("fallback_claims", "B19", "doc_id:l pos:l claim_id:s claim:s category:s preferred_verifier:s importance:l", "claims", """
@@ -125,7 +125,7 @@ SELECT *, CASE WHEN detector_score IS NULL THEN language_score WHEN preferred_ve
 
 def fused(spark, d):
     n = F.col("n_chars")
-    c = verdicts(spark, d).join(v.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    c = verdicts(spark, d)
     text = F.lower(F.concat_ws(" ", "claim", "question"))
     det = cp.detector_score(text, {"vehicles": n % 4, "moving": n % 3, "persons": n % 5, "lights": n % 6}, F.when(n % 2 == 0, F.lit(0.5)), n % 10 == 3)
     c = c.withColumn("detector_score", det)
