@@ -39,6 +39,8 @@ WORDS = 4
 MARGIN = 6.0
 
 LOWER = Alphabet(SPACES, lower=True)
+#: Ids lie below; rows without one count on from here.
+NO_ID = 1 << 62
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,21 +157,25 @@ def _verify(size: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, stand_ins: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where their sets of ``size``-word shingles have a Jaccard similarity of at least
     ``percent`` hundredths; component_id is the smallest doc_id reachable. A text of fewer words is one shingle;
     null and wordless texts have none and stay alone. Rows of one doc_id with one text are one document with a row
-    each; a null doc_id never is a component's smallest unless all of it are null, and is not kept. An empty table
-    gives no rows; further columns are dropped.
+    each; rows without an id link like others, are never kept, and a component of them alone has the null id; with
+    ``stand_ins`` they come with numbers from ``NO_ID`` on instead. An empty table gives no rows; further columns are dropped.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    sketched = stored(rows.mapInArrow(_sketch(size), SKETCHED)).withColumn("cid", F.xxhash64("s1", "s2", "n_shingles"))
-    # equal sets are one class; its digest is 128 bits and the size
-    first = sketched.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    chosen = sketched.join(first.withColumnRenamed("rep", "doc_id"), ["cid", "doc_id"]).dropDuplicates(["cid"])
+    # rows without an id go by their text, after all ids
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), _stand_in(text)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    sketched = stored(rows.mapInArrow(_sketch(size), SKETCHED))
+    # equal sets are one class, by a digest of 128 bits and the size; a class number that two of them would share is parted
+    alike = ["s1", "s2", "n_shingles"]
+    first = sketched.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("doc_id")).withColumn("cid", F.xxhash64(*alike))
+    nth = F.row_number().over(W.partitionBy("cid").orderBy(*alike))
+    first = stored(first.withColumn("_nth", nth).withColumn("cid", F.when(F.col("_nth") == 1, F.col("cid")).otherwise(F.xxhash64("cid", "_nth", *alike))).drop("_nth"))
+    chosen = sketched.join(first, [*alike, "doc_id"]).dropDuplicates(["cid"])
     classes = stored(chosen.select("cid", F.col("doc_id").alias("rep"), "text_key", F.col("n_shingles").alias("n"), "sketch", "bands"))
     bands = classes.select("cid", "rep", "n", F.explode("bands").alias("band"))
     # the base of a group of copies shares more of their bands than any copy does
@@ -199,21 +205,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         label = stored(components(edges.union(more)))
     groups = classes.select("cid", "rep").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = groups.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = groups.join(least, "label").select("cid", "component_id")
-    out = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).alias("cid")).join(ids, "cid", "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    ids = groups.join(least, "label").select("cid", "component_id").join(first.drop("doc_id"), "cid").drop("cid")
+    worded = sketched.where("n_shingles > 0").select("doc_id", *alike).join(ids, alike).select("doc_id", "n_shingles", "component_id")
+    out = worded.union(sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    real = lambda c: F.col(c) if stand_ins else F.when(F.col(c) < NO_ID, F.col(c))
+    kept = F.coalesce(real("doc_id") == F.col("component_id"), F.lit(False))
+    return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), kept.alias("kept"))
+
+
+def _stand_in(text: Column) -> Column:
+    """An id for a row without one, by its text: at least ``NO_ID``."""
+    return F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
-    """The documents, all columns kept, with one of each component: its smallest doc_id, once. Documents without an id
-    rank after all others, by their text."""
-    text = F.col("text").cast("string")
-    rank = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
-    rows = docs.withColumn("_rank", F.coalesce(F.col("doc_id").cast("long"), rank)).withColumn("_key", F.xxhash64(text))
-    found = near_duplicates(rows.select(F.col("_rank").alias("doc_id"), "text"), size, percent)
-    kept = found.where("kept").select(F.col("doc_id").alias("_rank")).distinct()
-    return rows.join(kept, "_rank", "left_semi").dropDuplicates(["_rank", "_key"]).select(*docs.columns)
+    """The documents, all columns kept whatever their names, with one of each component: its smallest doc_id, once.
+    Documents without an id rank after all others, by their text."""
+    place = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    placed = docs.toDF(*place.values())
+    text = F.col(place["text"]).cast("string")
+    rows = placed.withColumn("rank", F.coalesce(F.col(place["doc_id"]).cast("long"), _stand_in(text))).withColumn("key", F.xxhash64(text))
+    found = near_duplicates(rows.select(F.col("rank").alias("doc_id"), text.alias("text")), size, percent, stand_ins=True)
+    kept = found.where("kept").select(F.col("doc_id").alias("rank")).distinct()
+    return rows.join(kept, "rank", "left_semi").dropDuplicates(["rank", "key"]).select(*place.values()).toDF(*docs.columns)
 
 
 def _in_crowds(rows: DataFrame, classes: DataFrame, crowd: DataFrame, size: int, percent: int) -> DataFrame:
