@@ -248,10 +248,17 @@ def _text_list(rows: list[str | None]) -> Texts:
     return texts_of(pa.array(rows, pa.string()))
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is copied of a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _frequencies(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(terms.value), np.int64), 0
-        for batch in batches:
+        for batch in _small(batches):
             texts = texts_of(batch.column(0))
             n += batch.num_rows
             for i, j in texts.slices(SLICE):
@@ -287,7 +294,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-        for batch in batches:
+        for batch in _small(batches):
             texts = texts_of(batch.column(1))
             for begin, end in texts.slices(SLICE):
                 for i in range(begin, end, SLICE_DOCS):
@@ -303,7 +310,7 @@ def _clean(model, text: int):
     """The rows as they are, without those predicted toxic by their column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             texts = texts_of(batch.column(text))
             for begin, end in texts.slices(SLICE):
                 for i in range(begin, end, SLICE_DOCS):
