@@ -2,8 +2,10 @@
 
 import json
 import tempfile
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,6 +155,50 @@ def test_similarity_counts_copies(spark):
     assert got == {i: int((d2[i] <= 0.2).sum()) for i in range(len(v))}
 
 
+def test_similar_vectors_meet_by_pivots(spark, monkeypatch):
+    """Clusters of many blocks: all links are found, and most pairs of blocks are never compared."""
+    monkeypatch.setattr(sm, "BLOCK", 16)
+    rng = np.random.RandomState(8)
+    x = np.concatenate([rng.randn(1, 12) * 8 + rng.randn(60, 12) * 0.3 for _ in range(9)])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    got = {(r["a"], r["b"]) for r in sm.within_distance(d, "i", "v", 1.5).collect()}
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(d2 <= 1.5))}
+    width = 1.5 ** 0.5
+    blocks = sm.vector_blocks(d.select(F.col("i").alias("rep"), "v"), width).cache()
+    n = blocks.count()
+    assert sm.block_pairs(blocks, width).count() < 0.3 * n * (n + 1) / 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_few_similar_vectors(spark, n):
+    d = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(n)], "i long, v array<double>")
+    assert {(r["a"], r["b"]) for r in sm.within_distance(d, "i", "v", 1.0).collect()} == {(a, b) for a in range(n) for b in range(n)}
+
+
+def test_warping_of_long_and_short_clips():
+    """Clips of unlike lengths in one batch, against the plain table; one long clip doesn't widen the others."""
+    rng = np.random.RandomState(9)
+    sides = [[rng.randn(n, 2).cumsum(0) for n in rng.randint(1, 40, 50)] for _ in range(2)]
+    column = lambda s, c: pd.Series([x[:, c] for x in s])
+    run = lambda a, b: tr._warp_cost.func(column(a, 0), column(a, 1), column(b, 0), column(b, 1))
+
+    def plain(a, b):
+        t = np.full((len(a) + 1, len(b) + 1), np.inf)
+        t[0, 0] = 0
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = np.hypot(*(a[i] - b[j])) + min(t[i, j], t[i, j + 1], t[i + 1, j])
+        return t[-1, -1]
+
+    assert list(run(*sides)) == [plain(a, b) for a, b in zip(*sides)]
+    long = [rng.randn(5000, 2)] + sides[0]
+    tracemalloc.start()
+    assert list(run(long, long)) == [0.0] * 51
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
 def test_kernel_distance_of_equal_sets_is_small(spark):
     rng = np.random.RandomState(7)
     x = rng.randn(60, 4)

@@ -28,52 +28,109 @@ def nearest(df: DataFrame, query: DataFrame, vector: str, limit: int, tie: str)
     return d.orderBy("distance", tie).limit(limit)
 
 
+#: Vectors of a block, rows the pivots are chosen from, pivots in all and those whose distances make the cells.
 BLOCK = 256
+PIVOT_ROWS = 512
+PIVOTS = 8
+CELL_PIVOTS = 3
 _HITS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("distance", T.DoubleType())]))
 
 
 def _tile_hits(max_sq: float):
     @F.pandas_udf(_HITS)
-    def hits(a_ids: pd.Series, a_vecs: pd.Series, b_ids: pd.Series, b_vecs: pd.Series) -> pd.Series:
+    def hits(a_ids: pd.Series, a_vecs: pd.Series, b_ids: pd.Series, b_vecs: pd.Series, same: pd.Series) -> pd.Series:
         out = []
-        for ia, va, ib, vb in zip(a_ids, a_vecs, b_ids, b_vecs):
+        for ia, va, ib, vb, one in zip(a_ids, a_vecs, b_ids, b_vecs, same):
             x, y = np.stack(va).astype(float), np.stack(vb).astype(float)
             rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
             i, j = np.nonzero(rough <= max_sq + 1e-6)
             d = ((x[i] - y[j]) ** 2).sum(1)
-            out.append([{"a": int(ia[p]), "b": int(ib[q]), "distance": float(e)} for p, q, e in zip(i, j, d) if e <= max_sq])
+            found = [(int(ia[p]), int(ib[q]), float(e)) for p, q, e in zip(i, j, d) if e <= max_sq]
+            both = found if one else found + [(b, a, e) for a, b, e in found]
+            out.append([{"a": a, "b": b, "distance": e} for a, b, e in both])
         return pd.Series(out)
 
     return hits
 
 
-def within_distance(df: DataFrame, id_: str, vector: str, max_sq: float, axes: Sequence[int] = (0,)) -> DataFrame:
+def pivots(vectors: DataFrame) -> DataFrame:
+    """One row with up to ``PIVOTS`` vectors that lie far from each other, chosen from ``PIVOT_ROWS`` rows by hash.
+
+    The choice only decides how much is pruned, not what is found.
+    """
+    def farthest(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = np.array(sorted(map(tuple, pdf["v"])), dtype=float)
+        gap = ((rows - rows.mean(0)) ** 2).sum(1)
+        chosen: list[int] = []
+        while len(chosen) < min(PIVOTS, len(rows)):
+            chosen.append(int(gap.argmax()))
+            new = ((rows - rows[chosen[-1]]) ** 2).sum(1)
+            gap = new if len(chosen) == 1 else np.minimum(gap, new)
+        return pd.DataFrame({"pivots": [rows[chosen].tolist()]})
+
+    some = vectors.where("v IS NOT NULL").orderBy(F.xxhash64("v"), "v").limit(PIVOT_ROWS)
+    return some.groupBy(F.lit(0).alias("_one")).applyInPandas(farthest, "pivots array<array<double>>")
+
+
+def vector_blocks(groups: DataFrame, width: float) -> DataFrame:
+    """Distinct vectors (``rep``, ``v``) in blocks: cell, blk, blocks, ids, vs and the least and largest distance to each pivot.
+
+    A cell is the distances to the first pivots in steps of ``width``. A crowded one has many blocks of about ``BLOCK``.
+    """
+    placed = groups.join(F.broadcast(pivots(groups))).withColumn("_d", F.transform("pivots", lambda p: F.sqrt(sq_l2("v", p)))).drop("pivots")
+    placed = placed.withColumn("cell", F.transform(F.slice("_d", 1, CELL_PIVOTS), lambda x: F.floor(x / width)))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = salted_join(placed, sizes, ["cell"], ["rep"]).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("blocks")))
+    ends = [f(F.get("_d", F.lit(k))).alias(f"{name}{k}") for k in range(PIVOTS) for name, f in (("lo", F.min), ("hi", F.max))]
+    return placed.groupBy("cell", "blk", "blocks").agg(F.collect_list(F.struct("rep", "v")).alias("_l"), *ends).select(
+        "cell", "blk", "blocks", F.col("_l.rep").alias("ids"), F.col("_l.v").alias("vs"),
+        F.array(*[f"lo{k}" for k in range(PIVOTS)]).alias("lo"), F.array(*[f"hi{k}" for k in range(PIVOTS)]).alias("hi"))
+
+
+def _step(place: int, by: int):
+    return lambda x, i: x + F.when(i == place, by).otherwise(0)
+
+
+def block_pairs(blocks: DataFrame, width: float) -> DataFrame:
+    """Pairs of blocks, each once, that may hold vectors within ``width``, with their ids and vectors.
+
+    Distances to a pivot differ by no more than the distance itself, so only blocks of the same or a neighbouring cell
+    meet whose spans of every pivot distance come within ``width``. Blocks of two cells are dealt into a grid of the
+    square roots of their numbers: a task holds as many blocks of one side as of the other, and a block goes to no more
+    tasks than that root.
+    """
+    groups = F.ceil(F.sqrt(F.col("blocks")))
+    cells = blocks.select("cell", groups.alias("g")).distinct()
+    near = cells.select(F.col("cell").alias("a_cell"), F.col("g").alias("a_g"), F.col("cell").alias("b_cell"))
+    for k in range(CELL_PIVOTS):  # with fewer vectors than pivots a cell is shorter
+        moved = F.explode(F.array(*[F.transform("b_cell", _step(k, s)) for s in (-1, 0, 1)]))
+        near = near.select("a_cell", "a_g", moved.alias("b_cell")).distinct()
+    near = near.where("a_cell <= b_cell").join(cells.select(F.col("cell").alias("b_cell"), F.col("g").alias("b_g")), "b_cell")
+
+    def side(p: str, other: str) -> DataFrame:
+        d = blocks.select(F.col("cell").alias(f"{p}_cell"), *[F.col(c).alias(f"{p}_{c}") for c in ("blk", "ids", "vs", "lo", "hi")])
+        d = near.select("a_cell", "b_cell", "a_g", "b_g").join(d, f"{p}_cell").withColumn(f"_{p}", F.pmod(f"{p}_blk", f"{p}_g"))
+        return d.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_g") - 1))).drop("a_g", "b_g")
+
+    met = side("a", "b").join(side("b", "a"), ["a_cell", "b_cell", "_a", "_b"])
+    met = met.where("a_cell < b_cell OR a_blk <= b_blk")
+    apart = lambda x, y: F.exists(F.zip_with(x, y, lambda u, v: u - v > width), lambda far: far)
+    met = met.where(~F.coalesce(apart("a_lo", "b_hi"), F.lit(False)) & ~F.coalesce(apart("b_lo", "a_hi"), F.lit(False)))
+    same = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_blk") == F.col("b_blk"))
+    return met.select("a_ids", "a_vs", "b_ids", "b_vs", same.alias("same"))
+
+
+def within_distance(df: DataFrame, id_: str, vector: str, max_sq: float) -> DataFrame:
     """Pairs of distinct vectors within a squared distance.
 
-    Equal vectors are collapsed first. A coordinate and the norm differ by no more
-    than the distance, so rows are binned on them by the radius and only met by
-    neighbouring bins. A bin is cut into blocks of limited size by its own count, and
-    pairs of blocks are compared as matrices: a crowded bin is many tasks, and only
-    the hits leave them.
+    Equal vectors are collapsed first. Blocks of vectors meet where their stored distances to pivots allow a hit (see
+    ``block_pairs``) and are compared as matrices, and only the hits leave a task.
     """
-    r = max(max_sq, 1e-12) ** 0.5
     v = F.col(vector).cast("array<double>")
     groups = shared(df.groupBy(v.alias("v")).agg(F.min(id_).alias("rep"), F.count(F.lit(1)).alias("copies")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    cells = {f"_c{i}": F.floor(F.get("v", F.lit(a)) / r) for i, a in enumerate(axes)} | {"_cn": F.floor(norm / r)}
-    left = groups.withColumns(cells)
-    right = left
-    for c in cells:
-        right = right.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-
-    def blocks(d, side):
-        n = d.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_k"))
-        d = salted_join(d, n, list(cells), ["rep"]).withColumn("_blk", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("_k")))
-        g = d.groupBy(*cells, "_blk").agg(F.collect_list("rep").alias(f"{side}_ids"), F.collect_list("v").alias(f"{side}_v"))
-        return g.withColumnRenamed("_blk", f"_{side}")
-
-    tiles = blocks(left, "a").join(blocks(right, "b"), list(cells))
-    hits = tiles.select(F.explode(_tile_hits(max_sq)("a_ids", "a_v", "b_ids", "b_v")).alias("h")).select("h.*")
+    width = max(max_sq, 1e-12) ** 0.5 * (1 + 1e-6)  # room for the rounding of distances
+    tiles = block_pairs(shared(vector_blocks(groups, width)), width)
+    hits = tiles.select(F.explode(_tile_hits(max_sq)("a_ids", "a_vs", "b_ids", "b_vs", "same")).alias("h")).select("h.*")
     n = groups.select("rep", "copies")
     hits = hits.join(n.withColumnsRenamed({"rep": "a", "copies": "a_copies"}), "a").join(n.withColumnsRenamed({"rep": "b", "copies": "b_copies"}), "b")
     return hits.select("a", "b", "a_copies", "b_copies", "distance")

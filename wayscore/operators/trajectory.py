@@ -270,33 +270,59 @@ def hausdorff(pair: DataFrame, keys: Sequence[str]) -> DataFrame:
     return f.select(*keys, F.greatest(side("p", "g"), side("g", "p")).alias("hausdorff"))
 
 
+def _length_class(n: np.ndarray) -> np.ndarray:
+    """Lengths of one class differ by less than a quarter."""
+    return np.ceil(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(int)
+
+
+def _waves(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Warping costs of clips side by side, one anti-diagonal of all their cell tables after the other.
+
+    A cell needs only the two diagonals before its own, so three of them are all that is held; cells of the padding
+    come after those of a clip and don't reach its last one.
+    """
+    clips, rows = ax.shape
+    cols = bx.shape[1]
+    back, last = np.full((clips, rows + 1), np.inf), np.full((clips, rows + 1), np.inf)
+    back[:, 0] = 0.0  # before the first cell; column i + 1 is row i of the table
+    result, ends = np.full(clips, np.nan), n + m - 2
+    for d in range(int(ends.max()) + 1):
+        lo, hi = max(0, d - cols + 1), min(rows - 1, d)
+        j0, j1 = d - hi, d - lo
+        step = np.hypot(ax[:, lo : hi + 1] - bx[:, j0 : j1 + 1][:, ::-1], ay[:, lo : hi + 1] - by[:, j0 : j1 + 1][:, ::-1])
+        now = np.full((clips, rows + 1), np.inf)
+        now[:, lo + 1 : hi + 2] = step + np.minimum(np.minimum(last[:, lo + 1 : hi + 2], last[:, lo : hi + 1]), back[:, lo : hi + 1])
+        done = np.flatnonzero(ends == d)
+        result[done] = now[done, n[done]]
+        back, last = last, now
+    return result
+
+
+#: Points of one side that clips worked on side by side have at most (a longer clip is on its own).
+WAVE_POINTS = 1 << 20
+
+
 @F.pandas_udf(T.DoubleType())
 def _warp_cost(px: pd.Series, py: pd.Series, gx: pd.Series, gy: pd.Series) -> pd.Series:
-    """Warping cost for a batch of clips at once: the loop runs over cells, numpy over clips."""
-    if len(px) == 0:
-        return pd.Series([], dtype=float)
-    n, m = px.map(len).to_numpy(), gx.map(len).to_numpy()
-    big_n, big_m, rows = int(n.max()), int(m.max()), np.arange(len(px))
-
-    def padded(s, width):
-        out = np.zeros((len(s), width))
-        for i, a in enumerate(s):
-            out[i, : len(a)] = a
+    """Warping cost for a batch of clips, those of about the same lengths together."""
+    px, py, gx, gy = (s.to_numpy() for s in (px, py, gx, gy))
+    n, m = (np.fromiter(map(len, s), int, len(s)) for s in (px, gx))
+    result = np.full(len(n), np.nan)
+
+    def padded(s, which):
+        out = np.zeros((len(which), max(len(s[i]) for i in which)))
+        for row, i in zip(out, which):
+            row[: len(s[i])] = s[i]
         return out
 
-    ax, ay, bx, by = padded(px, big_n), padded(py, big_n), padded(gx, big_m), padded(gy, big_m)
-    prev = np.full((len(px), big_m + 1), np.inf)
-    prev[:, 0] = 0.0
-    result = np.full(len(px), np.nan)
-    for i in range(big_n):
-        step = np.hypot(ax[:, i : i + 1] - bx, ay[:, i : i + 1] - by)
-        best = np.minimum(prev[:, :-1], prev[:, 1:])
-        cur = np.full_like(prev, np.inf)
-        for j in range(big_m):
-            cur[:, j + 1] = step[:, j] + np.minimum(best[:, j], cur[:, j])
-        done = n == i + 1
-        result[done] = cur[rows[done], m[done]]
-        prev = cur
+    whole = np.flatnonzero((n > 0) & (m > 0))
+    kind = np.stack([_length_class(n[whole]), _length_class(m[whole])], axis=1)
+    for k in np.unique(kind, axis=0):
+        members = whole[(kind == k).all(axis=1)]
+        wide = max(1, WAVE_POINTS // int(max(n[members].max(), m[members].max())))
+        for at in range(0, len(members), wide):
+            which = members[at : at + wide]
+            result[which] = _waves(*(padded(s, which) for s in (px, py, gx, gy)), n[which], m[which])
     return pd.Series(result)
 
 

@@ -29,6 +29,19 @@ def _(spark, d):
     return a.join(ds.frechet_distance(e, "set_name", "real", "gen", "embedding", DIM, 0, 0.0).withColumnRenamed("frechet", "frechet_biased"))
 
 
+@query("frechet_end_points", "D16", "frechet_end_points", "traj_all", """
+WITH e AS (SELECT model = 'gt' AS truth, arg_max(x, frame) - arg_min(x, frame) AS x, arg_max(y, frame) - arg_min(y, frame) AS y FROM traj_all GROUP BY model, scene_id, clip),
+s AS (SELECT truth, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM e GROUP BY truth)
+SELECT pow(p.mx - q.mx, 2) + pow(p.my - q.my, 2) + p.a + p.d + q.a + q.d
+  - 2 * sqrt(p.a*q.a + 2*p.b*q.b + p.d*q.d + 2*sqrt((p.a*p.d - p.b*p.b) * (q.a*q.d - q.b*q.b))) AS frechet_end_points
+FROM s p, s q WHERE p.truth AND NOT q.truth""")
+def _(spark, d):
+    """Displacements of clips as features of two dimensions, for which the root of the covariances' product has a closed form."""
+    ends = v.traj_all(spark, d).groupBy(*K).agg(*[(F.max_by(c, "frame") - F.min_by(c, "frame")).alias(c) for c in ("x", "y")])
+    f = ends.select(F.when(F.col("model") == "gt", "gt").otherwise("pred").alias("side"), F.array("x", "y").alias("vector"))
+    return ds.frechet_distance(f, "side", "gt", "pred", "vector", 2, 1, 0.0).withColumnRenamed("frechet", "frechet_end_points")
+
+
 @query("frechet_trajectory_handcrafted", "D16 B7 B8 E1", "ftd_handcrafted")
 def _(spark, d):
     a = v.traj_all(spark, d)
