@@ -165,7 +165,7 @@ def test_similar_vectors_meet_by_pivots(spark, monkeypatch):
     d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(d2 <= 1.5))}
     width = 1.5 ** 0.5
-    blocks = sm.vector_blocks(d.select(F.col("i").alias("rep"), "v"), width).cache()
+    blocks = sm.vector_blocks(d.select(F.col("i").alias("rep"), F.lit(1).alias("copies"), "v"), width).cache()
     n = blocks.count()
     assert sm.block_pairs(blocks, width).count() < 0.3 * n * (n + 1) / 2
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -33,21 +33,21 @@ BLOCK = 256
 PIVOT_ROWS = 512
 PIVOTS = 8
 CELL_PIVOTS = 3
-_HITS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("distance", T.DoubleType())]))
+_HITS = "array<struct<a:long,b:long,a_copies:long,b_copies:long,distance:double>>"
 
 
 def _tile_hits(max_sq: float):
     @F.pandas_udf(_HITS)
-    def hits(a_ids: pd.Series, a_vecs: pd.Series, b_ids: pd.Series, b_vecs: pd.Series, same: pd.Series) -> pd.Series:
+    def hits(a_ids: pd.Series, a_n: pd.Series, a_vecs: pd.Series, b_ids: pd.Series, b_n: pd.Series, b_vecs: pd.Series, same: pd.Series) -> pd.Series:
         out = []
-        for ia, va, ib, vb, one in zip(a_ids, a_vecs, b_ids, b_vecs, same):
+        for ia, na, va, ib, nb, vb, one in zip(a_ids, a_n, a_vecs, b_ids, b_n, b_vecs, same):
             x, y = np.stack(va).astype(float), np.stack(vb).astype(float)
             rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
             i, j = np.nonzero(rough <= max_sq + 1e-6)
             d = ((x[i] - y[j]) ** 2).sum(1)
-            found = [(int(ia[p]), int(ib[q]), float(e)) for p, q, e in zip(i, j, d) if e <= max_sq]
-            both = found if one else found + [(b, a, e) for a, b, e in found]
-            out.append([{"a": a, "b": b, "distance": e} for a, b, e in both])
+            found = [(int(ia[p]), int(ib[q]), int(na[p]), int(nb[q]), float(e)) for p, q, e in zip(i, j, d) if e <= max_sq]
+            both = found if one else found + [(b, a, m, n, e) for a, b, n, m, e in found]
+            out.append([dict(zip(("a", "b", "a_copies", "b_copies", "distance"), h)) for h in both])
         return pd.Series(out)
 
     return hits
@@ -73,7 +73,7 @@ def pivots(vectors: DataFrame) -> DataFrame:
 
 
 def vector_blocks(groups: DataFrame, width: float) -> DataFrame:
-    """Distinct vectors (``rep``, ``v``) in blocks: cell, blk, blocks, ids, vs and the least and largest distance to each pivot.
+    """Distinct vectors (``rep``, ``copies``, ``v``) in blocks: cell, blk, blocks, ids, n, vs and the least and largest distance to each pivot.
 
     A cell is the distances to the first pivots in steps of ``width``. A crowded one has many blocks of about ``BLOCK``.
     """
@@ -82,17 +82,13 @@ def vector_blocks(groups: DataFrame, width: float) -> DataFrame:
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = salted_join(placed, sizes, ["cell"], ["rep"]).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("blocks")))
     ends = [f(F.get("_d", F.lit(k))).alias(f"{name}{k}") for k in range(PIVOTS) for name, f in (("lo", F.min), ("hi", F.max))]
-    return placed.groupBy("cell", "blk", "blocks").agg(F.collect_list(F.struct("rep", "v")).alias("_l"), *ends).select(
-        "cell", "blk", "blocks", F.col("_l.rep").alias("ids"), F.col("_l.v").alias("vs"),
+    return placed.groupBy("cell", "blk", "blocks").agg(F.collect_list(F.struct("rep", "copies", "v")).alias("_l"), *ends).select(
+        "cell", "blk", "blocks", F.col("_l.rep").alias("ids"), F.col("_l.copies").alias("n"), F.col("_l.v").alias("vs"),
         F.array(*[f"lo{k}" for k in range(PIVOTS)]).alias("lo"), F.array(*[f"hi{k}" for k in range(PIVOTS)]).alias("hi"))
 
 
-def _step(place: int, by: int):
-    return lambda x, i: x + F.when(i == place, by).otherwise(0)
-
-
 def block_pairs(blocks: DataFrame, width: float) -> DataFrame:
-    """Pairs of blocks, each once, that may hold vectors within ``width``, with their ids and vectors.
+    """Pairs of blocks, each once, that may hold vectors within ``width``, with their ids, copies and vectors.
 
     Distances to a pivot differ by no more than the distance itself, so only blocks of the same or a neighbouring cell
     meet whose spans of every pivot distance come within ``width``. Blocks of two cells are dealt into a grid of the
@@ -102,13 +98,14 @@ def block_pairs(blocks: DataFrame, width: float) -> DataFrame:
     groups = F.ceil(F.sqrt(F.col("blocks")))
     cells = blocks.select("cell", groups.alias("g")).distinct()
     near = cells.select(F.col("cell").alias("a_cell"), F.col("g").alias("a_g"), F.col("cell").alias("b_cell"))
-    for k in range(CELL_PIVOTS):  # with fewer vectors than pivots a cell is shorter
-        moved = F.explode(F.array(*[F.transform("b_cell", _step(k, s)) for s in (-1, 0, 1)]))
-        near = near.select("a_cell", "a_g", moved.alias("b_cell")).distinct()
+    shifts = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=CELL_PIVOTS)])
+    # with fewer vectors than pivots a cell is shorter, and some moves are the same
+    moved = F.transform(shifts, lambda s: F.zip_with("b_cell", F.slice(s, 1, F.size("b_cell")), lambda x, y: x + y))
+    near = near.withColumn("b_cell", F.explode(F.array_distinct(moved)))
     near = near.where("a_cell <= b_cell").join(cells.select(F.col("cell").alias("b_cell"), F.col("g").alias("b_g")), "b_cell")
 
     def side(p: str, other: str) -> DataFrame:
-        d = blocks.select(F.col("cell").alias(f"{p}_cell"), *[F.col(c).alias(f"{p}_{c}") for c in ("blk", "ids", "vs", "lo", "hi")])
+        d = blocks.select(F.col("cell").alias(f"{p}_cell"), *[F.col(c).alias(f"{p}_{c}") for c in ("blk", "ids", "n", "vs", "lo", "hi")])
         d = near.select("a_cell", "b_cell", "a_g", "b_g").join(d, f"{p}_cell").withColumn(f"_{p}", F.pmod(f"{p}_blk", f"{p}_g"))
         return d.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_g") - 1))).drop("a_g", "b_g")
 
@@ -117,7 +114,7 @@ def block_pairs(blocks: DataFrame, width: float) -> DataFrame:
     apart = lambda x, y: F.exists(F.zip_with(x, y, lambda u, v: u - v > width), lambda far: far)
     met = met.where(~F.coalesce(apart("a_lo", "b_hi"), F.lit(False)) & ~F.coalesce(apart("b_lo", "a_hi"), F.lit(False)))
     same = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_blk") == F.col("b_blk"))
-    return met.select("a_ids", "a_vs", "b_ids", "b_vs", same.alias("same"))
+    return met.select("a_ids", "a_n", "a_vs", "b_ids", "b_n", "b_vs", same.alias("same"))
 
 
 def within_distance(df: DataFrame, id_: str, vector: str, max_sq: float) -> DataFrame:
@@ -130,10 +127,8 @@ def within_distance(df: DataFrame, id_: str, vector: str, max_sq: float) -> Data
     groups = shared(df.groupBy(v.alias("v")).agg(F.min(id_).alias("rep"), F.count(F.lit(1)).alias("copies")))
     width = max(max_sq, 1e-12) ** 0.5 * (1 + 1e-6)  # room for the rounding of distances
     tiles = block_pairs(shared(vector_blocks(groups, width)), width)
-    hits = tiles.select(F.explode(_tile_hits(max_sq)("a_ids", "a_vs", "b_ids", "b_vs", "same")).alias("h")).select("h.*")
-    n = groups.select("rep", "copies")
-    hits = hits.join(n.withColumnsRenamed({"rep": "a", "copies": "a_copies"}), "a").join(n.withColumnsRenamed({"rep": "b", "copies": "b_copies"}), "b")
-    return hits.select("a", "b", "a_copies", "b_copies", "distance")
+    hits = _tile_hits(max_sq)("a_ids", "a_n", "a_vs", "b_ids", "b_n", "b_vs", "same")
+    return tiles.select(F.explode(hits).alias("h")).select("h.*")
 
 
 def similarity_index(df: DataFrame, id_: str, vector: str, max_dist: float = 0.2, top_k: int | None = None) -> DataFrame:
