@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayscore.functions.numeric import dist
 from wayscore.operators.boxjoin import top_rows
-from wayscore.operators.ordered import grouped_quantiles, salted_join, shared
+from wayscore.operators.ordered import HOT, by_key, grouped_quantiles, lower_quantile, salted_join, shared, split_hot
 
 AUC_STEPS = 100
 
@@ -25,12 +25,15 @@ def _ratio(g: Column, p: Column) -> Column:
 
 
 def auc_share(inlier: Column) -> Column:
-    """Trapezoid weight of the thresholds 1.25^e, e from .01 to 5 in 100 steps, that lie above a ratio."""
+    """Mean trapezoid weight of the thresholds 1.25^e, e from .01 to 5 in 100 steps, that lie above a ratio.
+
+    The half steps are averaged before they are scaled: their sum is exact, so the mean does not depend on the rows' order.
+    """
     step = (5.0 - 0.01) / (AUC_STEPS - 1)
     e = F.ln(inlier) / math.log(1.25)
     below = F.when(e < 0.01, 0).otherwise(F.least(F.floor((e - 0.01) / step) + 1, F.lit(AUC_STEPS)))
     n = AUC_STEPS - below
-    return F.when(n == 0, 0.0).otherwise(step * (n - 0.5 - F.when(below == 0, 0.5).otherwise(0.0)) / 5.0)
+    return F.avg(F.when(n == 0, 0.0).otherwise(n - 0.5 - F.when(below == 0, 0.5).otherwise(0.0))) * step / 5.0
 
 
 def depth_measures(g: Column, p: Column) -> dict[str, Column]:
@@ -41,38 +44,49 @@ def depth_measures(g: Column, p: Column) -> dict[str, Column]:
     return {
         "d1": share(r < 1.25), "d2": share(r < 1.25 ** 2), "d3": share(r < 1.25 ** 3),
         "rmse": F.sqrt(F.avg(d * d)), "rmselog": F.sqrt(F.avg(lg * lg)), "arel": F.avg(F.abs(d) / g), "sqrel": F.avg(d * d / g),
-        "log10": F.avg(F.abs(F.log10(p) - F.log10(g))), "silog": 100 * F.stddev_samp(-lg), "d_auc": F.avg(auc_share(r)), "tau": share(r < 1.03),
+        "log10": F.avg(F.abs(F.log10(p) - F.log10(g))), "silog": 100 * F.stddev_samp(-lg), "d_auc": auc_share(r), "tau": share(r < 1.03),
     }
 
 
 ALIGNED = ("tau", "d1", "arel")
 
 
-def depth_errors(df: DataFrame, keys: Sequence[str], max_depth: float | None = None, measures: Sequence[str] | None = None) -> DataFrame:
-    """Depth error suite per image, plus scale- and scale-shift-aligned variants."""
+def depth_errors(df: DataFrame, keys: Sequence[str], max_depth: float | None = None, measures: Sequence[str] | None = None, limit: int = HOT) -> DataFrame:
+    """Depth error suite per image, plus scale- and scale-shift-aligned variants.
+
+    Images of up to ``limit`` valid pixels are hashed by image once; medians of larger ones go through value buckets.
+    """
+    keys = list(keys)
     d = df.where("valid = 1") if max_depth is None else df.where((F.col("valid") == 1) & (F.col("gt") <= max_depth))
+    few, many = split_hot(shared(d.select(*keys, "gt", "pred")), keys, limit)
+    return _depth_errors(by_key(few, *keys), keys, measures, False).unionByName(_depth_errors(many, keys, measures, True))
+
+
+def _depth_errors(d: DataFrame, keys: list[str], measures: Sequence[str] | None, hot: bool) -> DataFrame:
     g, p = F.col("gt"), F.col("pred")
-    d = shared(d.select(*keys, "gt", "pred", (F.ln(p) - F.ln(g)).alias("_lr")))
+    d = shared(d.withColumn("_lr", F.ln(p) - F.ln(g)))
     chosen = {n: e for n, e in depth_measures(g, p).items() if measures is None or n in measures}
-    base = d.groupBy(*keys).agg(
-        *[e.alias(n) for n, e in chosen.items()], F.count(F.lit(1)).alias("_n"), F.sum("pred").alias("_sp"), F.sum("gt").alias("_sg"),
-        F.sum(p * p).alias("_spp"), F.sum(p * g).alias("_spg"))
     medians = {"_mlr": "_lr", "_mg": "gt", "_mp": "pred"}
-    long = d.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("of"), F.col(c).alias("v")) for n, c in medians.items()])).alias("_m")).select(*keys, "_m.*")
-    med = grouped_quantiles(long, [*keys, "of"], "v", {"q": 0.5}, "lower")
-    med = med.groupBy(*keys).agg(*[F.max(F.when(F.col("of") == n, F.col("q"))).alias(n) for n in medians])
-    st = base.join(med, list(keys))
+    whole = {} if hot else {n: lower_quantile(c, 0.5) for n, c in medians.items()}
+    st = d.groupBy(*keys).agg(
+        *[e.alias(n) for n, e in (chosen | whole).items()], F.count(F.lit(1)).alias("_n"), F.sum("pred").alias("_sp"), F.sum("gt").alias("_sg"),
+        F.sum(p * p).alias("_spp"), F.sum(p * g).alias("_spg"))
+    if hot:
+        long = d.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("of"), F.col(c).alias("v")) for n, c in medians.items()])).alias("_m")).select(*keys, "_m.*")
+        med = grouped_quantiles(long, [*keys, "of"], "v", {"q": 0.5}, "lower")
+        st = st.join(med.groupBy(*keys).agg(*[F.max(F.when(F.col("of") == n, F.col("q"))).alias(n) for n in medians]), keys)
     a, b, m = F.col("_spp") + 1e-9, F.col("_sp"), F.col("_n") + 1e-9
     det = a * m - b * b
     st = st.withColumns({"_scale": (m * F.col("_spg") - b * F.col("_sg")) / det, "_shift": (a * F.col("_sg") - b * F.col("_spg")) / det,
                          "_ratio": F.col("_mg") / F.col("_mp"), "medianlog": 100 * F.abs("_mlr")})
-    px = salted_join(d, st.select(*keys, "_scale", "_shift", "_ratio"), keys, ["gt", "pred"])
+    fit = st.select(*keys, "_scale", "_shift", "_ratio")
+    px = salted_join(d, fit, keys, ["gt", "pred"]) if hot else d.join(fit, keys)
     outs = []
     for tag, q in (("ssi", p * F.col("_scale") + F.col("_shift")), ("si", p * F.col("_ratio"))):
         ms = depth_measures(g, q)
         outs += [ms[n].alias(f"{n}_{tag}") for n in ALIGNED]
     al = px.groupBy(*keys).agg(*outs)
-    return st.drop("_n", "_sp", "_sg", "_spp", "_spg", "_mlr", "_mg", "_mp", "_scale", "_shift", "_ratio").join(al, list(keys))
+    return st.drop("_n", "_sp", "_sg", "_spp", "_spg", "_mlr", "_mg", "_mp", "_scale", "_shift", "_ratio").join(al, keys)
 
 
 def metric_store(per_image: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
