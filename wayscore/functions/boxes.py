@@ -67,8 +67,13 @@ def rotated_covariance(w: Column, h: Column, r: Column) -> tuple[Column, Column,
 
 def rotated_iou(p: tuple, q: tuple, eps: float = 1e-7) -> Column:
     """Probabilistic IoU of rotated boxes (cx, cy, w, h, angle)."""
-    a1, b1, c1 = rotated_covariance(p[2], p[3], p[4])
-    a2, b2, c2 = rotated_covariance(q[2], q[3], q[4])
+    return gaussian_iou((p[0], p[1], *rotated_covariance(*p[2:])), (q[0], q[1], *rotated_covariance(*q[2:])), eps)
+
+
+def gaussian_iou(p: tuple, q: tuple, eps: float = 1e-7) -> Column:
+    """The same from centres and covariances (cx, cy, a, b, c), which joins need once per box and not per pair."""
+    a1, b1, c1 = p[2:]
+    a2, b2, c2 = q[2:]
     a, b, c = a1 + a2, b1 + b2, c1 + c2
     det = a * b - c * c
     dx, dy = q[0] - p[0], p[1] - q[1]

@@ -63,6 +63,7 @@ def mask_pairs(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (), chu
 # ---- rotated boxes -------------------------------------------------------------------------------------------
 
 ROTATED = ["cx", "cy", "w", "h", "angle"]
+GAUSSIAN = ["cx", "cy", "var_x", "var_y", "cov"]
 
 
 def rotated_pairs(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (), cell: float = 64.0) -> DataFrame:
@@ -79,11 +80,12 @@ def rotated_pairs(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (),
         d = _lowest(df, k, ROTATED, name)
         reach = REACH * F.greatest("w", "h")
         square = {"x1": F.col("cx") - reach, "y1": F.col("cy") - reach, "x2": F.col("cx") + reach, "y2": F.col("cy") + reach}
-        return d.select(*k, name, *[F.col(c).alias(f"{prefix}{c}") for c in ROTATED], *[c.alias(f"{prefix}{n}") for n, c in square.items()])
+        own = dict(zip(GAUSSIAN, (F.col("cx"), F.col("cy"), *bx.rotated_covariance(F.col("w"), F.col("h"), F.col("angle")))))
+        return d.select(*k, name, *[c.alias(f"{prefix}{n}") for n, c in (own | square).items()])
 
     near = overlap_pairs(around(dets, "a_", "det_id"), around(labels, "b_", "label_id"), k, cell)
-    shape = lambda p: tuple(F.col(f"{p}{c}") for c in ROTATED)
-    found = near.withColumn("iou", bx.rotated_iou(shape("a_"), shape("b_")))
+    shape = lambda p: tuple(F.col(f"{p}{c}") for c in GAUSSIAN)
+    found = near.withColumn("iou", bx.gaussian_iou(shape("a_"), shape("b_")))
     return found.select(*keys, "image_id", "det_id", "label_id", "iou").where(F.col("iou") >= LEAST)
 
 

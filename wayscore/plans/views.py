@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayscore.operators.ordered import by_key, number_rows
+from wayscore.operators.ordered import by_key, number_rows, shared
 
 CLIP = 41
 TRACK_CLIP = 40
@@ -171,11 +171,11 @@ def boxes(spark, sf_dir) -> DataFrame:
 
 
 def dets(spark, sf_dir) -> DataFrame:
-    return boxes(spark, sf_dir).where("role = 'pred'").drop("role")
+    return shared(boxes(spark, sf_dir)).where("role = 'pred'").drop("role")
 
 
 def lbls(spark, sf_dir) -> DataFrame:
-    return boxes(spark, sf_dir).where("role = 'label'").drop("role", "conf").withColumnRenamed("det_id", "label_id")
+    return shared(boxes(spark, sf_dir)).where("role = 'label'").drop("role", "conf").withColumnRenamed("det_id", "label_id")
 
 
 _sql("scores", """
