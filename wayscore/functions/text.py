@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # White space as Python's str methods and \s see it (fixed value).
 SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
 # Words that stand for a score (fixed values).
 YES_WORDS = ("yes", "true", "followed", "clearly followed", "1", "1.0")
 HALF_WORDS = ("partial", "partially", "ambiguous", "unclear", "0.5")
@@ -50,7 +51,8 @@ def half_even(c: Column, digits: int) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; looks at the ends only, where a pattern would be tried at every position."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def has_any(c: Column, words) -> Column:

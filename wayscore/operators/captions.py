@@ -18,10 +18,10 @@ def fallback_claims(captions: DataFrame, key: str, caption: str, keep: Sequence[
     bytes of a caption say, and what follows groups by that key.
     """
     d = spread_by_key(captions, key).select(key, *keep, F.posexplode(tx.sentences(F.col(caption))).alias("_pos", "claim")).where(F.length("claim") > 0)
-    low = F.lower("claim")
+    d = d.withColumn("_low", F.lower("claim"))  # a column of its own, so that it is made once and not for every key word
     cat = None
     for name, words in tx.CATEGORY_WORDS:
-        cond = tx.has_any(low, words)
+        cond = tx.has_any(F.col("_low"), words)
         cat = F.when(cond, name) if cat is None else cat.when(cond, name)
     d = d.withColumn("category", cat.otherwise("global_subjective"))
     verifier = F.when(F.col("category").isin("traffic_agents", "actions"), tx.BOTH_VERIFIERS).otherwise(tx.LANGUAGE_VERIFIER)
@@ -34,14 +34,16 @@ def fallback_claims(captions: DataFrame, key: str, caption: str, keep: Sequence[
 def clean_claims(claims: DataFrame) -> DataFrame:
     """Known categories and verifiers only, importance 1..5, no empty claims, appearance terms never to the detector."""
     d = claims.withColumn("claim", tx.strip(F.coalesce("claim", F.lit("")))).where(F.length("claim") > 0)
-    cat, ver = tx.strip(F.coalesce("category", F.lit("environment"))), tx.strip(F.coalesce("preferred_verifier", F.lit(tx.LANGUAGE_VERIFIER)))
-    known = ver.isin(tx.LANGUAGE_VERIFIER, tx.DETECTOR_VERIFIER, tx.BOTH_VERIFIERS) & ~tx.has_any(F.lower("claim"), tx.NOT_FOR_DETECTOR)
+    d = d.withColumns({"_low": F.lower("claim"), "_cat": tx.strip(F.coalesce("category", F.lit("environment"))),
+                       "_ver": tx.strip(F.coalesce("preferred_verifier", F.lit(tx.LANGUAGE_VERIFIER)))})
+    cat, ver = F.col("_cat"), F.col("_ver")
+    known = ver.isin(tx.LANGUAGE_VERIFIER, tx.DETECTOR_VERIFIER, tx.BOTH_VERIFIERS) & ~tx.has_any(F.col("_low"), tx.NOT_FOR_DETECTOR)
     imp = F.coalesce(F.col("importance").cast("string").try_cast("int"), F.lit(3))
     return d.withColumns({
         "category": F.when(cat.isin(*tx.CATEGORIES), cat).otherwise("environment"),
         "preferred_verifier": F.when(known, ver).otherwise(tx.LANGUAGE_VERIFIER),
         "importance": F.greatest(F.lit(1), F.least(F.lit(5), imp)),
-    })
+    }).drop("_low", "_cat", "_ver")
 
 
 def detector_score(text: Column, counts: dict[str, Column], stability: Column, red_to_green: Column) -> Column:

@@ -67,7 +67,7 @@ def cleaned(spark, d):
         "category": F.when(p % 11 == 0, "scenery").otherwise(F.col("category")),
         "preferred_verifier": F.when(p % 5 == 0, "yolo").when(p % 5 == 1, "both").when(p % 5 == 2, "human").otherwise("qwen_vl"),
         "importance": F.when(p % 6 == 0, "7").when(p % 6 == 1, "abc").when(p % 6 == 2, "-3").when(p % 6 == 3, "4.5").otherwise((p % 5).cast("string"))})
-    return shared(cp.clean_claims(raw))
+    return cp.clean_claims(raw)
 
 
 @query("cleaned_claims", "B20", "doc_id:l pos:l category:s preferred_verifier:s importance:l", "cleaned", "SELECT * FROM cleaned")
@@ -99,7 +99,7 @@ SELECT c.*, CASE WHEN pos % 7 = 0 THEN 0 WHEN pos % 5 = 0 THEN 2 ELSE 1 END AS v
 
 
 def verdicts(spark, d):
-    c = cleaned(spark, d)
+    c = shared(cleaned(spark, d))
     p = F.col("pos")
     n = F.when(p % 5 == 0, 2).otherwise(1)
     raw = c.where(p % 7 != 0).select("doc_id", F.concat(F.lit(" "), "claim_id").alias("claim_id"), "pos", F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"))
@@ -126,9 +126,9 @@ SELECT *, CASE WHEN detector_score IS NULL THEN language_score WHEN preferred_ve
 def fused(spark, d):
     n = F.col("n_chars")
     c = verdicts(spark, d)
-    text = F.lower(F.concat_ws(" ", "claim", "question"))
-    det = cp.detector_score(text, {"vehicles": n % 4, "moving": n % 3, "persons": n % 5, "lights": n % 6}, F.when(n % 2 == 0, F.lit(0.5)), n % 10 == 3)
-    c = c.withColumn("detector_score", det)
+    c = c.withColumn("_text", F.lower(F.concat_ws(" ", "claim", "question")))
+    det = cp.detector_score(F.col("_text"), {"vehicles": n % 4, "moving": n % 3, "persons": n % 5, "lights": n % 6}, F.when(n % 2 == 0, F.lit(0.5)), n % 10 == 3)
+    c = c.withColumn("detector_score", det).drop("_text")
     return c.withColumn("final_score", cp.fuse_scores(F.col("language_score"), F.col("detector_score"), F.col("preferred_verifier")))
 
 
