@@ -158,7 +158,8 @@ def key_frames(df: DataFrame, keys: Sequence[str], motion: str, v_low: float = 1
 
     ``motion`` belongs to the step that ends at a frame and is null at the first
     one. Frames that come out twice are kept twice. ``extra`` columns are folded to
-    arrays in frame order.
+    arrays in frame order. Sums that differ by less than the rounding of doubles count as
+    equal: a target halfway between two frames takes the later one.
     """
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", F.coalesce(motion, F.lit(0.0)).alias("_m"), *extra))).alias("_r"))
     start = F.array(F.lit(0.0))
@@ -171,10 +172,10 @@ def key_frames(df: DataFrame, keys: Sequence[str], motion: str, v_low: float = 1
     d = d.withColumn("_k", F.least(k, F.col("_n")).cast("int"))
 
     def nearest(j):
-        t = j * (F.col("_total") / (F.col("_k") - 1))
-        p = F.greatest(F.size(F.filter("_s", lambda s: s < t)), F.lit(1))
+        t, noise = j * (F.col("_total") / (F.col("_k") - 1)), F.col("_total") * 1e-12
+        p = F.greatest(F.size(F.filter("_s", lambda s: s < t - noise)), F.lit(1))
         at = lambda i: F.get("_s", i)
-        return F.when((p < F.col("_n")) & (F.abs(at(p) - t) > F.abs(at(p - 1) - t)), p - 1).otherwise(p)
+        return F.when((p < F.col("_n")) & (F.abs(at(p) - t) > F.abs(at(p - 1) - t) + noise), p - 1).otherwise(p)
 
     inner = F.when(F.col("_k") > 2, F.transform(F.sequence(F.lit(1), F.greatest(F.col("_k") - 2, F.lit(1))), nearest)).otherwise(
         F.array().cast("array<int>"))
