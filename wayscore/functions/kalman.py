@@ -58,6 +58,68 @@ def gate_distance(mean: np.ndarray, cov: np.ndarray, z: np.ndarray, aspect: bool
     return np.einsum("ni,ni->n", d, np.linalg.solve(s, d[:, :, None])[:, :, 0])
 
 
+# One track at a time. Its covariance falls into four 2 x 2 blocks, one for each entry and its velocity, so plain numbers do:
+# ``var`` holds position variances, covariances and velocity variances, four each. For states with the aspect ratio.
+
+def start_one(z: tuple) -> tuple[list, list]:
+    pos, vel = 2 * (POSITION_WEIGHT * z[3]), 10 * (VELOCITY_WEIGHT * z[3])
+    p, s = pos * pos, vel * vel
+    return [*z, 0.0, 0.0, 0.0, 0.0], [p, p, 1e-4, p, 0.0, 0.0, 0.0, 0.0, s, s, 1e-10, s]
+
+
+def predict_one(mean: list, var: list) -> tuple[list, list]:
+    pos, vel = POSITION_WEIGHT * mean[3], VELOCITY_WEIGHT * mean[3]
+    p, s = pos * pos, vel * vel
+    moved, near = [], [var[4 + i] + var[8 + i] for i in range(4)]
+    for i, noise in enumerate((p, p, 1e-4, p)):
+        moved.append(var[i] + var[4 + i] + near[i] + noise)
+    return [mean[i] + mean[4 + i] for i in range(4)] + mean[4:], [*moved, *near, var[8] + s, var[9] + s, var[10] + 1e-10, var[11] + s]
+
+
+def update_one(mean: list, var: list, z: tuple) -> tuple[list, list]:
+    pos = POSITION_WEIGHT * mean[3]
+    p = pos * pos
+    mean, var = list(mean), list(var)
+    for i, noise in enumerate((p, p, 1e-2, p)):
+        e = var[i] + noise
+        gain, pull, off = var[i] / e, var[4 + i] / e, z[i] - mean[i]
+        mean[i] += gain * off
+        mean[4 + i] += pull * off
+        var[8 + i] -= pull * e * pull
+        var[4 + i] -= gain * e * pull
+        var[i] -= gain * e * gain
+    return mean, var
+
+
+def whole_cov(var: list) -> np.ndarray:
+    """The 8 x 8 covariance of one track."""
+    p, c, s = (np.diag(var[i : i + 4]) for i in (0, 4, 8))
+    return np.block([[p, c], [c, s]])
+
+
+def cov_parts(cov: np.ndarray) -> list:
+    return [*np.diag(cov)[:4].tolist(), *np.diag(cov, 4).tolist(), *np.diag(cov)[4:].tolist()]
+
+
+#: Up to this many pairs of boxes, plain numbers are faster than arrays.
+FEW_PAIRS = 64
+
+
+def iou_rows(a: list, b: list, eps: float = 1e-7) -> list[list]:
+    """``box_iou`` of two lists of corner boxes, as lists."""
+    if len(a) * len(b) > FEW_PAIRS:
+        return box_iou(np.array(a, float), np.array(b, float), eps).tolist()
+    out = []
+    for p in a:
+        size, row = (p[2] - p[0]) * (p[3] - p[1]), []
+        for q in b:
+            w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+            inter = w * h if w > 0 and h > 0 else 0.0
+            row.append(inter / (size + (q[2] - q[0]) * (q[3] - q[1]) - inter + eps))
+        out.append(row)
+    return out
+
+
 def box_iou(a: np.ndarray, b: np.ndarray, eps: float = 1e-7) -> np.ndarray:
     """IoU matrix of corner boxes (n, 4) and (m, 4)."""
     wh = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0, None)

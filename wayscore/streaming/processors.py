@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from wayscore.functions.kalman import cov_parts, whole_cov
+
 STATE_PROVIDER = ("spark.sql.streaming.stateStore.providerClass",
                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -121,7 +123,7 @@ class TrackerFold(KeyedFold):
         for (i,), t in self.tracks.iterator() if self.tracks.exists() else ():
             self.known[i] = tuple(t)
         state["tracks"] = [
-            {"id": i, "mean": np.array(t[0]), "cov": np.array(t[1]).reshape(8, 8), "start": t[2], "end": t[3], "confirmed": t[4], "lost": t[5], "score": t[6], "det": t[7]}
+            {"id": i, "mean": list(t[0]), "var": cov_parts(np.array(t[1]).reshape(8, 8)), "start": t[2], "end": t[3], "confirmed": t[4], "lost": t[5], "score": t[6], "det": t[7]}
             for i, t in sorted(self.known.items())
         ]
         return last, late, state
@@ -133,7 +135,7 @@ class TrackerFold(KeyedFold):
             if i not in live:
                 self.tracks.removeKey((i,))
         for t in state["tracks"]:
-            row = (np.asarray(t["mean"], float).tolist(), np.asarray(t["cov"], float).ravel().tolist(), t["start"], t["end"], t["confirmed"], t["lost"], t["score"], t["det"])
+            row = (list(t["mean"]), whole_cov(t["var"]).ravel().tolist(), t["start"], t["end"], t["confirmed"], t["lost"], t["score"], t["det"])
             if self.known.get(t["id"]) != row:
                 self.tracks.updateValue((t["id"],), row)
 
