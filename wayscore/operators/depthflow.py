@@ -10,6 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,16 +167,87 @@ def mean_by_name(df: DataFrame, name: str, value: str) -> DataFrame:
 
 # ---- nearest points ---------------------------------------------------------------------------
 
+#: Points of a cloud, both sides together, that are compared all with all in one task; larger clouds go through grid cells.
+SMALL_CLOUD = 8192
+#: Distances that such a task holds at a time: few enough for the processor's cache.
+BLOCK = 1 << 16
+
+
 def nearest_points(queries: DataFrame, refs: DataFrame, keys: Sequence[str], axes: Sequence[str], k: int = 1, id_: str = "id",
-                   growth: int = 4, levels: int = 2) -> DataFrame:
-    """The ``k`` nearest reference points of every distinct query point, exactly.
+                   growth: int = 4, levels: int = 2, small: int = SMALL_CLOUD) -> DataFrame:
+    """The ``k`` nearest reference points of every distinct query point, exactly; the lowest ids on ties.
+
+    Clouds of up to ``small`` points are hashed by cloud and compared block by block, so their work grows with the
+    rows and needs one shuffle. Only larger ones go through grid cells. Copies of a query are counted in ``copies``.
+    """
+    keys, axes = list(keys), list(axes)
+    q, r = (d.select(*keys, *axes, *more).dropna(subset=[*keys, *axes]) for d, more in ((queries, []), (refs, [id_])))
+    sizes = q.select(*keys).unionAll(r.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    many = shared(sizes.where(F.col("_cnt") > small).drop("_cnt"))
+    if many.isEmpty():
+        return _nearest_in_blocks(q, r, keys, axes, k, id_)
+    # at most one such cloud for each ``small`` points
+    part = lambda d, how: d.join(F.broadcast(many), keys, how)
+    return _nearest_in_blocks(part(q, "left_anti"), part(r, "left_anti"), keys, axes, k, id_).unionByName(
+        _nearest_in_cells(part(q, "left_semi"), part(r, "left_semi"), keys, axes, k, id_, growth, levels))
+
+
+def _nearest_in_blocks(queries: DataFrame, refs: DataFrame, keys: list[str], axes: list[str], k: int, id_: str) -> DataFrame:
+    """Nearest points of clouds that one task can hold."""
+    sides = queries.withColumns({id_: F.lit(None).cast(refs.schema[id_].dataType), "_query": F.lit(True)}).unionByName(refs.withColumn("_query", F.lit(False)))
+    kinds = dict(sides.dtypes)
+    kinds["ref"] = kinds[id_]
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, *axes]], "copies long", "rank int", "d2 double", f"ref {kinds['ref']}"])
+    names = [*keys, *axes, "copies", "rank", "d2", "ref"]
+
+    def points(t: pa.Table) -> np.ndarray:
+        return np.stack([t[a].to_numpy().astype(float) for a in axes])
+
+    def run(cloud: pa.Table) -> pa.Table:
+        q, r = cloud.filter(cloud["_query"]), cloud.filter(pc.invert(cloud["_query"]))
+        r = r.take(pc.sort_indices(r[id_], null_placement="at_start"))
+        at, to = points(q) + 0.0, points(r)
+        order = np.lexsort(at)
+        apart = np.diff(at[:, order]) != 0
+        first = np.flatnonzero(np.concatenate([[True], apart.any(0)]))[: at.shape[1]]
+        copies = np.diff(np.append(first, at.shape[1]))
+        rows = order[first]
+        n, m = len(rows), to.shape[1]
+        take = min(k, m)
+        ids, found = np.empty((n, take), int), np.empty((n, take))
+        step = max(1, BLOCK // max(1, m))
+        for lo in range(0, n if take else 0, step):
+            part = at[:, rows[lo : lo + step]]
+            d = None
+            for a, b in zip(part, to, strict=True):
+                away = np.subtract.outer(a, b)
+                away *= away
+                d = away if d is None else np.add(d, away, out=d)
+            if take <= 4 and d.max() < np.inf:
+                line = np.arange(len(d))
+                for i in range(take):
+                    j = d.argmin(1)
+                    ids[lo : lo + step, i], found[lo : lo + step, i] = j, d[line, j]
+                    d[line, j] = np.inf
+            else:
+                j = d.argsort(1, kind="stable")[:, :take]
+                ids[lo : lo + step], found[lo : lo + step] = j, np.take_along_axis(d, j, 1)
+        own = q.select([*keys, *axes]).take(pa.array(np.repeat(rows, take)))
+        cols = [*own.columns, pa.array(np.repeat(copies, take), pa.int64()), pa.array(np.tile(np.arange(1, take + 1), n), pa.int32()),
+                pa.array(found.ravel()), r[id_].take(pa.array(ids.ravel()))]
+        return pa.table(cols, names=names)
+
+    return sides.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _nearest_in_cells(queries: DataFrame, refs: DataFrame, keys: list[str], axes: list[str], k: int, id_: str, growth: int, levels: int) -> DataFrame:
+    """Nearest points of clouds of any size.
 
     Points meet in grid cells whose size follows each cloud's own density. A query
     that finds ``k`` points within one cell width is settled; the rest go on to wider
     cells, and the last level is the whole cloud. Copies of a point are reduced to
-    the ``k`` lowest ids beforehand, and copies of a query are counted in ``copies``.
+    the ``k`` lowest ids beforehand.
     """
-    keys, axes = list(keys), list(axes)
     q = queries.groupBy(*keys, *axes).agg(F.count(F.lit(1)).alias("copies"))
     r = top_rows(refs.select(*keys, *axes, id_), [*keys, *axes], [id_], k, [id_]).drop("position")
     both = q.select(*keys, *axes).unionByName(r.select(*keys, *axes))
