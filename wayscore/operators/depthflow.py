@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wayscore.functions.numeric import dist
 from wayscore.operators.boxjoin import top_rows
-from wayscore.operators.ordered import HOT, by_key, grouped_quantiles, lower_quantile, salted_join, shared, split_hot
+from wayscore.operators.ordered import HOT, by_key, grouped_quantiles, lower_quantile, salted_join, shared, sorted_quantile, split_hot
 
 AUC_STEPS = 100
 
@@ -135,9 +135,38 @@ def clip_sigma(df: DataFrame, keys: Sequence[str], value: str, sigma: float = 2.
     return got.drop("_lo", "_hi")
 
 
-def agent_depth(df: DataFrame, keys: Sequence[str], method: str = "mean", use_percentile: bool = True) -> DataFrame:
-    """Depth of an object from its mask pixels (columns y, depth): whole mask or top half, mean or median."""
-    d = df
+def agent_depth(df: DataFrame, keys: Sequence[str], method: str = "mean", use_percentile: bool = True, limit: int = HOT) -> DataFrame:
+    """Depth of an object from its mask pixels (columns y, depth): whole mask or top half, mean or median.
+
+    Objects of up to ``limit`` pixels are hashed once and measured in one row each; only larger ones go through value buckets.
+    """
+    keys = list(keys)
+    if "mean" in method and "top" not in method and not use_percentile:
+        return df.groupBy(*keys).agg(F.avg("depth").alias("agent_depth"))
+    d = shared(df.select(*keys, "y", "depth").dropna(subset=keys))
+    large = shared(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") > limit).drop("_cnt"))
+    if large.isEmpty():
+        return _agent_depth_in_rows(by_key(d, *keys), keys, method, use_percentile)
+    few, many = (d.join(F.broadcast(large), keys, how) for how in ("left_anti", "left_semi"))
+    return _agent_depth_in_rows(by_key(few, *keys), keys, method, use_percentile).unionByName(
+        _agent_depth_by_buckets(many, keys, method, use_percentile))
+
+
+def _agent_depth_in_rows(d: DataFrame, keys: list[str], method: str, use_percentile: bool) -> DataFrame:
+    pixel = F.collect_list(F.struct("y", F.col("depth").cast("double").alias("depth")))
+    g = d.groupBy(*keys).agg(pixel.alias("_p"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    if "top" in method:
+        middle = F.col("_y0") + (F.col("_y1") - F.col("_y0") + 1) * 0.5
+        g = g.withColumn("_p", F.filter("_p", lambda e: e["y"] < middle))
+    g = g.select(*keys, F.sort_array(F.filter(F.transform("_p", lambda e: e["depth"]), lambda v: v.isNotNull())).alias("_v")).where(F.size("_v") > 0)
+    if use_percentile:
+        g = g.withColumns({"_lo": sorted_quantile("_v", 0.02), "_hi": sorted_quantile("_v", 0.98)})
+        g = g.withColumn("_v", F.filter("_v", lambda v: (v >= F.col("_lo")) & (v <= F.col("_hi")))).where(F.size("_v") > 0)
+    value = F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / F.size("_v") if "mean" in method else sorted_quantile("_v", 0.5)
+    return g.select(*keys, value.alias("agent_depth"))
+
+
+def _agent_depth_by_buckets(d: DataFrame, keys: list[str], method: str, use_percentile: bool) -> DataFrame:
     if "top" in method:
         span = d.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"))
         d = salted_join(d, span, keys, ["y", "depth"])
