@@ -213,7 +213,8 @@ SELECT *, 0.1*map50+0.9*map AS fitness FROM (SELECT avg(CASE WHEN lvl=0 THEN ap
  (SELECT avg(p) AS mean_precision, avg(r) AS mean_recall FROM curve_ JOIN bestpt_ USING (point))""")
 def _(spark, d):
     m, labels = _matched(spark, d)
-    return dt.summary(dt.average_precision(m, labels), dt.best_f1(dt.confidence_curves(m, labels)))
+    counts = dt.shared(dt.curve_counts(m))
+    return dt.summary(dt.average_precision(m, labels, counts=counts), dt.best_f1(dt.confidence_curves(m, labels, counts=counts)))
 
 
 v._sql("mutual_", f"""
