@@ -26,9 +26,12 @@ def _cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: float = 64.0) -> DataFrame:
-    """Pairs with positive overlap. ``left`` has a_x1.., ``right`` has b_x1.. columns."""
+    """Pairs with positive overlap. ``left`` has a_x1.., ``right`` has b_x1.. columns.
+
+    Both sides are made here, from files that may be far smaller, so neither is sent whole to every task.
+    """
     a, b = bx.box("a_"), bx.box("b_")
-    d = _cells(left, "a_", cell).join(_cells(right, "b_", cell), [*keys, "_cx", "_cy"])
+    d = _cells(left, "a_", cell).join(_cells(right, "b_", cell).hint("merge"), [*keys, "_cx", "_cy"])
     mine = (F.floor(F.greatest(a[0], b[0]) / cell) == F.col("_cx")) & (F.floor(F.greatest(a[1], b[1]) / cell) == F.col("_cy"))
     return d.where(mine & (bx.intersection(a, b) > 0)).drop("_cx", "_cy")
 
