@@ -2,14 +2,63 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from wayscore.operators import detection as dt
 from wayscore.operators.boxjoin import overlap_pairs
 
+BOX = "x1 double, y1 double, x2 double, y2 double"
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _boxes(rng, images, per_image, side=60):
+    """(image_id, id, x1, y1, x2, y2) on a coarse grid, so that copies and equal overlaps occur."""
+    out = []
+    for image in images:
+        for i in range(rng.randint(1, per_image)):
+            x, y = 10.0 * rng.randint(0, side // 10), 10.0 * rng.randint(0, side // 10)
+            out.append((image, i, x, y, x + 10.0 * rng.randint(1, 4), y + 10.0 * rng.randint(1, 4)))
+    return out
+
+
+def _iou(a, b, eps):
+    inter = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+    area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+    return inter / (area(a) + area(b) - inter + eps)
+
+
+def test_best_overlaps_by_lists_and_by_cells(spark):
+    rng = random.Random(5)
+    q, c = _boxes(rng, range(0, 9), 12, 200), _boxes(rng, range(2, 11), 12, 200)
+    want = {}
+    for r in q:
+        cands = [(_iou(r[2:], t[2:], 1e-8), -t[1]) for t in c if t[0] == r[0]]
+        if cands:
+            top = max(cands)
+            same = [t[1] for t in q if t[0] == r[0] and t[2:] == r[2:]]
+            want[r[0], min(same)] = (len(same), -top[1], pytest.approx(top[0]))
+    a = spark.createDataFrame(q, f"image_id long, query_id long, {BOX}")
+    b = spark.createDataFrame(c, f"image_id long, cand_id long, {BOX}")
+    for limit in (0, 12, 2048):
+        found = dt.best_overlap(a, b, ["image_id"], limit=limit)
+        assert {(r["image_id"], r["query_id"]): (r["copies"], r["cand_id"], r["best_iou"]) for r in found.collect()} == want
+
+
+def test_best_overlaps_of_ordinary_images_form_no_row_for_each_pair(spark):
+    rng = random.Random(6)
+    a = spark.createDataFrame(_boxes(rng, range(20), 12), f"image_id long, query_id long, {BOX}")
+    b = spark.createDataFrame(_boxes(rng, range(20), 12), f"image_id long, cand_id long, {BOX}")
+    found = dt.best_overlap(a, b, ["image_id"])
+    assert found.collect()
+    done = _plan(found).split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in done and "Generate" not in done and "SortAggregate" not in done
+
+
 def test_no_side_of_an_overlap_join_is_sent_whole_to_every_task(spark):
     box = lambda p: [f"{c} AS {p}{n}" for n, c in zip(("x1", "y1", "x2", "y2"), ("0.0D", "0.0D", "10.0D + id", "10.0D"))]
     left = spark.range(6).selectExpr("id % 2 AS image_id", *box("a_"))

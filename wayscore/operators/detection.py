@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayscore.functions import boxes as bx
-from wayscore.operators.boxjoin import GEOM, distinct_boxes, overlap_pairs, top_rows
+from wayscore.operators.boxjoin import CROWDED, GEOM, distinct_boxes, overlap_pairs, split_crowded, top_rows
 from wayscore.operators.ordered import checkpointed, number_rows, running_totals, salted_join, shared
 
 IOU_LEVELS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -23,9 +23,36 @@ PR_GRID = 101
 CURVE_GRID = 1000
 
 
-def best_overlap(query: DataFrame, candidates: DataFrame, keys: Sequence[str], eps: float = 1e-8, cell: float = 64.0) -> DataFrame:
-    """Best candidate (lowest id on ties) per distinct query box; no overlap gives the first candidate with 0."""
-    q = distinct_boxes(query, keys, "a_", F.min("query_id").alias("query_id"), F.count(F.lit(1)).alias("copies"))
+def best_overlap(query: DataFrame, candidates: DataFrame, keys: Sequence[str], eps: float = 1e-8, cell: float = 64.0, limit: int = CROWDED) -> DataFrame:
+    """Best candidate (lowest id on ties) per distinct query box; no overlap gives the first candidate with 0.
+
+    Keys of up to ``limit`` boxes compare each query with the list of their candidates, without a row for each pair; the
+    others pair in cells.
+    """
+    few_q, few_c, many_q, many_c = split_crowded(query, candidates, keys, limit)
+    few = _best_in_lists(few_q, few_c, keys, eps)
+    return few.unionByName(_best_in_cells(many_q, many_c, keys, eps, cell))
+
+
+def _distinct_queries(query: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return distinct_boxes(query, keys, "a_", F.min("query_id").alias("query_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def _best_in_lists(query: DataFrame, candidates: DataFrame, keys: Sequence[str], eps: float) -> DataFrame:
+    lists = candidates.groupBy(*keys).agg(F.collect_list(F.struct(*GEOM, "cand_id")).alias("_c"))
+    a = bx.box("a_")
+
+    def scored(c):
+        b = tuple(c[g] for g in GEOM)
+        iou = F.when(bx.intersection(a, b) > 0, bx.iou(a, b, eps))
+        return F.struct(F.coalesce(iou, F.lit(0.0)).alias("iou"), (-c["cand_id"]).alias("neg"))
+
+    best = _distinct_queries(query, keys).join(lists.hint("merge"), list(keys)).withColumn("_b", F.array_max(F.transform("_c", scored)))
+    return best.select(*keys, "query_id", "copies", (-F.col("_b.neg")).alias("cand_id"), F.col("_b.iou").alias("best_iou"))
+
+
+def _best_in_cells(query: DataFrame, candidates: DataFrame, keys: Sequence[str], eps: float, cell: float) -> DataFrame:
+    q = _distinct_queries(query, keys)
     c = distinct_boxes(candidates, keys, "b_", F.min("cand_id").alias("cand_id"))
     score = bx.iou(bx.box("a_"), bx.box("b_"), eps)
     geom = [f"a_{g}" for g in GEOM]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayscore.functions import boxes as bx
 from wayscore.operators import detection as dt
 from wayscore.operators import ranking as rk  # noqa: F401
+from wayscore.operators.ordered import shared
 from wayscore.plans import views as v
 from wayscore.plans.registry import query
 
@@ -88,7 +89,7 @@ p AS (SELECT q.image_id, q.query_id, q.copies, d.det_id, {iou_sql('q', 'd', '1e-
 SELECT image_id, query_id, copies, det_id AS cand_id, iou AS best_iou FROM p
 QUALIFY row_number() OVER (PARTITION BY image_id, query_id ORDER BY iou DESC, det_id) = 1""")
 def _(spark, d):
-    b = v.boxes(spark, d)
+    b = shared(v.boxes(spark, d))
     return dt.best_overlap(b.where("role = 'label'").withColumnRenamed("det_id", "query_id"),
                            b.where("role = 'pred'").withColumnRenamed("det_id", "cand_id"), ["image_id"])
 
