@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -59,6 +60,51 @@ def test_best_overlaps_of_ordinary_images_form_no_row_for_each_pair(spark):
     assert "SortMergeJoin" in done and "Generate" not in done and "SortAggregate" not in done
 
 
+def _matrix(dets, labels, none):
+    """Confusion counts by brute force over (image, id, box, cls) rows."""
+    claims = {}
+    for d in dets:
+        over = [(_iou(d[2:6], t[2:6], 1e-7), -t[1], t[6]) for t in labels if t[0] == d[0]]
+        over = [o for o in over if o[0] > 0.45]
+        if over:
+            iou, neg, cls = max(over)
+            claims.setdefault((d[0], -neg, cls), []).append((iou, -d[1], d[6]))
+    won = {(image, label, cls): max(c) for (image, label, cls), c in claims.items()}
+    out = Counter((c[2], k[2]) for k, c in won.items())
+    taken, used = {(k[0], -c[1]) for k, c in won.items()}, {k[:2] for k in won}
+    labelled, matched = {t[0] for t in labels}, {k[0] for k in won}
+    out.update((d[6], none) for d in dets if (d[0], d[1]) not in taken and (d[0] not in labelled or d[0] in matched))
+    out.update((none, t[6]) for t in labels if t[:2] not in used)
+    return out
+
+
+def _classed(rng, images, per_image, side):
+    return [(*r, rng.randint(0, 2)) for r in _boxes(rng, images, per_image, side)]
+
+
+def test_confusion_of_ordinary_and_crowded_images(spark):
+    rng = random.Random(7)
+    dets, labels = _classed(rng, range(0, 30), 10, 80), _classed(rng, range(4, 34), 5, 80)
+    a = spark.createDataFrame([(*r, 0.9) for r in dets] + [(5, 99, 0.0, 0.0, 10.0, 10.0, 1, 0.1)], f"image_id long, det_id long, {BOX}, cls int, conf double")
+    b = spark.createDataFrame(labels, f"image_id long, label_id long, {BOX}, cls long")
+    want = _matrix(dets, labels, 3)
+    assert {d[0] for d in dets if d[0] >= 4} - {k[0] for k in dt.confusion_pairs(a, b).select("image_id").collect()}  # labels, but no match
+    for limit in (0, 8, 2048):
+        found = dt.confusion_matrix(a, b, 3, limit=limit)
+        assert {(r["predicted"], r["actual"]): r["n"] for r in found.collect()} == want
+    assert {r["cls"]: (r["tp"], r["fp"]) for r in dt.true_false_positives(dt.confusion_matrix(a, b, 3), 3).collect()} == {
+        c: (want[c, c], sum(n for (p, t), n in want.items() if p == c != t)) for c in range(3)}
+
+
+def test_ordinary_images_are_matched_without_cells(spark):
+    rng = random.Random(8)
+    a = spark.createDataFrame([(*r, 0.9) for r in _classed(rng, range(20), 10, 80)], f"image_id long, det_id long, {BOX}, cls int, conf double")
+    b = spark.createDataFrame(_classed(rng, range(20), 5, 80), f"image_id long, label_id long, {BOX}, cls int")
+    found = dt.confusion_pairs(a, b)
+    assert found.collect()
+    assert "Generate" not in _plan(found).split("== Initial Plan ==")[0]
+
+
 def test_no_side_of_an_overlap_join_is_sent_whole_to_every_task(spark):
     box = lambda p: [f"{c} AS {p}{n}" for n, c in zip(("x1", "y1", "x2", "y2"), ("0.0D", "0.0D", "10.0D + id", "10.0D"))]
     left = spark.range(6).selectExpr("id % 2 AS image_id", *box("a_"))

@@ -9,6 +9,7 @@ of copies costs one row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -256,12 +257,21 @@ def summary(ap: DataFrame, best: DataFrame, keys: Sequence[str] = ()) -> DataFra
     return out.withColumn("fitness", 0.1 * F.col("map50") + 0.9 * F.col("map"))
 
 
-def confusion_pairs(dets: DataFrame, labels: DataFrame, conf: float = 0.25, iou_min: float = 0.45, cell: float = 64.0) -> DataFrame:
-    """Mutual greedy matches regardless of class: detection to its best label, then label to its best detection."""
+def confusion_pairs(dets: DataFrame, labels: DataFrame, conf: float = 0.25, iou_min: float = 0.45, cell: float = 64.0, limit: int = CROWDED) -> DataFrame:
+    """Mutual greedy matches regardless of class: detection to its best label, then label to its best detection.
+
+    Images of up to ``limit`` boxes pair whole, where their rows already lie together; copies need no collapse there, as
+    the lowest id wins among equal overlaps. The others collapse copies and pair in cells.
+    """
     k = ["image_id"]
-    d = distinct_boxes(dets.where(F.col("conf") > conf), k, "a_", F.min_by("cls", "det_id").alias("dcls"), F.min("det_id").alias("det_id"))
-    lab = distinct_boxes(labels, k, "b_", F.min_by("cls", "label_id").alias("lcls"), F.min("label_id").alias("label_id"))
-    p = overlap_pairs(d, lab, k, cell).withColumn("iou", bx.iou(bx.box("a_"), bx.box("b_"))).where(F.col("iou") > iou_min)
+    few_d, few_l, many_d, many_l = split_crowded(dets.where(F.col("conf") > conf), labels, k, limit)
+    a, b = bx.box("a_"), bx.box("b_")
+    side = lambda df, name, c, prefix: df.select(*k, name, F.col("cls").alias(c), *[F.col(g).alias(f"{prefix}{g}") for g in GEOM])
+    few = side(few_d, "det_id", "dcls", "a_").join(side(few_l, "label_id", "lcls", "b_").hint("merge"), k).where(bx.intersection(a, b) > 0)
+    d = distinct_boxes(many_d, k, "a_", F.min_by("cls", "det_id").alias("dcls"), F.min("det_id").alias("det_id"))
+    lab = distinct_boxes(many_l, k, "b_", F.min_by("cls", "label_id").alias("lcls"), F.min("label_id").alias("label_id"))
+    scored = lambda p: p.withColumn("iou", bx.iou(a, b)).where(F.col("iou") > iou_min).select("image_id", "det_id", "dcls", "label_id", "lcls", "iou")
+    p = scored(few).unionByName(scored(overlap_pairs(d, lab, k, cell)))
     neg = lambda c: (-F.col(c)).alias(f"neg_{c}")
     claim = p.groupBy("image_id", "det_id", "dcls").agg(F.max(F.struct("iou", neg("label_id"), "lcls")).alias("b"))
     claim = claim.select("image_id", "det_id", "dcls", F.col("b.iou").alias("iou"), (-F.col("b.neg_label_id")).alias("label_id"), F.col("b.lcls").alias("lcls"))
@@ -269,29 +279,26 @@ def confusion_pairs(dets: DataFrame, labels: DataFrame, conf: float = 0.25, iou_
     return won.select("image_id", "label_id", "lcls", (-F.col("b.neg_det_id")).alias("det_id"), F.col("b.dcls").alias("dcls"), F.col("b.iou").alias("iou"))
 
 
-def confusion_matrix(dets: DataFrame, labels: DataFrame, background: int, conf: float = 0.25, iou_min: float = 0.45) -> DataFrame:
+def confusion_matrix(dets: DataFrame, labels: DataFrame, background: int, conf: float = 0.25, iou_min: float = 0.45, limit: int = CROWDED) -> DataFrame:
     """Counts by predicted and true class; ``background`` is the extra row and column.
 
     A detection without a match counts as background only in images that have no
     labels or at least one match, which is how the scoring loop behaves.
     """
-    m = confusion_pairs(dets, labels, conf, iou_min)
-    hit = m.groupBy(F.col("dcls").alias("predicted"), F.col("lcls").alias("actual")).agg(F.count(F.lit(1)).alias("n"))
-    d_img = dets.where(F.col("conf") > conf).groupBy("image_id", F.col("cls").alias("predicted")).agg(F.count(F.lit(1)).alias("total"))
-    m_img = m.groupBy("image_id", F.col("dcls").alias("predicted")).agg(F.count(F.lit(1)).alias("used"))
-    counts_as_fp = (
-        d_img.join(labels.select("image_id").distinct().withColumn("has_labels", F.lit(True)), "image_id", "left")
-        .join(m.select("image_id").distinct().withColumn("has_match", F.lit(True)), "image_id", "left")
-        .where("has_labels IS NULL OR has_match")
-    )
-    fp = counts_as_fp.join(m_img, ["image_id", "predicted"], "left").groupBy("predicted").agg(
-        F.sum(F.col("total") - F.coalesce("used", F.lit(0))).alias("n")).withColumn("actual", F.lit(background))
-    lab = labels.groupBy(F.col("cls").alias("actual")).agg(F.count(F.lit(1)).alias("total"))
-    used = m.groupBy(F.col("lcls").alias("actual")).agg(F.count(F.lit(1)).alias("used"))
-    fn = lab.join(used, "actual", "left").select((F.col("total") - F.coalesce("used", F.lit(0))).alias("n"), "actual").withColumn(
-        "predicted", F.lit(background))
-    cols = ["predicted", "actual", "n"]
-    return hit.select(cols).unionByName(fp.select(cols)).unionByName(fn.select(cols)).where("n > 0")
+    m = shared(confusion_pairs(dets, labels, conf, iou_min, limit=limit))
+    sure = dets.where(F.col("conf") > conf)
+    unscored = sure.join(labels.select("image_id").join(m, "image_id", "left_anti"), "image_id", "left_semi")
+    none, n = F.lit(background), F.col("n")
+    count = lambda df, p, a: df.groupBy(F.col(p).alias("predicted"), F.col(a).alias("actual")).agg(F.count(F.lit(1)).alias("n"))
+    by_class = lambda df: df.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    entry = lambda df, p, a, c: df.select(p.alias("predicted"), a.alias("actual"), c.alias("n"))
+    hit, cls = count(m, "dcls", "lcls"), F.col("cls")
+    parts = [
+        entry(hit, F.col("predicted"), F.col("actual"), n),
+        entry(by_class(sure), cls, none, n), entry(by_class(unscored), cls, none, -n), entry(hit, F.col("predicted"), none, -n),
+        entry(by_class(labels), none, cls, n), entry(hit, none, F.col("actual"), -n),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("predicted", "actual").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def classification_confusion(scores: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
