@@ -105,6 +105,12 @@ def test_ordinary_images_are_matched_without_cells(spark):
     assert "Generate" not in _plan(found).split("== Initial Plan ==")[0]
 
 
+def test_positives_read_the_matrix_once(spark):
+    matrix = spark.createDataFrame([(0, 0, 5), (0, 1, 2), (1, 3, 4), (3, 2, 6)], "predicted int, actual int, n long").repartition(2)
+    assert _plan(dt.true_false_positives(matrix, 3)).count("Scan ExistingRDD") == 1
+    assert {tuple(r) for r in dt.true_false_positives(matrix).collect()} == {(0, 5, 2), (1, 0, 4), (2, 0, 0), (3, 0, 6)}
+
+
 def test_no_side_of_an_overlap_join_is_sent_whole_to_every_task(spark):
     box = lambda p: [f"{c} AS {p}{n}" for n, c in zip(("x1", "y1", "x2", "y2"), ("0.0D", "0.0D", "10.0D + id", "10.0D"))]
     left = spark.range(6).selectExpr("id % 2 AS image_id", *box("a_"))

@@ -313,10 +313,12 @@ def classification_confusion(scores: DataFrame, truth: DataFrame, keys: Sequence
 
 def true_false_positives(matrix: DataFrame, background: int | None = None) -> DataFrame:
     """True and false positives of each class from a confusion table (predicted, actual, n); ``background`` is no class."""
-    classes = matrix.select(F.col("predicted").alias("cls")).unionByName(matrix.select(F.col("actual").alias("cls"))).distinct()
-    hit = F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0)).alias("tp")
-    by = matrix.groupBy(F.col("predicted").alias("cls")).agg(hit, F.sum("n").alias("_all"))
-    out = classes.join(by, "cls", "left").fillna(0, ["tp", "_all"]).select("cls", "tp", (F.col("_all") - F.col("tp")).alias("fp"))
+    hit, known = F.col("predicted") == F.col("actual"), F.col("predicted").isNotNull()
+    count = lambda when: F.when(when, F.col("n")).otherwise(0)
+    # the matrix is read once: each entry counts for its predicted class and names its true one
+    sides = F.array(F.struct(F.col("predicted").alias("cls"), count(hit).alias("tp"), count(known & ~F.coalesce(hit, F.lit(False))).alias("fp")),
+                    F.struct(F.col("actual").alias("cls"), count(F.lit(False)).alias("tp"), count(F.lit(False)).alias("fp")))
+    out = matrix.select(F.explode(sides).alias("_c")).groupBy("_c.cls").agg(F.sum("_c.tp").alias("tp"), F.sum("_c.fp").alias("fp"))
     return out if background is None else out.where(F.col("cls") != background)
 
 
