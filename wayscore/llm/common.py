@@ -51,6 +51,12 @@ def stored(df: DataFrame) -> DataFrame:
     return stored_at(df)[1]
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts and merges, however small it is: what is broadcast instead goes through the driver,
+    with a job, a thread and buffers there for each table."""
+    return df.hint("merge")
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table of ``stored_at`` that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

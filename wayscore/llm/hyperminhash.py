@@ -11,11 +11,15 @@ Within a band nothing is paired at random: every member meets the band's first d
 one (whose bands have the most members; the base of a group of copies is that), and only where verified links leave a band in several components do the members outside its largest
 component meet the others: all of them in small bands, those with a rare difference from a hub in common in
 large ones (an exact prefix filter). Members already connected add nothing, so no component is missed.
+
+The driver holds what it plans and broadcasts at one time. So tables of ids are stored step by step, each plan reads
+few of them, and they are joined by merging.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayscore.llm.common import SPACES, Alphabet, Texts, mixed, ranges, runs_of, stored, texts_of
+from wayscore.llm.common import SPACES, Alphabet, Texts, merged, mixed, ranges, runs_of, stored, texts_of
 from wayscore.llm.components import components
 from wayscore.llm.fm_index import content_hash
 
@@ -166,6 +170,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, stand_ins
     each; rows without an id link like others, are never kept, and a component of them alone has the null id; with
     ``stand_ins`` they come with numbers from ``NO_ID`` on instead. An empty table gives no rows; further columns are dropped.
     """
+    pa.system_memory_pool().release_unused()  # what the steps before have freed on the driver, numpy's arrays too
     text = F.col("text").cast("string")
     # rows without an id go by their text, after all ids
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), _stand_in(text)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -180,33 +185,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, stand_ins
     bands = classes.select("cid", "rep", "n", F.explode("bands").alias("band"))
     # the base of a group of copies shares more of their bands than any copy does
     met = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    central = bands.join(met, "band").groupBy("cid", "rep", "n").agg(F.sum("m").alias("pull"), F.collect_list("band").alias("bands"))
+    central = bands.join(merged(met), "band").groupBy("cid", "rep", "n").agg(F.sum("m").alias("pull"), F.collect_list("band").alias("bands"))
     bands = stored(central).select("cid", "rep", "n", "pull", F.explode("bands").alias("band"))
     ends = bands.groupBy("band").agg(F.min(F.struct("rep", "cid")).alias("lo"), F.max(F.struct("pull", "rep", "cid")).alias("hi"))
-    spread = bands.join(ends, "band").withColumn("hub", F.explode(F.array_distinct(F.array("lo.cid", "hi.cid")))).where("hub <> cid")
+    spread = bands.join(merged(ends), "band").withColumn("hub", F.explode(F.array_distinct(F.array("lo.cid", "hi.cid")))).where("hub <> cid")
     pairs = stored(spread.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct())
     edges = _confirmed(rows, classes, pairs, size, percent)
     label = stored(components(edges))
     # bands that the links so far leave in several components
-    named = bands.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = bands.join(merged(label.withColumnRenamed("node", "cid")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     shares = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
     split = shares.groupBy("band").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).where("parts > 1").select("band", "m", F.col("main.label").alias("main"))
-    members = stored(named.join(split, "band").select("band", "cid", "n", "label", "main", "m"))
+    members = stored(named.join(merged(split), "band").select("band", "cid", "n", "label", "main", "m"))
     left, right = members.where("label <> main").where(F.col("m") <= CROWD).alias("l"), members.where(F.col("m") <= CROWD).alias("r")
     other = (
         left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.label") != F.col("r.label")) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")))
         .select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b"))
         .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+        .join(merged(pairs), ["a", "b"], "left_anti")
     )
-    crowd = members.where(F.col("m") > CROWD).select(F.col("main").alias("hub"), "cid", "label").distinct()
-    more = stored(_confirmed(rows, classes, stored(other), size, percent).union(_in_crowds(rows, classes, crowd, size, percent)))
-    if more.limit(1).count():
+    crowd = stored(members.where(F.col("m") > CROWD).select(F.col("main").alias("hub"), "cid", "label").distinct())
+    other = stored(other)
+    found = [] if other.isEmpty() else [_confirmed(rows, classes, other, size, percent)]
+    found += [] if crowd.isEmpty() else [_in_crowds(rows, classes, crowd, size, percent)]
+    more = stored(reduce(DataFrame.union, found)) if found else None
+    if more is not None and not more.isEmpty():
         label = stored(components(edges.union(more)))
-    groups = classes.select("cid", "rep").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    groups = stored(classes.select("cid", "rep").join(merged(label.withColumnRenamed("node", "cid")), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
     least = groups.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = groups.join(least, "label").select("cid", "component_id").join(first.drop("doc_id"), "cid").drop("cid")
-    worded = sketched.where("n_shingles > 0").select("doc_id", *alike).join(ids, alike).select("doc_id", "n_shingles", "component_id")
+    ids = stored(groups.join(merged(least), "label").select("cid", "component_id").join(merged(first.drop("doc_id")), "cid").drop("cid"))
+    worded = sketched.where("n_shingles > 0").select("doc_id", *alike).join(merged(ids), alike).select("doc_id", "n_shingles", "component_id")
     out = worded.union(sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     real = lambda c: F.col(c) if stand_ins else F.when(F.col(c) < NO_ID, F.col(c))
     kept = F.coalesce(real("doc_id") == F.col("component_id"), F.lit(False))
@@ -226,7 +234,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     text = F.col(place["text"]).cast("string")
     rows = placed.withColumn("rank", F.coalesce(F.col(place["doc_id"]).cast("long"), _stand_in(text))).withColumn("key", F.xxhash64(text))
     found = near_duplicates(rows.select(F.col("rank").alias("doc_id"), text.alias("text")), size, percent, stand_ins=True)
-    kept = found.where("kept").select(F.col("doc_id").alias("rank")).distinct()
+    kept = stored(found.where("kept").select(F.col("doc_id").alias("rank")).distinct())
     return rows.join(kept, "rank", "left_semi").dropDuplicates(["rank", "key"]).select(*place.values()).toDF(*docs.columns)
 
 
