@@ -2,6 +2,7 @@
 
 from wayscore.functions import text as tx
 from wayscore.operators import captions as cp
+from wayscore.plans import caption_queries
 
 
 def test_text_is_lowered_once_for_all_key_words(spark):
@@ -17,3 +18,16 @@ def test_text_is_lowered_once_for_all_key_words(spark):
 def test_strip_takes_all_white_space_of_both_ends_only(spark):
     d = spark.createDataFrame([("　\x85 a b\t \n",), (" \x1c\x1f",), ("",), ("​x​",), (None,)], "s string")
     assert [r[0] for r in d.select(tx.strip(d.s)).collect()] == ["a b", "", "", "​x​", None]
+
+
+def test_verdicts_read_one_shuffle_of_the_captions_and_keep_none(spark, tmp_path):
+    rows = [(i, f"A car waits {i}. The sky is wet! Two people walk.", i % 9) for i in range(40)] + [(7, "A car. Again!", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for made in (caption_queries.verdicts, caption_queries.fused):
+        d = made(spark, str(tmp_path))
+        d = d.select("doc_id", "pos", "verdicts", "language_score", *[c for c in d.columns if c == "final_score"])
+        found = d.collect()
+        plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "InMemoryTableScan" not in plan and plan.count("Scan parquet") == 1 and plan.count("ReusedExchange") == 1
+        assert sorted((r.pos, r.verdicts) for r in found if r.doc_id == 7) == [(1, 2), (1, 2), (2, 2), (2, 2), (3, 1)]  # an id that comes twice
+        assert sorted((r.pos, r.verdicts) for r in found if r.doc_id == 8) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 1)]

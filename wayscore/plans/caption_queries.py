@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from wayscore.functions import text as tx
 from wayscore.operators import captions as cp
 from wayscore.operators import ranking as rk
 from wayscore.operators import report as rp
-from wayscore.operators.ordered import grouped_quantiles, shared
+from wayscore.operators.ordered import grouped_quantiles
 from wayscore.plans import views as v
 from wayscore.plans.registry import query
 
@@ -98,11 +101,18 @@ SELECT c.*, CASE WHEN pos % 7 = 0 THEN 0 WHEN pos % 5 = 0 THEN 2 ELSE 1 END AS v
 """, "cleaned")
 
 
-def verdicts(spark, d):
-    c = shared(cleaned(spark, d))
+def verdicts(spark, d, *read):
+    """Claims with verdicts on most of them; both are made from one shuffle of the captions, and no text is kept.
+
+    The key of a verdict depends on its place, and on the columns of the captions that the caller will ``read``: a test
+    for nulls on it then stays above the sentences, and both sides need the same columns, so the shuffle is one.
+    """
+    c = cleaned(spark, d)
     p = F.col("pos")
     n = F.when(p % 5 == 0, 2).otherwise(1)
-    raw = c.where(p % 7 != 0).select("doc_id", F.concat(F.lit(" "), "claim_id").alias("claim_id"), "pos", F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"))
+    always = reduce(or_, [F.col(r).isNull() for r in read], p > 0)
+    ids = c.where(p % 7 != 0).select(F.when(always, F.col("doc_id")).alias("doc_id"), "claim_id", "pos")
+    raw = ids.select("doc_id", F.concat(F.lit(" "), "claim_id").alias("claim_id"), "pos", F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"))
     raw = raw.withColumn("raw_score", _word(F.col("doc_id") + F.col("pos") + 3 * F.col("copy")))
     return cp.combine_verdicts(c, raw, "doc_id", "copy")
 
@@ -125,7 +135,7 @@ SELECT *, CASE WHEN detector_score IS NULL THEN language_score WHEN preferred_ve
 
 def fused(spark, d):
     n = F.col("n_chars")
-    c = verdicts(spark, d)
+    c = verdicts(spark, d, "n_chars")
     c = c.withColumn("_text", F.lower(F.concat_ws(" ", "claim", "question")))
     det = cp.detector_score(F.col("_text"), {"vehicles": n % 4, "moving": n % 3, "persons": n % 5, "lights": n % 6}, F.when(n % 2 == 0, F.lit(0.5)), n % 10 == 3)
     c = c.withColumn("detector_score", det).drop("_text")
