@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from wayscore.operators.ordered import shared
 GEOM = ["x1", "y1", "x2", "y2"]
 #: Boxes of one key, both sides together, that are compared as a list in one row; keys with more meet in cells.
 CROWDED = 2048
+#: The same where each pair of boxes that meets is a row.
+PAIRED = 512
 
 
 def _cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
@@ -44,18 +46,28 @@ def distinct_boxes(df: DataFrame, keys: Sequence[str], prefix: str, *aggs) -> Da
     return df.groupBy(*keys, *GEOM).agg(*aggs).withColumnsRenamed({c: f"{prefix}{c}" for c in GEOM})
 
 
+def crowded_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = CROWDED) -> DataFrame:
+    """Keys with more than ``limit`` rows of both sides together, at most one for each ``limit`` rows: a small table."""
+    sizes = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    return F.broadcast(shared(sizes.where(F.col("_cnt") > limit).drop("_cnt")))
+
+
 def split_crowded(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = CROWDED) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Both sides' rows of keys with at most ``limit`` rows together, then both sides' rows of the other keys.
 
-    There is at most one other key for each ``limit`` rows, so their table is small. A key with nulls counts to the first.
+    A key with nulls counts to the first.
     """
     keys = list(keys)
-    sizes = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    many = F.broadcast(shared(sizes.where(F.col("_cnt") > limit).drop("_cnt")))
+    many = crowded_keys(left, right, keys, limit)
     few = [d.join(many, keys, "left_anti") for d in (left, right)]
     return *few, *[d.join(many, keys, "left_semi") for d in (left, right)]
 
 
+def same_class(a: Column, b: Column) -> Column:
+    """Equality that a join on other keys checks after it has met its rows: as a key of the join it would have both sides hashed anew."""
+    return (a >= b) & (a <= b)
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, salt_on: Sequence[str], salts: int = 16) -> DataFrame:
     """First ``k`` rows per key in two passes, so that a hot key is sorted in pieces."""
     salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts))

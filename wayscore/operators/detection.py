@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayscore.functions import boxes as bx
-from wayscore.operators.boxjoin import CROWDED, GEOM, distinct_boxes, overlap_pairs, split_crowded, top_rows
+from wayscore.operators.boxjoin import CROWDED, GEOM, PAIRED, crowded_keys, distinct_boxes, overlap_pairs, same_class, split_crowded, top_rows
 from wayscore.operators.ordered import checkpointed, number_rows, running_totals, salted_join, shared
 
 IOU_LEVELS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -79,52 +79,77 @@ def pair_similarity(left: DataFrame, right: DataFrame, keys: Sequence[str], cell
     return p.withColumns({**m, "ioa": bx.ioa(bx.box("a_"), bx.box("b_"))})
 
 
-def _class_matches(dets: DataFrame, labels: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
-    """Lowest detection of each distinct box with its best label of the same class."""
-    k = [*keys, "image_id", "cls"]
-    d = distinct_boxes(dets, k, "a_", F.min("det_id").alias("det_id"))
-    lab = distinct_boxes(labels, k, "b_", F.min("label_id").alias("label_id"))
-    iou = bx.iou(bx.box("a_"), bx.box("b_"))
-    pairs = overlap_pairs(d, lab, k, cell).withColumn("iou", iou).where(F.col("iou") >= IOU_LEVELS[0])
+def _best_labels(pairs: DataFrame, k: Sequence[str]) -> DataFrame:
+    """Detections with their best label, the lowest on ties, of pairs (k, cls, det_id, label_id, iou)."""
     return (
-        pairs.groupBy(*k, "det_id")
+        pairs.groupBy(*k, "cls", "det_id")
         .agg(F.max(F.struct("iou", (-F.col("label_id")).alias("neg"))).alias("_b"))
-        .select(*k, "det_id", F.col("_b.iou").alias("iou"), (-F.col("_b.neg")).alias("label_id"))
+        .select(*k, "cls", "det_id", F.col("_b.iou").alias("iou"), (-F.col("_b.neg")).alias("label_id"))
     )
 
 
-def _given_matches(dets: DataFrame, labels: DataFrame, overlaps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Detections with their best label of the same class by the overlaps of a table."""
-    k = [*keys, "image_id"]
-    pairs = overlaps.where((F.col("iou") >= IOU_LEVELS[0]) & ~F.isnan("iou")).select(*k, "det_id", "label_id", "iou")
-    pairs = pairs.join(dets.select(*k, "det_id", "cls"), [*k, "det_id"]).join(labels.select(*k, "label_id", "cls"), [*k, "label_id", "cls"])
+def _class_pairs(dets: DataFrame, labels: DataFrame, k: Sequence[str]) -> DataFrame:
+    """Boxes of one image and class that overlap enough, met by image alone, where the rows of an image lie together."""
+    side = lambda df, name, c, prefix: df.select(*k, name, F.col("cls").alias(c), *[F.col(g).alias(f"{prefix}{g}") for g in GEOM])
+    a, b = bx.box("a_"), bx.box("b_")
+    met = side(dets, "det_id", "cls", "a_").join(side(labels, "label_id", "_lcls", "b_").hint("merge"), list(k))
+    met = met.where(same_class(F.col("cls"), F.col("_lcls")) & (bx.intersection(a, b) > 0)).withColumn("iou", bx.iou(a, b))
+    return met.where(F.col("iou") >= IOU_LEVELS[0]).select(*k, "cls", "det_id", "label_id", "iou")
+
+
+def _class_pairs_in_cells(dets: DataFrame, labels: DataFrame, k: Sequence[str], cell: float) -> DataFrame:
+    """The same pairs of crowded images: the lowest of equal boxes, met in grid cells."""
+    d = distinct_boxes(dets, [*k, "cls"], "a_", F.min("det_id").alias("det_id"))
+    lab = distinct_boxes(labels, [*k, "cls"], "b_", F.min("label_id").alias("label_id"))
+    iou = bx.iou(bx.box("a_"), bx.box("b_"))
+    return overlap_pairs(d, lab, [*k, "cls"], cell).withColumn("iou", iou).where(F.col("iou") >= IOU_LEVELS[0]).select(*k, "cls", "det_id", "label_id", "iou")
+
+
+def _won_levels(best: DataFrame, k: Sequence[str]) -> DataFrame:
+    """Detections that win a label, with one bit for each IoU level: of the claims on a label the lowest detection wins."""
+    won = best.groupBy(*k, "label_id").agg(
+        *[F.min(F.when(F.col("iou") >= t, F.col("det_id"))).alias(f"t{i}") for i, t in enumerate(IOU_LEVELS)])
+    entries = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.col(f"t{i}").alias("det_id")) for i in range(len(IOU_LEVELS))])
     return (
-        pairs.groupBy(*k, "cls", "det_id")
-        .agg(F.max(F.struct("iou", (-F.col("label_id")).alias("neg"))).alias("_b"))
-        .select(*k, "cls", "det_id", F.col("_b.iou").alias("iou"), (-F.col("_b.neg")).alias("label_id"))
+        won.select(*k, F.explode(entries).alias("w")).where("w.det_id IS NOT NULL")
+        .groupBy(*k, F.col("w.det_id").alias("det_id")).agg(F.bit_or("w.bit").alias("_bits"))
     )
 
 
-def match_detections(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (), cell: float = 64.0, overlaps: DataFrame | None = None) -> DataFrame:
+def _with_flags(dets: DataFrame) -> DataFrame:
+    bits = F.coalesce("_bits", F.lit(0))
+    return dets.withColumns({f"t{i}": F.shiftright(bits, i).bitwiseAND(F.lit(1)) for i in range(len(IOU_LEVELS))}).drop("_bits")
+
+
+def match_detections(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (), cell: float = 64.0, overlaps: DataFrame | None = None,
+                     limit: int = PAIRED) -> DataFrame:
     """Detections with one flag per IoU level.
 
     Each detection claims its best label; of the claims on one label at a level
     the lowest detection id is kept. ``overlaps`` (keys, image_id, det_id, label_id, iou)
-    takes the place of the overlap of boxes: of masks, keypoints or rotated boxes.
+    takes the place of the overlap of boxes: of masks, keypoints or rotated boxes. Those that name the class
+    of both (cls) and whether their image has more than ``limit`` boxes (crowded) need no look at either.
+
+    Images of up to ``limit`` boxes are matched where their rows lie: nothing is hashed on finer keys, and winners come
+    back to the detections as one map for each image. The boxes of the others meet in cells and are joined by id.
     """
-    best = _class_matches(dets, labels, keys, cell) if overlaps is None else _given_matches(dets, labels, overlaps, keys)
     k = [*keys, "image_id"]
-    level = {f"t{i}": t for i, t in enumerate(IOU_LEVELS)}
-    won = best.groupBy(*k, "label_id").agg(
-        *[F.min(F.when(F.col("iou") >= t, F.col("det_id"))).alias(n) for n, t in level.items()])
-    flags = (
-        won.select(*k, F.explode(F.array(*[F.struct(F.lit(i).alias("lvl"), F.col(n).alias("det_id"))
-                                           for i, n in enumerate(level)])).alias("w"))
-        .where("w.det_id IS NOT NULL")
-        .groupBy(*k, F.col("w.det_id").alias("det_id"))
-        .agg(*[F.max((F.col("w.lvl") == i).cast("int")).alias(n) for i, n in enumerate(level)])
-    )
-    return dets.join(flags, [*k, "det_id"], "left").fillna(0, list(level))
+    many = crowded_keys(dets, labels, k, limit)
+    few, rest = lambda df: df.join(many, k, "left_anti"), lambda df: df.join(many, k, "left_semi")
+    if overlaps is None:
+        near, far = _class_pairs(few(dets), few(labels), k), _class_pairs_in_cells(rest(dets), rest(labels), k, cell)
+    else:
+        pairs = overlaps.where((F.col("iou") >= IOU_LEVELS[0]) & ~F.isnan("iou"))
+        if "crowded" in pairs.columns:
+            near, far = pairs.where(~F.col("crowded")), pairs.where("crowded")
+        else:
+            pairs = pairs.select(*k, "det_id", "label_id", "iou").join(dets.select(*k, "det_id", "cls"), [*k, "det_id"])
+            pairs = pairs.join(labels.select(*k, "label_id", "cls"), [*k, "label_id", "cls"])
+            near, far = few(pairs), rest(pairs)
+    won = _won_levels(_best_labels(near, k), k).groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("det_id", "_bits"))).alias("_won"))
+    in_place = few(dets).join(won.hint("merge"), k, "left").withColumn("_bits", F.col("_won")[F.col("det_id")]).drop("_won")
+    by_id = rest(dets).join(_won_levels(_best_labels(far, k), k), [*k, "det_id"], "left")
+    return _with_flags(in_place.unionByName(by_id)).select(*dets.columns, *[f"t{i}" for i in range(len(IOU_LEVELS))])
 
 
 def hit_bits(matched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,8 +1,9 @@
 """Overlap tables of masks, rotated boxes and keypoints, for matching detections to labels.
 
 Each function gives (keys, image_id, det_id, label_id, iou) for the pairs of one image and class that can reach the least
-level of matching, 0.5. Candidates meet in cells that a bound on the measure allows, so that far pairs are never formed;
-the measure itself decides. Equal shapes of one image and class become one row of their lowest id before they meet: only
+level of matching, 0.5; those of rotated boxes and keypoints also name the class and whether the image is crowded. Candidates meet in cells that a bound on
+the measure allows, so that far pairs are never formed; the measure itself decides. Rotated boxes and keypoints of images
+of up to ``limit`` shapes meet by image alone, where the rows of an image lie together, without cells. Equal shapes of one image and class become one row of their lowest id before they meet: only
 that one can win a label.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayscore.functions import boxes as bx
-from wayscore.operators.boxjoin import overlap_pairs
+from wayscore.operators.boxjoin import PAIRED, overlap_pairs, same_class, split_crowded
 
 LEAST = 0.5
 #: exp(-distance) of rotated boxes at the least level is 3/4, so centres lie within 2 * sqrt(ln(4/3) * (s + t) / 12)
@@ -66,7 +67,20 @@ ROTATED = ["cx", "cy", "w", "h", "angle"]
 GAUSSIAN = ["cx", "cy", "var_x", "var_y", "cov"]
 
 
-def rotated_pairs(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (), cell: float = 64.0) -> DataFrame:
+def _met_by_image(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shapes of one image and class, joined on the image alone so that rows hashed on it stay where they are."""
+    met = left.join(right.withColumnRenamed("cls", "_lcls").hint("merge"), [*keys, "image_id"])
+    return met.where(same_class(F.col("cls"), F.col("_lcls"))).drop("_lcls")
+
+
+def _scored(few: DataFrame, many: DataFrame, k: Sequence[str], measure: Column) -> DataFrame:
+    """Pairs at the least level; ``crowded`` tells those of crowded images, so that a reader of one kind makes no other."""
+    pairs = lambda near, crowded: near.withColumn("iou", measure).where(F.col("iou") >= LEAST).select(
+        *k, "det_id", "label_id", "iou", F.lit(crowded).alias("crowded"))
+    return pairs(few, False).unionByName(pairs(many, True))
+
+
+def rotated_pairs(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (), cell: float = 64.0, limit: int = PAIRED) -> DataFrame:
     """Probabilistic overlaps of rotated boxes (cx, cy, w, h, angle).
 
     The measure falls with the distance of the boxes' Gaussians, of which the centres' part is at least a quarter of the
@@ -83,10 +97,11 @@ def rotated_pairs(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (),
         own = dict(zip(GAUSSIAN, (F.col("cx"), F.col("cy"), *bx.rotated_covariance(F.col("w"), F.col("h"), F.col("angle")))))
         return d.select(*k, name, *[c.alias(f"{prefix}{n}") for n, c in (own | square).items()])
 
-    near = overlap_pairs(around(dets, "a_", "det_id"), around(labels, "b_", "label_id"), k, cell)
+    few_d, few_l, many_d, many_l = split_crowded(dets, labels, [*keys, "image_id"], limit)
+    few = _met_by_image(around(few_d, "a_", "det_id"), around(few_l, "b_", "label_id"), keys).where(bx.intersection(bx.box("a_"), bx.box("b_")) > 0)
+    many = overlap_pairs(around(many_d, "a_", "det_id"), around(many_l, "b_", "label_id"), k, cell)
     shape = lambda p: tuple(F.col(f"{p}{c}") for c in GAUSSIAN)
-    found = near.withColumn("iou", bx.gaussian_iou(shape("a_"), shape("b_")))
-    return found.select(*keys, "image_id", "det_id", "label_id", "iou").where(F.col("iou") >= LEAST)
+    return _scored(few, many, k, bx.gaussian_iou(shape("a_"), shape("b_")))
 
 
 # ---- keypoints -------------------------------------------------------------------------------------------
@@ -105,15 +120,18 @@ def object_keypoint_similarity(points: Column, truth: Column, area: Column, sigm
     return total(F.transform(points, one)) / (seen + eps)
 
 
-def keypoint_pairs(dets: DataFrame, labels: DataFrame, sigmas: Sequence[float], keys: Sequence[str] = (), cell: float = 64.0, eps: float = 1e-7) -> DataFrame:
+def keypoint_pairs(dets: DataFrame, labels: DataFrame, sigmas: Sequence[float], keys: Sequence[str] = (), cell: float = 64.0, eps: float = 1e-7,
+                   limit: int = PAIRED) -> DataFrame:
     """Similarities of detected ``points`` and labels with ``points`` (x, y, visible) and ``area``.
 
     The similarity is a mean of exp(-e) over visible points, so at the least level one of them has e <= ln 2: its
     detected point lies within sigma * sqrt(8 ln 2 * area) of the true one. Pairs meet in the cells of such points.
     """
     k = [*keys, "image_id", "cls"]
-    d = _lowest(dets, k, ["points"], "det_id")
-    t = _lowest(labels.withColumnsRenamed({"points": "truth"}), k, ["truth", "area"], "label_id")
+    lowest = lambda dets, labels: (_lowest(dets, k, ["points"], "det_id"), _lowest(labels.withColumnsRenamed({"points": "truth"}), k, ["truth", "area"], "label_id"))
+    few_d, few_l, many_d, many_l = split_crowded(dets, labels, [*keys, "image_id"], limit)
+    few = _met_by_image(*lowest(few_d, few_l), keys)
+    d, t = lowest(many_d, many_l)
     sigma = F.array(*[F.lit(float(s)) for s in sigmas])
     at = lambda c: F.floor(c / cell)
     left = d.select(*k, "det_id", F.posexplode("points").alias("_i", "_p")).select(
@@ -125,6 +143,6 @@ def keypoint_pairs(dets: DataFrame, labels: DataFrame, sigmas: Sequence[float],
     right = right.withColumn("_cy", F.explode(F.sequence(at(F.col("_v") - F.col("_r")), at(F.col("_v") + F.col("_r")))))
     close = F.pow(F.col("_x") - F.col("_u"), 2) + F.pow(F.col("_y") - F.col("_v"), 2) <= F.col("_r") * F.col("_r")
     near = left.join(right, [*k, "_i", "_cx", "_cy"]).where(close).select(*k, "det_id", "label_id").distinct()
-    both = near.join(d, [*k, "det_id"]).join(t, [*k, "label_id"])
-    found = both.withColumn("iou", object_keypoint_similarity(F.col("points"), F.col("truth"), F.col("area"), sigmas, eps))
-    return found.select(*keys, "image_id", "det_id", "label_id", "iou").where(F.col("iou") >= LEAST)
+    many = near.join(d, [*k, "det_id"]).join(t, [*k, "label_id"])
+    measure = object_keypoint_similarity(F.col("points"), F.col("truth"), F.col("area"), sigmas, eps)
+    return _scored(few, many, k, measure)

@@ -141,7 +141,7 @@ FROM dets d CROSS JOIN {LV} LEFT JOIN wins_ w ON w.image_id=d.image_id AND w.det
 
 
 def _matched(spark, d):
-    b = v.boxes(spark, d)
+    b = v.boxes(spark, d, kept=True)
     labels = b.where("role = 'label'").withColumnRenamed("det_id", "label_id")
     return dt.match_detections(b.where("role = 'pred'"), labels), labels
 

@@ -146,7 +146,8 @@ _sql("dets", "SELECT image_id, det_id, cls, conf, x1, y1, x2, y2 FROM boxes WHER
 _sql("lbls", "SELECT image_id, det_id AS label_id, cls, x1, y1, x2, y2 FROM boxes WHERE role = 'label'", "boxes")
 
 
-def boxes(spark, sf_dir) -> DataFrame:
+def boxes(spark, sf_dir, kept: bool = False) -> DataFrame:
+    """Boxes with their numbers; with ``kept`` all readers share one copy of the six columns that boxes are made of."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_shipdate", div("l_orderkey", 4).alias("image_id"),
@@ -158,6 +159,8 @@ def boxes(spark, sf_dir) -> DataFrame:
          "l_discount", "l_tax", "l_shipdate"],
         "det_id", 1,
     )
+    if kept:
+        numbered = shared(numbered.select("image_id", "det_id", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return numbered.select(
         "image_id", "det_id",
         F.when(F.col("l_linenumber") % 2 == 0, "label").otherwise("pred").alias("role"),
@@ -171,11 +174,11 @@ def boxes(spark, sf_dir) -> DataFrame:
 
 
 def dets(spark, sf_dir) -> DataFrame:
-    return shared(boxes(spark, sf_dir)).where("role = 'pred'").drop("role")
+    return boxes(spark, sf_dir, kept=True).where("role = 'pred'").drop("role")
 
 
 def lbls(spark, sf_dir) -> DataFrame:
-    return shared(boxes(spark, sf_dir)).where("role = 'label'").drop("role", "conf").withColumnRenamed("det_id", "label_id")
+    return boxes(spark, sf_dir, kept=True).where("role = 'label'").drop("role", "conf").withColumnRenamed("det_id", "label_id")
 
 
 _sql("scores", """
