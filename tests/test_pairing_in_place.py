@@ -15,12 +15,13 @@ SIGMAS = (0.07, 0.09, 0.11, 0.13)
 
 
 def _boxes(spark, seed):
-    """Images 0 to 8 with boxes that repeat in part, image 9 with detections only, and one detection without an image."""
+    """Images 0 to 8 with boxes that repeat in part, some without a side; image 9 with detections only; one detection without an image."""
     rng = random.Random(seed)
     rows = [(i % 9, n, rng.choice(("pred", "label")), rng.randint(0, 2), rng.randint(0, 9) / 10, x, y, x + rng.randint(20, 60), y + rng.randint(20, 60))
             for n, i in enumerate(range(240)) for x, y in [(10.0 * rng.randint(0, 4), 10.0 * rng.randint(0, 4))]]
     rows += [(9, 900, "pred", 0, 0.5, 0.0, 0.0, 9.0, 9.0), (None, 901, "pred", 0, 0.5, 0.0, 0.0, 9.0, 9.0), (0, 902, "pred", None, 0.5, 0.0, 0.0, 40.0, 40.0)]
     d = spark.createDataFrame([(*r[:5], *map(float, r[5:])) for r in rows], "image_id long, det_id long, role string, cls long, conf double, x1 double, y1 double, x2 double, y2 double")
+    d = d.withColumns({"x2": F.when(F.col("det_id") % 11 != 3, F.col("x2")), "y1": F.when(F.col("det_id") % 13 != 5, F.col("y1"))})
     d = shared(d.repartition(8, "image_id"))
     labels = d.where("role = 'label'").drop("role", "conf").withColumnRenamed("det_id", "label_id")
     return d.where("role = 'pred'").drop("role"), labels
@@ -47,7 +48,7 @@ def test_crowded_and_other_images_match_alike(spark):
     few, some, all_ = (_families(dets, labels, limit) for limit in (10_000, 26, 0))
     for kind in few:
         want = _flags(all_[kind])
-        assert len(want) == dets.count() and sum(w[2][0] for w in want) > 10 and len({tuple(w[2]) for w in want}) > 2
+        assert len(want) == dets.count() and sum(w[2][0] for w in want) >= 5 and len({tuple(w[2]) for w in want}) > 2
         assert _flags(few[kind]) == want and _flags(some[kind]) == want
 
 

@@ -98,7 +98,10 @@ def rotated_pairs(dets: DataFrame, labels: DataFrame, keys: Sequence[str] = (),
         return d.select(*k, name, *[c.alias(f"{prefix}{n}") for n, c in (own | square).items()])
 
     few_d, few_l, many_d, many_l = split_crowded(dets, labels, [*keys, "image_id"], limit)
-    few = _met_by_image(around(few_d, "a_", "det_id"), around(few_l, "b_", "label_id"), keys).where(bx.intersection(bx.box("a_"), bx.box("b_")) > 0)
+    # the least of a null and a number is the number: a square without a place would meet all others
+    placed = lambda df, p: df.where(F.col(f"{p}x1").isNotNull() & F.col(f"{p}y1").isNotNull())
+    few = _met_by_image(placed(around(few_d, "a_", "det_id"), "a_"), placed(around(few_l, "b_", "label_id"), "b_"), keys)
+    few = few.where(bx.intersection(bx.box("a_"), bx.box("b_")) > 0)
     many = overlap_pairs(around(many_d, "a_", "det_id"), around(many_l, "b_", "label_id"), k, cell)
     shape = lambda p: tuple(F.col(f"{p}{c}") for c in GAUSSIAN)
     return _scored(few, many, k, bx.gaussian_iou(shape("a_"), shape("b_")))
